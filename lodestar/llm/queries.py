@@ -44,3 +44,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import warc
 
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+@_query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestar.llm import pieces
+
+    return pieces.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestar.llm import packing
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
