@@ -62,3 +62,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import packing
 
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import lm_quality
+
+    return lm_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import fingerprints
+
+    return fingerprints.with_neighbours(_table(spark, sf_dir, "documents"))
