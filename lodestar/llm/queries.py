@@ -76,3 +76,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import fingerprints
 
     return fingerprints.with_neighbours(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import pii
+
+    return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
