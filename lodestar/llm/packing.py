@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -34,31 +35,46 @@ SEQUENCE = 4096
 END_ID = 1
 #: Mean number of pieces that one task packs.
 SHARD_PIECES = 16384
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
-#: Stands between words that are encoded in one call.
-MARK = "¤"
+#: Parts of a generation of a worker's cache (about 0.2 KB each); it holds two, and what the older one still gives moves to the newer.
+CACHE_WORDS = 400_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts through a cache by white-space separated part.
 
     The vocabulary's rules drop white space and nothing spans it, so a text's ids
-    are its parts' ids in a row. Parts not yet known go to the library together.
+    are its parts' ids in a row. A new part of letters below U+0250 is lower-cased
+    and split by the vocabulary's own pattern, and its words go straight to the
+    library's model; for these letters that is all that the library's normaliser
+    does. Any other part goes through the whole library.
     """
 
     _loaded: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
-        mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = rules["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.special = tuple(t["content"] for t in rules["added_tokens"])
+        self.simple = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
+        # Byte-level rule: printable bytes stand for themselves, the others for code points from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.shown = {b: chr(b if b in printable else next(others)) for b in range(256)}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -73,33 +89,36 @@ class WordIds:
             out.byteswap()
         return out.tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode many parts in one call, set apart by a mark that has an id of its own."""
-        plain = [w for w in new if MARK not in w]
-        for w in new if self.mark is None else set(new).difference(plain):
-            self.known[w] = self._packed(self.library.encode(w, add_special_tokens=False).ids)
-        for k in range(0, len(plain) if self.mark is not None else 0, 4096):
-            some = plain[k : k + 4096]
-            ids = np.array(self.library.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(stops) != len(some):
-                raise ValueError("the mark is not an id of its own")
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(some, stops, strict=True):
-                self.known[w] = data[4 * start : 4 * stop]
-                start = stop + 1
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            level = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+            found = self.words[word] = self._packed([t.id for t in self.library.model.tokenize(level)])
+        return found
+
+    def __missing__(self, part: str) -> bytes:
+        if (found := self.older.get(part)) is not None:
+            pass
+        elif self.simple(part) and not any(s in part for s in self.special):
+            found = b"".join(map(self._word, self.split(part.lower())))
+        else:
+            found = self._whole(part)
+        self[part] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        get = self.__getitem__
         # These four separate words for Python but not for the library.
-        odd = {i for i, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
-        parts = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        self._learn(list({w for words in parts for w in words if w not in known}))
-        get = known.__getitem__
-        return [self._packed(self.library.encode(texts[i], add_special_tokens=False).ids) if i in odd else b"".join(map(get, words)) for i, words in enumerate(parts)]
+        return [self._whole(t) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else b"".join(map(get, t.split())) for t in texts]
 
 
 def cut(n: int, limit: int = SEQUENCE) -> list[tuple[int, int]]:
