@@ -83,3 +83,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import pii
 
     return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
+
+
+@_query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import licenses
+
+    return licenses.find(_table(spark, sf_dir, "documents"))
