@@ -90,3 +90,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import licenses
 
     return licenses.find(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_lines")
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import lines
+
+    return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
