@@ -48,3 +48,11 @@ def release(*tables: DataFrame) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner delete the shuffle files of plans that are no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
