@@ -97,3 +97,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import lines
 
     return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+
+
+@_query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import ngram_join
+
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
