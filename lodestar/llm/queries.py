@@ -104,3 +104,30 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import ngram_join
 
     return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op6_topk",
+    """
+    WITH words AS (
+      SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    len AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS len FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1),
+    stat AS (SELECT count(*) AS n, avg(len) AS mean FROM len),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    gain AS (
+      SELECT q.doc_id AS query_id, t.doc_id,
+             round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+      FROM tf q JOIN tf t USING (term) JOIN df USING (term) JOIN len ON len.doc_id = t.doc_id, stat
+      WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM gain QUALIFY rank <= 10
+    """,
+)
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestar.llm import topk
+
+    docs = _table(spark, sf_dir, "documents")
+    return topk.search(docs, docs.where(F.col("doc_id") % 100 == 0), order="lang")
