@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestar.functions.dates import ledger_month
 
-ENTRY = T.StructType.fromDDL(
+ENTRY = (
     "path string, id string, channel string, category string, title string, url string, urls array<string>, sha256 string, raw_sha256 string, provider string, "
     "published_at string, fetched_at string, updated_at string, bytes bigint, collection string, tags array<string>"
 )

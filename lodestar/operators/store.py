@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lodestar.functions.scores import norm
 from lodestar.operators.filters import compile_filter
 
-POINTS = T.StructType.fromDDL(
+POINTS = (
     "collection string, source_key string, source_file string, source string, source_rel string, point_id string, content_sha string, hash bigint, "
     "chunk_index int, text string, indexed_at timestamp, metadata map<string,string>, tags array<string>, tags_expanded array<string>, vector array<float>, norm double"
 )
@@ -126,7 +126,7 @@ class Store:
         found = [p.getPath().getName() for p in fs.listStatus(where)] if fs.exists(where) else []
         return sorted(n for n in found if _NAME.match(n) and self.exists(n))
 
-    def create(self, name: str, schema: T.StructType = POINTS) -> None:
+    def create(self, name: str, schema: T.StructType | str = POINTS) -> None:
         """An empty collection; nothing happens if there is one."""
         if not self.exists(name):
             self.replace(name, self.spark.createDataFrame([], schema))
