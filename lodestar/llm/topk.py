@@ -36,7 +36,9 @@ from lodestar.plans.scratch import materialize, scratch_path
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK = 64
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
+#: Queries that are scored together within a shard.
+GROUP = 64
 #: A term is frequent in a shard if so large a share of its documents has it.
 FREQUENT = 0.05
 _NULL = -(1 << 63)
@@ -131,6 +133,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices of all given ranges in a row."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
@@ -149,54 +153,79 @@ class Shard:
         self.slot = np.full(len(self.terms), -1)
         often = np.flatnonzero(self.df >= max(2, FREQUENT * n))
         self.slot[often] = np.arange(len(often))
-        self.dense = np.zeros((n, len(often)), np.float32)
+        self.wide = np.zeros((n, len(often)))
         at = _flat(self.starts[often], self.df[often]) if len(often) else np.zeros(0, np.int64)
-        self.dense[self.docs[at], np.repeat(np.arange(len(often)), self.df[often])] = self.small[at]
+        self.wide[self.docs[at], np.repeat(np.arange(len(often)), self.df[often])] = self.gain[at]
+        self.dense = self.wide.astype(np.float32)
         padded = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         padded[:n] = self.dense
         self.bound = padded.reshape(self.blocks, BLOCK, len(often)).max(1)
-        # The same postings by document, in the order of the terms' hashes.
-        self.by_doc = np.argsort(self.docs, kind="stable")
-        self.doc_starts = np.searchsorted(self.docs[self.by_doc], np.arange(n + 1))
-        self.term_of = np.repeat(np.arange(len(self.terms)), self.df)
+        self.mark = np.full(n, -1)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the best k documents (all ties at the end included)."""
+    def search(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and exact scores of the best k documents of each query; query i has the terms from starts[i] to starts[i + 1].
+
+        Queries with the same most promising block are taken together, so that the
+        blocks that none of them needs are skipped for all and the others are one
+        matrix product.
+        """
+        n_queries = len(starts) - 1
         place = np.searchsorted(self.terms, terms)
         place[place == len(self.terms)] = 0
-        known = self.terms[place] == terms
-        place, weights = place[known], weights[known]
-        if not len(place):
-            return np.zeros(0, np.int64), np.zeros(0)
-        slots = self.slot[place]
-        rare = slots < 0
-        score = np.zeros(self.n, np.float32)
-        if rare.any():
-            sizes = self.df[place[rare]]
-            at = _flat(self.starts[place[rare]], sizes)
-            score = np.bincount(self.docs[at], self.small[at] * np.repeat(weights[rare], sizes), self.n).astype(np.float32)
-        slots, own = slots[~rare], weights[~rare].astype(np.float32)
-        bound = score + np.repeat(self.bound[:, slots] @ own, BLOCK)[: self.n]
-        # The k documents of the highest bounds give a first k-th best score.
-        first = np.argpartition(bound, -k)[-k:] if self.n > k else np.arange(self.n)
-        floor = (score[first] + self.dense[np.ix_(first, slots)] @ own).min() if self.n > k else 0.0
-        slack = 1e-4 * max(1.0, float(bound.max()))
-        live = np.flatnonzero(bound >= max(floor - slack, 1e-9))
-        full = score[live] + self.dense[np.ix_(live, slots)] @ own
-        if len(live) > k:
-            last = np.partition(full, -k)[-k]
-            live = live[full >= last - slack]
-        table = np.zeros(len(self.terms))
-        table[place] = weights
-        sizes = self.doc_starts[live + 1] - self.doc_starts[live]
-        live, sizes = live[sizes > 0], sizes[sizes > 0]
-        if not len(live):
-            return live, np.zeros(0)
-        at = self.by_doc[_flat(self.doc_starts[live], sizes)]
-        exact = np.bincount(np.repeat(np.arange(len(live)), sizes), self.gain[at] * table[self.term_of[at]], len(live))
-        order = np.lexsort((np.where(self.ids[live] == _NULL, np.iinfo(np.int64).max, self.ids[live]), -exact))[:k]
+        known = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        query = np.repeat(np.arange(n_queries), np.diff(starts))
+        frequent = known & (self.slot[place] >= 0)
+        often = np.zeros((n_queries, self.dense.shape[1]), np.float32)
+        often[query[frequent], self.slot[place[frequent]]] = weights[frequent]
+        rare = np.flatnonzero(known & ~frequent)
+        first = np.searchsorted(query[rare], np.arange(n_queries + 1))
+        bounds = often @ self.bound.T
+        order = np.argsort(bounds.argmax(1) if self.blocks else np.zeros(n_queries), kind="stable")
+        found: list = [None] * n_queries
+        for at in range(0, n_queries, GROUP):
+            group = order[at : at + GROUP]
+            score = np.zeros((len(group), self.blocks * BLOCK), np.float32)
+            postings = []
+            for row, q in enumerate(group.tolist()):
+                own = rare[first[q] : first[q + 1]]
+                sizes = self.df[place[own]]
+                posting, term = _flat(self.starts[place[own]], sizes), np.repeat(own, sizes)
+                postings.append((posting, term))
+                score[row, : self.n] = np.bincount(self.docs[posting], self.small[posting] * weights[term], self.n)
+            upper = bounds[group] + score.reshape(len(group), self.blocks, BLOCK).max(2)
+            best = upper.argmax(1)
+            floor = np.full(len(group), -np.inf, np.float32)
+            for row in range(len(group)):
+                own = slice(best[row] * BLOCK, min(self.n, (best[row] + 1) * BLOCK))
+                near = score[row, own] + self.dense[own] @ often[group[row]]
+                if len(near) >= k:
+                    floor[row] = np.partition(near, -k)[-k]
+            slack = 2e-5 * np.maximum(1, upper.max(1))
+            live = np.flatnonzero((upper >= (floor - slack)[:, None]).any(0))
+            docs = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            docs = docs[docs < self.n]
+            full = score[:, docs] + often[group] @ (self.dense if len(docs) == self.n else self.dense[docs]).T
+            last = np.partition(full, -k, axis=1)[:, -k] if len(docs) > k else np.zeros(len(group), np.float32)
+            for row, q in enumerate(group.tolist()):
+                chosen = docs[full[row] >= max(last[row] - slack[row], 1e-9)]
+                span = slice(starts[q], starts[q + 1])
+                found[q] = self._exact(chosen, *postings[row], starts[q], np.where(frequent[span], self.slot[place[span]], -1), weights[span], k)
+        yield from found
+
+    def _exact(self, docs: np.ndarray, posting: np.ndarray, term: np.ndarray, start: int, slots: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of a few documents, summed in double precision in the order of the query's terms, whatever shard they are in."""
+        gains = np.zeros((len(docs), len(weights)))
+        self.mark[docs] = np.arange(len(docs))
+        row = self.mark[self.docs[posting]]
+        hit = np.flatnonzero(row >= 0)
+        gains[row[hit], term[hit] - start] = self.gain[posting[hit]]
+        self.mark[docs] = -1
+        often = np.flatnonzero(slots >= 0)
+        gains[:, often] = self.wide[np.ix_(docs, slots[often])]
+        exact = np.cumsum(gains * weights, axis=1)[:, -1] if len(weights) else np.zeros(len(docs))
+        order = np.lexsort((np.where(self.ids[docs] == _NULL, np.iinfo(np.int64).max, self.ids[docs]), -exact))[:k]
         order = order[exact[order] > 0]
-        return live[order], exact[order]
+        return docs[order], exact[order]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None = None) -> DataFrame:
@@ -215,10 +244,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
     found = None
     for number in range(blocks):
         # A block has about QUERY_BLOCK queries whatever the corpus.
-        own = stored.where(F.col("block") == number).drop("block").toPandas().sort_values(["query", "term"])
+        own = stored.where(F.col("block") == number).drop("block").toPandas()
+        own["term"] = own["term"].to_numpy(np.int64).view(np.uint64)
+        own = own.sort_values(["query", "term"])
         numbers, starts = np.unique(own["query"].to_numpy(np.int64), return_index=True)
         names = [None if v is None or v != v else int(v) for v in own["query_id"].iloc[starts].tolist()]
-        shared = spark.sparkContext.broadcast((numbers, names, np.append(starts, len(own)), own["term"].to_numpy(np.int64).view(np.uint64), own["weight"].to_numpy(np.float64)))
+        shared = spark.sparkContext.broadcast((numbers, names, np.append(starts, len(own)), own["term"].to_numpy(np.uint64), own["weight"].to_numpy(np.float64)))
         part = materialize(index.mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
@@ -232,10 +263,8 @@ def _scan(shared, mean: float, k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 shard, out = Shard(row, mean), []
-                for i, number in enumerate(numbers.tolist()):
-                    own = slice(starts[i], starts[i + 1])
-                    at, scores = shard.search(terms[own], weights[own], k)
-                    out += [(number, names[i], None if d == _NULL else d, s) for d, s in zip(shard.ids[at].tolist(), scores.tolist(), strict=True)]
+                for number, name, (at, scores) in zip(numbers.tolist(), names, shard.search(starts, terms, weights, k), strict=True):
+                    out += [(number, name, None if d == _NULL else d, s) for d, s in zip(shard.ids[at].tolist(), scores.tolist(), strict=True)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["query", "query_id", "doc_id", "score"])
 
