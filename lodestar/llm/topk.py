@@ -36,7 +36,7 @@ from lodestar.plans.scratch import materialize, scratch_path
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK = 64
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 2048
 #: Queries that are scored together within a shard.
 GROUP = 64
 #: A term is frequent in a shard if so large a share of its documents has it.
@@ -244,12 +244,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
     found = None
     for number in range(blocks):
         # A block has about QUERY_BLOCK queries whatever the corpus.
-        own = stored.where(F.col("block") == number).drop("block").toPandas()
-        own["term"] = own["term"].to_numpy(np.int64).view(np.uint64)
-        own = own.sort_values(["query", "term"])
-        numbers, starts = np.unique(own["query"].to_numpy(np.int64), return_index=True)
-        names = [None if v is None or v != v else int(v) for v in own["query_id"].iloc[starts].tolist()]
-        shared = spark.sparkContext.broadcast((numbers, names, np.append(starts, len(own)), own["term"].to_numpy(np.uint64), own["weight"].to_numpy(np.float64)))
+        rows = stored.where(F.col("block") == number).select("query", "query_id", "term", "weight").toArrow()
+        query, term, weight = (rows.column(c).to_numpy() for c in ("query", "term", "weight"))
+        term = term.view(np.uint64)
+        by = np.lexsort((term, query))
+        query, term, weight = query[by], term[by], weight[by]
+        numbers, starts = np.unique(query, return_index=True)
+        names = rows.column("query_id").take(pa.array(by[starts])).to_pylist()
+        shared = spark.sparkContext.broadcast((numbers, names, np.append(starts, len(query)), term, weight))
+        del rows
         part = materialize(index.mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
