@@ -26,7 +26,7 @@ def query_terms(docs: DataFrame, query: str) -> dict[str, int]:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, df) and one row (n, mean): documents without terms count in both."""
-    lengths = docs.select(key, tokenize(F.col(text)).alias("terms"))
+    lengths = docs.select(key, tokenize(searchable(docs, text)).alias("terms"))
     terms = lengths.select(key, F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"))
 

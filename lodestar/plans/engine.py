@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,6 @@ class Engine:
 
     def embed(self, docs: DataFrame, column: str = "text") -> DataFrame:
         """Add the vector of a text column, computed in Arrow batches."""
-        import pandas as pd
-
         embedder = self.embedder
 
         @F.pandas_udf("array<float>")
