@@ -1,0 +1,114 @@
+"""WARC round trips, fingerprints, top-k search and license scans against plain versions."""
+
+import collections
+import hashlib
+import io
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from lodestar.llm import fingerprints, licenses, topk, warc
+
+PAGES = [(1, "http://a", "x" * 1200), (2, "http://b", "x" * 1200), (3, None, "x" * 1200), (4, "u", None), (5, "u", ""), (6, "http://é\r\nX: 1", "é" * 700), (7, "u", "small"), (8, "u", "small"), (None, "u", "y" * 2000), (9, "u", "y" * 2000), (9, "u", "y" * 2000)]
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS payload")
+    got = collections.Counter(tuple(r) for r in warc.round_trip(spark, pages).collect())
+    want = collections.Counter()
+    for i, _, html in PAGES:
+        raw = (html or "").encode()
+        same = [k for k, _, h in PAGES if (h or "").encode() == raw and k is not None]
+        refers = max(same) if len(raw) >= 1000 and i != max(same) else None
+        want[(i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if refers else "response", refers)] += 1
+    assert got == want
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_warc_reader_refuses_damage():
+    good = warc.record_bytes(1, "u", b"<html>", hashlib.sha1(b"<html>").hexdigest(), None)
+    [record] = warc.members(io.BytesIO(good))
+    assert warc.parse_record(record)["payload"] == b"<html>"
+    assert len(list(warc.members(io.BytesIO(good * 3), chunk=7))) == 3
+    for bad in (record.replace(b"<html>", b"<htm1>"), record[:-4], record.replace(b"WARC/1.1", b"X")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(good[:-5])))
+
+
+def test_fingerprints(spark):
+    rnd = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i if i % 9 else None, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 300)))) for i in range(1, 80)] + [(100, None), (101, ""), (102, "!! ??"), (103, "z " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS part", "1 AS role")
+    got = fingerprints.with_neighbours(docs).toPandas()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    terms = lambda t: collections.Counter(re.findall(r"\w+", t.lower()))
+    off = []
+    left = collections.defaultdict(list)
+    for r in got.itertuples():
+        left[(-1 if r.doc_id != r.doc_id else int(r.doc_id), r.n_chars, r.edited_sha256)].append(r)
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        r = left[(-1 if i is None else i, len(t), hashlib.sha256(edited.encode()).hexdigest())].pop()
+        for near, other in ((r.near_edited, edited), (r.near_next, following)):
+            a, b = terms(t), terms(other)
+            off.append(near - (sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0))
+    assert not any(left.values()) and abs(np.mean(off)) < 0.02 and np.std(off) < 0.08
+    assert len(got) == len(rows) and fingerprints.with_neighbours(docs.limit(0)).count() == 0
+    alone = fingerprints.with_neighbours(docs.limit(1)).first()
+    assert alone["near_next"] == 1.0
+    s = fingerprints.Sampler.of()
+    assert fingerprints.shown(s.of_text("a b a")) == fingerprints.shown(s.of_text("B a A")) and fingerprints.shown(s.of_text("")) == ""
+    long = collections.Counter({f"t{i}": 1 + i % 3 for i in range(20_000)})
+    assert fingerprints.likeness(s.sample(long), s.sample(long)) == 1.0
+
+
+def bm25(docs, query, k):
+    tf = {j: collections.Counter(topk.tokens(t)) for j, (_, t) in enumerate(docs)}
+    size = {j: sum(c.values()) for j, c in tf.items()}
+    mean, n = sum(size.values()) / len(docs), len(docs)
+    df = collections.Counter(w for c in tf.values() for w in c)
+    score = {j: sum(q * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[j] / mean)) for w, q in collections.Counter(topk.tokens(query)).items() if w in c) for j, c in tf.items()}
+    best = sorted((j for j in score if score[j] > 0), key=lambda j: (-round(score[j], 9), docs[j][0] is None, docs[j][0] or 0))[:k]
+    return [(docs[j][0], round(score[j], 6)) for j in best]
+
+
+@pytest.mark.parametrize("shard", [3, 50, 8192])
+def test_topk(spark, monkeypatch, shard):
+    monkeypatch.setattr(topk, "SHARD_DOCS", shard)
+    rnd = random.Random(shard)
+    vocabulary = [f"w{int(rnd.expovariate(0.05))}" for _ in range(400)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 80)))) for i in range(180)]
+    rows += [(200 + i, rows[5][1]) for i in range(15)] + [(300, None), (301, ""), (None, rows[5][1]), (302, "unique " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS lang", "2 AS score")
+    asked = [(5, rows[5][1] + " w1 w1"), (7, rows[7][1]), (8, ""), (9, None), (10, "absent"), (11, "unique w3")]
+    got = collections.defaultdict(list)
+    for r in topk.search(docs, spark.createDataFrame(asked, "doc_id long, text string"), 10, order="lang").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    for i, q in asked:
+        assert [(d, pytest.approx(s, abs=2e-6)) for d, s in got[i]] == bm25(rows, q, 10)
+    if shard == 50:
+        assert topk.search(docs.limit(0), docs.limit(2), 3).count() == 0 and topk.search(docs, docs.limit(0), 3).count() == 0
+
+
+def test_licenses(spark):
+    phrases = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+
+    def plain(t):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        places = [(i, label) for p, label in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+    rnd = random.Random(4)
+    vocabulary = "under the mit license apache version 2 cc by nc UNDER The MIT, é licénse gnu general public 3 \x7f".split(" ")
+    rows = [(i if i % 7 else None, t) for i, t in enumerate([None, "", "cc by nc cc by nc", "cc by nc " * 3000, "a" * 50_000, "This work is licensed under the GNU General Public License, version 3."] + [" ".join(rnd.choice(vocabulary) for _ in range(150)) for _ in range(60)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS words", "3 AS label")
+    out = licenses.find(docs).collect()
+    assert collections.Counter(tuple(r)[:6] for r in out) == collections.Counter((i, *plain(t or "")) for i, t in rows)
+    assert next(r for r in out if r["doc_id"] == 5)["labels"] == "gpl-3" and all(0 <= r["score"] <= 1 for r in out)
+    assert licenses.find(docs.limit(0)).count() == 0
