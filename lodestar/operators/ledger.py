@@ -81,3 +81,19 @@ def history_for(history: DataFrame, file: str) -> DataFrame:
 def recent_uploads(history: DataFrame, limit: int = 50) -> DataFrame:
     """Newest first."""
     return history.where("op = 'upload'").orderBy(F.desc("ts"), "file").limit(limit)
+
+
+def migrated(legacy: DataFrame, channel: str = "web") -> tuple[DataFrame, DataFrame]:
+    """Documents of the old folders (path, text) as entries with bodies, and the moves (old, new) of their paths.
+
+    The day is that of fetched_at; a document without one keeps the day of 1970-01-01.
+    """
+    from lodestar.functions.dates import parse_date
+    from lodestar.operators.vault import NO_CATEGORY, vault_path
+
+    rows = parse_legacy(legacy).withColumn("body", F.trim("body")).where("body <> ''")
+    stamp = F.coalesce(parse_date(F.col("fetched_at")), F.lit("1970-01-01").cast("timestamp"))
+    full = rows.withColumn("sha256", F.sha2("body", 256)).withColumn("stamp", stamp)
+    named = full.withColumn("new", vault_path(F.col("stamp"), F.lit(channel), F.lit(NO_CATEGORY), F.col("sha256"), F.col("title"), F.col("source"), F.lit(".md")))
+    entries = named.select(F.col("new").alias("path"), F.substring("sha256", 1, 8).alias("id"), F.lit(channel).alias("channel"), "title", F.col("source").alias("url"), "provider", "sha256", "fetched_at", "body").dropDuplicates(["sha256"])
+    return entries, named.select(F.col("path").alias("old"), "new")

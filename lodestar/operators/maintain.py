@@ -87,3 +87,18 @@ def claimed_and_loaded(catalog: DataFrame, points: DataFrame) -> DataFrame:
     claimed = catalog.agg(F.coalesce(F.sum("chunks"), F.lit(0).cast("long")).alias("claimed"))
     loaded = points.agg(F.count(F.lit(1)).alias("loaded"))
     return claimed.withColumn("_k", F.lit(1)).join(loaded.withColumn("_k", F.lit(1)), "_k").select("claimed", "loaded", ((F.col("claimed") > 0) & (F.col("loaded") == 0)).alias("broken"))
+
+
+def prune_sources(catalog: DataFrame) -> DataFrame:
+    """The catalog without sources that hold no chunks."""
+    return catalog.where(F.coalesce("chunks", F.lit(0)) > 0)
+
+
+def missing_collections(manifests: DataFrame, registry: DataFrame) -> DataFrame:
+    """Manifests (name, ...) of collections that the registry does not know, to be registered."""
+    return manifests.join(registry.select("name"), "name", "left_anti")
+
+
+def backfill(points: DataFrame, source: str, indexed_at: str) -> DataFrame:
+    """Give every row the source and the time of its collection."""
+    return points.withColumn("source_file", F.lit(source)).withColumn("indexed_at", F.lit(indexed_at).cast("timestamp"))

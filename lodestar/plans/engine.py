@@ -14,6 +14,7 @@ from lodestar.operators import chunking, fusion, grep, keyword, ledger, maintain
 from lodestar.operators.filters import apply_filter, from_metadata
 from lodestar.operators.store import POINTS, Store, tag_tree
 from lodestar.sources import websearch
+from lodestar.sources.records import Registry
 from lodestar.sources.settings import Settings
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -45,7 +46,7 @@ class Engine:
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
         self.store, self.documents = Store(spark, f"{self.root}/collections"), Store(spark, f"{self.root}/documents")
         self.embedder, self.scorer = embedder or hashed_embedder(), scorer or fusion.overlap_scorer
-        self.registry: dict[str, dict] = {}
+        self.registry = Registry(self.store, f"{self.root}/collections.json")
 
     # Writing
 
@@ -81,7 +82,7 @@ class Engine:
         if replace_source:
             self.store.replace(collection, own.join(docs.select("source_file").distinct(), "source_file", "left_anti").select(*own.columns))
         self.store.upsert(collection, new)
-        self.registry.setdefault(collection, {"enabled": True})
+        self.registry.update_entry(collection)
         return self.store.count(collection)
 
     def rebuild_collection(self, docs: DataFrame, collection: str, **options) -> int:
@@ -125,7 +126,7 @@ class Engine:
             return list(collections)
         if self.settings.default_collection:
             return [self.settings.default_collection]
-        enabled = [n for n in stored if self.registry.get(n, {}).get("enabled")]
+        enabled = [n for n in self.registry.enabled() if n in stored]
         return enabled or stored
 
     def search_memory(self, query: str, collections: Sequence[str] = (), top_k: int = 0, threshold: float | None = None, condition: dict | None = None, metadata: dict | None = None, rerank: bool | None = None) -> DataFrame:
@@ -188,12 +189,11 @@ class Engine:
     def set_collection_meta(self, name: str, **changes) -> dict:
         """Change what is given; None leaves a value as it is."""
         self.store.read(name)
-        self.registry.setdefault(name, {"enabled": True}).update({k: v for k, v in changes.items() if v is not None})
-        return self.registry[name]
+        return self.registry.update_entry(name, **changes)
 
     def delete_collection(self, name: str, confirm: bool = False) -> None:
         self.store.drop(name, confirm)
-        self.registry.pop(name, None)
+        self.registry.remove(name)
 
     def verify(self, name: str) -> DataFrame:
         rows = self.store.read(name)
