@@ -6,7 +6,7 @@ corpus. Queries are taken in blocks of a bounded size, each broadcast to all
 shards. Within a shard the postings of a query's rarer terms are added up; of
 terms that are frequent there only the largest contribution in each block of
 BLOCK documents is added, which bounds every document's score from above.
-Documents whose bound is below the k-th best score found so far are skipped; the
+Documents whose bound is below the k-th best score found so far, there or in the shards searched first, are skipped; the
 others are scored in full. Scores that reach the shard's result are summed again
 in double precision, in the order of the terms' hashes, so that they do not
 depend on the sharding. The shards' results are merged by score, then doc_id.
@@ -37,6 +37,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK = 64
 QUERY_BLOCK = 2048
+#: One shard in so many is searched first.
+WAVE = 8
 #: Queries that are scored together within a shard.
 GROUP = 64
 #: A term is frequent in a shard if so large a share of its documents has it.
@@ -91,7 +93,7 @@ def build_index(docs: DataFrame, order: str | None = None) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, _SHARD), "index")
+    return materialize(rows.mapInArrow(run, _SHARD).select(F.monotonically_increasing_id().alias("shard"), "*"), "index")
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -162,8 +164,8 @@ class Shard:
         self.bound = padded.reshape(self.blocks, BLOCK, len(often)).max(1)
         self.mark = np.full(n, -1)
 
-    def search(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and exact scores of the best k documents of each query; query i has the terms from starts[i] to starts[i + 1].
+    def search(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and exact scores of the best k documents of each query that score no less than ``least``; query i has the terms from starts[i] to starts[i + 1].
 
         Queries with the same most promising block are taken together, so that the
         blocks that none of them needs are skipped for all and the others are one
@@ -200,6 +202,7 @@ class Shard:
                 near = score[row, own] + self.dense[own] @ often[group[row]]
                 if len(near) >= k:
                     floor[row] = np.partition(near, -k)[-k]
+            floor = np.maximum(floor, least[group])
             slack = 2e-5 * np.maximum(1, upper.max(1))
             live = np.flatnonzero((upper >= (floor - slack)[:, None]).any(0))
             docs = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -207,12 +210,12 @@ class Shard:
             full = score[:, docs] + often[group] @ (self.dense if len(docs) == self.n else self.dense[docs]).T
             last = np.partition(full, -k, axis=1)[:, -k] if len(docs) > k else np.zeros(len(group), np.float32)
             for row, q in enumerate(group.tolist()):
-                chosen = docs[full[row] >= max(last[row] - slack[row], 1e-9)]
+                chosen = docs[full[row] >= max(max(last[row], least[q]) - slack[row], 1e-9)]
                 span = slice(starts[q], starts[q + 1])
-                found[q] = self._exact(chosen, *postings[row], starts[q], np.where(frequent[span], self.slot[place[span]], -1), weights[span], k)
+                found[q] = self._exact(chosen, *postings[row], starts[q], np.where(frequent[span], self.slot[place[span]], -1), weights[span], k, least[q])
         yield from found
 
-    def _exact(self, docs: np.ndarray, posting: np.ndarray, term: np.ndarray, start: int, slots: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, docs: np.ndarray, posting: np.ndarray, term: np.ndarray, start: int, slots: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """The best k of a few documents, summed in double precision in the order of the query's terms, whatever shard they are in."""
         gains = np.zeros((len(docs), len(weights)))
         self.mark[docs] = np.arange(len(docs))
@@ -224,7 +227,7 @@ class Shard:
         gains[:, often] = self.wide[np.ix_(docs, slots[often])]
         exact = np.cumsum(gains * weights, axis=1)[:, -1] if len(weights) else np.zeros(len(docs))
         order = np.lexsort((np.where(self.ids[docs] == _NULL, np.iinfo(np.int64).max, self.ids[docs]), -exact))[:k]
-        order = order[exact[order] > 0]
+        order = order[(exact[order] > 0) & (exact[order] >= least)]
         return docs[order], exact[order]
 
 
@@ -251,10 +254,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
         query, term, weight = query[by], term[by], weight[by]
         numbers, starts = np.unique(query, return_index=True)
         names = rows.column("query_id").take(pa.array(by[starts])).to_pylist()
-        shared = spark.sparkContext.broadcast((numbers, names, np.append(starts, len(query)), term, weight))
         del rows
-        part = materialize(index.mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
-        found = part if found is None else found.unionByName(part)
+        given = (numbers, names, np.append(starts, len(query)), term, weight)
+        # One shard in WAVE gives each query a score that its k-th best document reaches; the others return what is no worse.
+        early = F.pmod(F.xxhash64("shard"), F.lit(WAVE)) == 0
+        least = np.zeros(len(numbers))
+        for wave in (early, ~early):
+            shared = spark.sparkContext.broadcast((*given, least))
+            part = materialize(index.where(wave).drop("shard").mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
+            found = part if found is None else found.unionByName(part)
+            if wave is early:
+                nth = part.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == k).select("query", "score").toArrow()
+                least[np.searchsorted(numbers, nth.column("query").to_numpy())] = nth.column("score").to_numpy()
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
@@ -262,11 +273,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
 
 def _scan(shared, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, names, starts, terms, weights = shared.value
+        numbers, names, starts, terms, weights, least = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 shard, out = Shard(row, mean), []
-                for number, name, (at, scores) in zip(numbers.tolist(), names, shard.search(starts, terms, weights, k), strict=True):
+                for number, name, (at, scores) in zip(numbers.tolist(), names, shard.search(starts, terms, weights, k, least), strict=True):
                     out += [(number, name, None if d == _NULL else d, s) for d, s in zip(shard.ids[at].tolist(), scores.tolist(), strict=True)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["query", "query_id", "doc_id", "score"])
