@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line with the median of three runs of each."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line with the median of two warm runs of each."""
 
 import contextlib
 import io
@@ -24,7 +24,7 @@ def main() -> None:
         took = {}
         for name in HEADLINE:
             runs = []
-            for _ in range(4):
+            for _ in range(3):
                 start = time.perf_counter()
                 QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
                 runs.append(time.perf_counter() - start)
