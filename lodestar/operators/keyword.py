@@ -42,8 +42,12 @@ def search(docs: DataFrame, query: str, k: int = 10, condition: dict | None = No
     found = tokenize(searchable(rows, text, tags))
     if not terms:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    counts = [F.size(F.filter("_terms", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(terms)]
-    slim = rows.withColumn("_terms", found).withColumn("_dl", F.size("_terms")).select(*rows.columns, "_dl", *counts)
+    # Each explode of one struct keeps the projections apart: a text is tokenised once, and only its hits are counted by term.
+    once = rows.select(*rows.columns, F.explode(F.array(F.struct(found.alias("t")))).alias("_x"))
+    kept = F.struct(F.size("_x.t").alias("dl"), F.filter("_x.t", lambda t: t.isin(list(terms))).alias("hits"))
+    hits = once.select(*rows.columns, F.explode(F.array(kept)).alias("_y"))
+    counts = [F.size(F.filter("_y.hits", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(terms)]
+    slim = hits.select(*rows.columns, F.col("_y.dl").alias("_dl"), *counts)
     stats = slim.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("mean"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i, times in enumerate(terms.values()):
