@@ -228,3 +228,44 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def _edit_similar(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9
+
+
+def test_lines_group_all_that_brute_force_groups(spark):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    texts = []
+    for _ in range(50):
+        line = [rnd.choice(vocabulary) for _ in range(rnd.choice([4, 5, 6, 9, 10, 14, 30, 55]))]
+        texts.append(line)
+        for _ in range(rnd.randrange(5)):
+            copy = list(line)
+            for _ in range(rnd.randrange(1, len(line) // 5 + 2)):
+                at, how = rnd.randrange(len(copy)), rnd.random()
+                copy[at : at + (how < 0.7)] = [rnd.choice(vocabulary)] if how > 0.3 else []
+            texts.append(copy)
+    # One common word pair in lines that differ otherwise, and lines equal or near to some of them.
+    crowd = [["common", "wordpairs", *(rnd.choice(vocabulary) for _ in range(8))] for _ in range(40)]
+    texts += crowd + [[*c[:-1], "other"] for c in crowd]
+    norm = {" ".join(t): None for t in texts if t}
+    parent = {t: t for t in norm}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(norm, 2):
+        if _edit_similar(a.split(), b.split()):
+            parent[find(b)] = find(a)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sum(r["n_kept"] for r in lines.dedup(docs).collect())
+    assert got == len({find(t) for t in norm}) + sum(not t for t in texts)
