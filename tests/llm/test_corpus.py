@@ -269,3 +269,9 @@ def test_lines_group_all_that_brute_force_groups(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = sum(r["n_kept"] for r in lines.dedup(docs).collect())
     assert got == len({find(t) for t in norm}) + sum(not t for t in texts)
+
+
+def test_lines_are_equal_by_their_words(spark):
+    texts = ["To be, or not to be", "to be or  not to be!", "a to b of c in d it", "a to b of c in d at", "- Yes.", "yes"]
+    kept = {r["doc_id"]: r["n_kept"] for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
