@@ -38,7 +38,7 @@ BASE = {
 }
 LOOSE = {
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_key) ?[=:] ?(?:\"[^\"\s]{6,128}\"|[^\s\"]{6,128})",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api_key) ?[=:] ?(?:\"[^\"\s]{6,}+\"|[^\s\"]{6,}+)",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
 }
@@ -49,7 +49,7 @@ _HINT = {
     "card": ("rlike", r"[0-9](?:[ -]?[0-9]){11}"),
     "phone": ("contains", "+"),
     "key": ("contains", "AKIA"),
-    "secret": ("rlike", r"(?:password|passwd|pwd|token|secret|api_key) ?[=:]"),
+    "secret": ("rlike", r"(?i:password|passwd|pwd|token|secret|api_key) ?[=:]"),
     "ssn": ("rlike", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "local": ("rlike", r"[0-9]{3}[-. )]{1,2}[0-9]{3}[-. ][0-9]{4}"),
 }

@@ -275,3 +275,11 @@ def test_lines_are_equal_by_their_words(spark):
     texts = ["To be, or not to be", "to be or  not to be!", "a to b of c in d it", "a to b of c in d at", "- Yes.", "yes"]
     kept = {r["doc_id"]: r["n_kept"] for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_secrets_of_any_length_and_case(spark):
+    secrets = ['token="' + "a1" * 100 + '"', "secret=" + "b2" * 150, "API_KEY=abc123def456", "Password: hunter22", "password=" + "c3" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(secrets)), "doc_id long, text string")
+    found = docs.select("doc_id", pii.candidates(F.col("text")).alias("spans")).collect()
+    for r in found:
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "secret" and s["valid"]] == [(0, len(secrets[r["doc_id"]]))], r["doc_id"]
