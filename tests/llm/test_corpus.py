@@ -283,3 +283,12 @@ def test_secrets_of_any_length_and_case(spark):
     found = docs.select("doc_id", pii.candidates(F.col("text")).alias("spans")).collect()
     for r in found:
         assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "secret" and s["valid"]] == [(0, len(secrets[r["doc_id"]]))], r["doc_id"]
+
+
+def test_quality_rejects_junk_outside_the_quantiles(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
+    out = lm_quality.judge(docs, labels.where(~hidden)).join(labels.where(hidden), "doc_id").groupBy("quality", "keep").count().collect()
+    n = {(r["quality"], r["keep"]): r["count"] for r in out}
+    assert n[(0, False)] / (n[(0, False)] + n[(0, True)]) >= 0.94
+    assert n[(1, True)] / (n[(1, True)] + n[(1, False)]) >= 0.98
