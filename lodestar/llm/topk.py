@@ -1,15 +1,21 @@
-"""Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
+"""Exact top-k search by BM25 over sharded inverted indexes with block-max WAND pruning.
 
 Every shard is an inverted index of a bounded number of documents, built where
 they are read. N, the mean length and document frequencies are those of the whole
-corpus. Queries are taken in blocks of a bounded size, each broadcast to all
-shards. Within a shard the postings of a query's rarer terms are added up; of
-terms that are frequent there only the largest contribution in each block of
-BLOCK documents is added, which bounds every document's score from above.
-Documents whose bound is below the k-th best score found so far, there or in the shards searched first, are skipped; the
-others are scored in full. Scores that reach the shard's result are summed again
-in double precision, in the order of the terms' hashes, so that they do not
-depend on the sharding. The shards' results are merged by score, then doc_id.
+corpus. Documents of a shard stand in blocks of BLOCK; for every term, rare or
+frequent, and every block it occurs in, the shard knows the term's largest
+contribution there and where its postings of that block begin. For a query the
+sum of these maxima bounds the scores of each block. Blocks are visited from the
+highest bound down, and only their postings are read and scored; the k-th best
+score so far, there or in the shards searched first, is the threshold, and the
+pivot is the first block whose bound is below it: that block and all behind it
+are skipped with their postings. Rounding is monotone and both sums run in the
+order of the terms' hashes, so a block's bound is never below a score in it, and
+scores do not depend on the sharding. The shards' results are merged by score
+(rounded to DIGITS decimals, as returned), then doc_id.
+
+Queries are taken in blocks of a bounded number of terms, each broadcast to all
+shards and destroyed afterwards; the broadcast's size does not depend on the corpus.
 
 Defined results: terms are lower-cased runs of word characters; a term that
 occurs twice in a query counts twice; null and empty texts are documents of
@@ -36,13 +42,14 @@ from lodestar.plans.scratch import materialize, scratch_path
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK = 64
-QUERY_BLOCK = 2048
+#: Query terms that are broadcast at once (16 bytes each).
+QUERY_TERMS = 1_000_000
 #: One shard in so many is searched first.
 WAVE = 8
-#: Queries that are scored together within a shard.
-GROUP = 64
-#: A term is frequent in a shard if so large a share of its documents has it.
-FREQUENT = 0.05
+#: Blocks visited first; each further step visits twice as many as the one before.
+STEP = 2
+#: Decimals of the scores.
+DIGITS = 6
 _NULL = -(1 << 63)
 _WORD = re.compile(r"\w+")
 
@@ -105,8 +112,8 @@ def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(x) // 8 for x in batch.column("lengths").to_pylist()]
-            total = [int(np.frombuffer(x, np.int64).sum()) for x in batch.column("lengths").to_pylist()]
+            sizes = [np.frombuffer(x, np.int64) for x in batch.column("lengths").to_pylist()]
+            n, total = [len(x) for x in sizes], [int(x.sum()) for x in sizes]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.int64())], ["n", "total"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,94 +148,74 @@ def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard's index made ready for scoring."""
+    """A shard's index made ready for scoring: postings by term and, within a term, by block."""
 
     def __init__(self, row: dict, mean: float):
-        self.ids, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
-        self.terms, self.starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int64)
-        self.docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32).astype(np.float64)
-        n = self.n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
-        self.gain = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * self.lengths[self.docs] / mean))
-        self.small = self.gain.astype(np.float32)
-        self.df = np.diff(self.starts)
-        self.slot = np.full(len(self.terms), -1)
-        often = np.flatnonzero(self.df >= max(2, FREQUENT * n))
-        self.slot[often] = np.arange(len(often))
-        self.wide = np.zeros((n, len(often)))
-        at = _flat(self.starts[often], self.df[often]) if len(often) else np.zeros(0, np.int64)
-        self.wide[self.docs[at], np.repeat(np.arange(len(often)), self.df[often])] = self.gain[at]
-        self.dense = self.wide.astype(np.float32)
-        padded = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
-        padded[:n] = self.dense
-        self.bound = padded.reshape(self.blocks, BLOCK, len(often)).max(1)
-        self.mark = np.full(n, -1)
+        self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
+        self.terms, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int64)
+        self.docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        norm = K1 * (1 - B + B * lengths / mean)
+        self.gain = tfs * (K1 + 1) / (tfs + norm[self.docs])
+        block = self.docs // BLOCK
+        turn = np.ones(len(block), bool)
+        turn[1:] = block[1:] != block[:-1]
+        turn[starts[:-1][np.diff(starts) > 0]] = True
+        #: A run is what a term has in a block: its first posting, its block and its largest contribution.
+        first = np.flatnonzero(turn)
+        self.run_block = block[first]
+        self.run_best = np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)
+        self.run_start = np.append(first, len(block))
+        self.term_runs = np.searchsorted(first, starts)
+        self.place = np.zeros(self.blocks, np.int64)
+        self.read = 0
 
     def search(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and exact scores of the best k documents of each query that score no less than ``least``; query i has the terms from starts[i] to starts[i + 1].
-
-        Queries with the same most promising block are taken together, so that the
-        blocks that none of them needs are skipped for all and the others are one
-        matrix product.
-        """
-        n_queries = len(starts) - 1
-        place = np.searchsorted(self.terms, terms)
-        place[place == len(self.terms)] = 0
-        known = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        query = np.repeat(np.arange(n_queries), np.diff(starts))
-        frequent = known & (self.slot[place] >= 0)
-        often = np.zeros((n_queries, self.dense.shape[1]), np.float32)
-        often[query[frequent], self.slot[place[frequent]]] = weights[frequent]
-        rare = np.flatnonzero(known & ~frequent)
-        first = np.searchsorted(query[rare], np.arange(n_queries + 1))
-        bounds = often @ self.bound.T
-        order = np.argsort(bounds.argmax(1) if self.blocks else np.zeros(n_queries), kind="stable")
-        found: list = [None] * n_queries
-        for at in range(0, n_queries, GROUP):
-            group = order[at : at + GROUP]
-            score = np.zeros((len(group), self.blocks * BLOCK), np.float32)
-            postings = []
-            for row, q in enumerate(group.tolist()):
-                own = rare[first[q] : first[q + 1]]
-                sizes = self.df[place[own]]
-                posting, term = _flat(self.starts[place[own]], sizes), np.repeat(own, sizes)
-                postings.append((posting, term))
-                score[row, : self.n] = np.bincount(self.docs[posting], self.small[posting] * weights[term], self.n)
-            upper = bounds[group] + score.reshape(len(group), self.blocks, BLOCK).max(2)
-            best = upper.argmax(1)
-            floor = np.full(len(group), -np.inf, np.float32)
-            for row in range(len(group)):
-                own = slice(best[row] * BLOCK, min(self.n, (best[row] + 1) * BLOCK))
-                near = score[row, own] + self.dense[own] @ often[group[row]]
-                if len(near) >= k:
-                    floor[row] = np.partition(near, -k)[-k]
-            floor = np.maximum(floor, least[group])
-            slack = 2e-5 * np.maximum(1, upper.max(1))
-            live = np.flatnonzero((upper >= (floor - slack)[:, None]).any(0))
-            docs = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            docs = docs[docs < self.n]
-            full = score[:, docs] + often[group] @ (self.dense if len(docs) == self.n else self.dense[docs]).T
-            last = np.partition(full, -k, axis=1)[:, -k] if len(docs) > k else np.zeros(len(group), np.float32)
-            for row, q in enumerate(group.tolist()):
-                chosen = docs[full[row] >= max(max(last[row], least[q]) - slack[row], 1e-9)]
-                span = slice(starts[q], starts[q + 1])
-                found[q] = self._exact(chosen, *postings[row], starts[q], np.where(frequent[span], self.slot[place[span]], -1), weights[span], k, least[q])
-        yield from found
-
-    def _exact(self, docs: np.ndarray, posting: np.ndarray, term: np.ndarray, start: int, slots: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of a few documents, summed in double precision in the order of the query's terms, whatever shard they are in."""
-        gains = np.zeros((len(docs), len(weights)))
-        self.mark[docs] = np.arange(len(docs))
-        row = self.mark[self.docs[posting]]
-        hit = np.flatnonzero(row >= 0)
-        gains[row[hit], term[hit] - start] = self.gain[posting[hit]]
-        self.mark[docs] = -1
-        often = np.flatnonzero(slots >= 0)
-        gains[:, often] = self.wide[np.ix_(docs, slots[often])]
-        exact = np.cumsum(gains * weights, axis=1)[:, -1] if len(weights) else np.zeros(len(docs))
-        order = np.lexsort((np.where(self.ids[docs] == _NULL, np.iinfo(np.int64).max, self.ids[docs]), -exact))[:k]
-        order = order[(exact[order] > 0) & (exact[order] >= least)]
-        return docs[order], exact[order]
+        """Positions and scores of the best k documents of each query that score no less than ``least``; query i has the terms (in order of hash) from starts[i] to starts[i + 1]."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            own = np.flatnonzero(known[a:b]) + a
+            yield self._best(at[own], weights[own], k, least[i])
+
+    def _best(self, slots: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.term_runs[slots + 1] - self.term_runs[slots]
+        runs, weight = _flat(self.term_runs[slots], sizes), np.repeat(weights, sizes)
+        where = self.run_block[runs]
+        bound = np.bincount(where, self.run_best[runs] * weight, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order]
+        docs, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, STEP
+        # A score is at most half a unit of its last decimal above what it is rounded to.
+        slack = 10.0**-DIGITS
+        while at < len(order):
+            pivot = at + int(np.searchsorted(-bound[at:], -max(least - slack, 1e-12), side="right"))
+            some = order[at : min(pivot, at + step)]
+            if not len(some):
+                break
+            self.place[:] = -1
+            self.place[some] = np.arange(len(some))
+            live = np.flatnonzero(self.place[where] >= 0)
+            own = runs[live]
+            count = self.run_start[own + 1] - self.run_start[own]
+            posting = _flat(self.run_start[own], count)
+            self.read += len(posting)
+            doc = self.docs[posting]
+            total = np.bincount(self.place[doc // BLOCK] * BLOCK + doc % BLOCK, self.gain[posting] * np.repeat(weight[live], count), len(some) * BLOCK)
+            hit = np.flatnonzero(total > 0)
+            total = np.round(total[hit], DIGITS)
+            fit = total >= least
+            docs = np.concatenate([docs, some[hit[fit] // BLOCK] * BLOCK + hit[fit] % BLOCK])
+            scores = np.concatenate([scores, total[fit]])
+            if len(scores) > k:
+                ids = self.ids[docs]
+                keep = np.lexsort((np.where(ids == _NULL, np.iinfo(np.int64).max, ids), -scores))[:k]
+                docs, scores = docs[keep], scores[keep]
+            if len(scores) >= k:
+                least = max(least, float(scores.min()))
+            at, step = at + len(some), 2 * step
+        return docs, scores
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None = None) -> DataFrame:
@@ -238,7 +225,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
     n, mean, df = statistics(index)
     terms = materialize(query_terms(queries), "query-terms")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    blocks = max(1, -(-terms.select("query").distinct().count() // QUERY_BLOCK))
+    blocks = max(1, -(-terms.count() // QUERY_TERMS))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
     path = scratch_path(spark, "queries")
     weighted = terms.join(df, "term").select("query", "query_id", F.col("term"), (F.col("qtf") * idf).alias("weight"), block.alias("block"))
@@ -246,7 +233,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
     stored = spark.read.schema("query long, query_id long, term long, weight double, block int").parquet(path)
     found = None
     for number in range(blocks):
-        # A block has about QUERY_BLOCK queries whatever the corpus.
+        # A block has about QUERY_TERMS terms whatever the corpus.
         rows = stored.where(F.col("block") == number).select("query", "query_id", "term", "weight").toArrow()
         query, term, weight = (rows.column(c).to_numpy() for c in ("query", "term", "weight"))
         term = term.view(np.uint64)
@@ -262,24 +249,26 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
         for wave in (early, ~early):
             shared = spark.sparkContext.broadcast((*given, least))
             part = materialize(index.where(wave).drop("shard").mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
+            shared.destroy()
             found = part if found is None else found.unionByName(part)
             if wave is early:
                 nth = part.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == k).select("query", "score").toArrow()
                 least[np.searchsorted(numbers, nth.column("query").to_numpy())] = nth.column("score").to_numpy()
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def _scan(shared, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, names, starts, terms, weights, least = shared.value
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         for batch in batches:
-            for row in batch.to_pylist():
-                shard, out = Shard(row, mean), []
+            # One shard at a time, read in place.
+            for i in range(batch.num_rows):
+                shard, out = Shard({c: batch.column(c)[i].as_buffer() for c in batch.schema.names}, mean), []
                 for number, name, (at, scores) in zip(numbers.tolist(), names, shard.search(starts, terms, weights, k, least), strict=True):
                     out += [(number, name, None if d == _NULL else d, s) for d, s in zip(shard.ids[at].tolist(), scores.tolist(), strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["query", "query_id", "doc_id", "score"])
 
     return run

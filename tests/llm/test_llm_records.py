@@ -74,7 +74,7 @@ def bm25(docs, query, k):
     mean, n = sum(size.values()) / len(docs), len(docs)
     df = collections.Counter(w for c in tf.values() for w in c)
     score = {j: sum(q * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[j] / mean)) for w, q in collections.Counter(topk.tokens(query)).items() if w in c) for j, c in tf.items()}
-    best = sorted((j for j in score if score[j] > 0), key=lambda j: (-round(score[j], 9), docs[j][0] is None, docs[j][0] or 0))[:k]
+    best = sorted((j for j in score if score[j] > 0), key=lambda j: (-round(score[j], 6), docs[j][0] is None, docs[j][0] or 0))[:k]
     return [(docs[j][0], round(score[j], 6)) for j in best]
 
 
@@ -96,6 +96,35 @@ def test_topk(spark, monkeypatch, shard):
         assert topk.search(docs.limit(0), docs.limit(2), 3).count() == 0 and topk.search(docs, docs.limit(0), 3).count() == 0
 
 
+def test_topk_skips_postings():
+    """Blocks below the pivot are not read, and what is read gives the same best documents as all postings."""
+    # A block's documents have a topic; a query has three words of one topic and two common ones.
+    rng = np.random.default_rng(3)
+    topic = lambda j: rng.choice(100, 30, replace=False) + 1000 + 100 * (j // topk.BLOCK)
+    common = lambda n: rng.choice(200, n, replace=False) + 1
+    docs = [np.sort(np.concatenate([topic(j), common(30)])).astype(np.uint64) for j in range(4096)]
+    lengths = np.array([len(d) for d in docs])
+    names, own = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+    by = np.argsort(names, kind="stable")
+    terms, starts = np.unique(names[by], return_index=True)
+    row = {"ids": np.arange(len(docs)), "lengths": lengths, "terms": terms, "starts": np.append(starts, len(by)), "docs": own[by], "tfs": np.ones(len(by), np.int32)}
+    shard = topk.Shard({k: v.tobytes() for k, v in row.items()}, float(lengths.mean()))
+    asked, all_postings = [np.sort(np.concatenate([topic(i)[:3], common(2)])).astype(np.uint64) for i in range(0, 4096, 97)], 0
+    for q in asked:
+        weights = 1 + (q % 7).astype(float)
+        (at, scores), = shard.search(np.array([0, len(q)]), q, weights, 10, np.zeros(1))
+        full = np.zeros(len(docs))
+        for t, w in zip(q, weights, strict=True):
+            span = slice(shard.term_runs[np.searchsorted(terms, t)], shard.term_runs[np.searchsorted(terms, t) + 1])
+            posts = slice(shard.run_start[span.start], shard.run_start[span.stop])
+            full[shard.docs[posts]] += shard.gain[posts] * w
+            all_postings += posts.stop - posts.start
+        full = np.round(full, topk.DIGITS)
+        want = np.lexsort((np.arange(len(docs)), -full))[:10]
+        assert at.tolist() == want.tolist() and scores.tolist() == full[want].tolist()
+    assert shard.read < all_postings / 2
+
+
 def test_licenses(spark):
     phrases = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
