@@ -1,17 +1,21 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
 Texts are sets of hashed word 5-grams. Texts with equal sets form one class and
-only its representative goes on. Each of TREES trees orders the representatives
-by a sequence of min-hashes: documents that share a prefix are candidates. The
-prefix is shortened from DEPTHS[0] until TREES trees find a pair at the
-threshold with the target recall. Where a prefix is shared by many, its bucket
-names only a few hubs (minima and maxima, aggregated before the shuffle) at
-every depth, so a dense place of the trie is resolved by its longer prefixes and
-candidates grow with the documents, not with the square of a group. Candidates
-whose sketches are clearly too different go; the rest join components, and
-inside a component all pairs are compared exactly, in square tiles of at most
-TILE x TILE documents, so that no task holds a whole large group and no row is
-made for a pair: a tile returns each document's number of links and its root.
+only its representative goes on. Each of TREES trees is a trie of labels, the
+representatives' sequences of DEPTH min-hashes. Of every tree only the branches
+below the shortest prefix that is ever needed, and that at least two documents
+share, are kept. They are searched from the longest prefix to shorter ones, and
+prefixes are shortened until TREES trees find a pair at the threshold with the
+target recall. At each length a branch whose documents are already in one
+component needs no more work, so dense groups of copies are settled by their
+long prefixes (first through a branch's hubs, its smallest and largest document,
+aggregated before the shuffle). In a branch that is not settled every two
+documents of different components are compared by their sketches, in square tiles,
+and a tile returns no more links than it has documents: no partner is capped and
+no pair of a group becomes a row. Documents whose sketches are not clearly too
+different join components, and inside a component all pairs are compared
+exactly, again in tiles of at most TILE x TILE documents: a tile returns each
+document's number of links and its root.
 
 Defined results: a text of one to four words is one shingle of all its words; a
 null text, or one without words, has no shingles and is a class of its own;
@@ -32,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.plans.components import connected_components
-from lodestar.plans.scratch import free_shuffles, materialize
+from lodestar.plans.scratch import free_shuffles, materialize, release
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-TREES, DEPTHS = 24, (12, 9, 6)
+#: Trees, min-hashes of a label, and bytes of each.
+TREES, DEPTH, CODE = 24, 12, 2
+#: Prefixes are shortened by so many min-hashes at a time.
+STEP = 3
 #: Bytes of the sketch that tells clearly different candidates apart, and how far below the threshold its estimate may be (5 standard errors).
 SKETCH, MARGIN = 128, 0.18
 #: Documents on a tile's side.
 TILE = 768
-#: Members whose keys are broadcast to fetch their texts (24 bytes each); more are joined.
-BROADCAST_MEMBERS = 250_000
 
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -97,11 +102,11 @@ class Shingler:
         return np.unique(_mixed(out + np.uint64(n)))
 
 
-_SEEDS = _mixed(np.arange(1, 2 * TREES * DEPTHS[0] + 1, dtype=np.uint64) * np.uint64(_P)).reshape(2, -1)
+_SEEDS = _mixed(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(_P)).reshape(2, -1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES x DEPTHS[0] min-hashes of 32 bits."""
+    """TREES x DEPTH min-hashes of 32 bits."""
     low = np.full(_SEEDS.shape[1], np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 512):
         mixed = (shingles[k : k + 512, None] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
@@ -109,10 +114,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
-def stop_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> int:
-    """The longest prefix at which the trees still find a pair at the threshold with the target recall."""
-    fitting = [d for d in DEPTHS if 1 - (1 - threshold**d) ** trees >= recall]
-    return max(fitting, default=DEPTHS[-1])
+def recall_at(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """The share of pairs at the threshold that have a prefix of this length in common in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
+
+
+def prefix_lengths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
+    """The lengths that are searched, from the whole label down to the first one with the target recall (or 1)."""
+    last = next((d for d in range(DEPTH, 0, -1) if recall_at(d, threshold) >= recall), 1)
+    return sorted({*range(DEPTH, last, -STEP), last}, reverse=True)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -120,12 +130,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """rid (a number of the row's own), doc_id, text_hash, c1 and c2 (128 bits of its shingle set), size, sketch and prefix keys by depth."""
-    depths = [d for d in DEPTHS if d >= stop_depth()]
+    """rid (a number of the row's own), doc_id, text_hash, c1 and c2 (128 bits of its shingle set), size, sketch and the labels of all trees in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler.own()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             rows = []
             for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -135,26 +144,32 @@ def signatures(docs: DataFrame) -> DataFrame:
                     continue
                 c = xxhash.xxh3_128_intdigest(own.tobytes())
                 sig = signature(own).reshape(TREES, -1)
-                keys = [xxhash.xxh3_64_intdigest(bytes([t, d]) + sig[t, :d].tobytes()) - (1 << 63) for d in depths for t in range(TREES)]
-                rows.append((doc, digest, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), len(own), sig.ravel()[:SKETCH].astype(np.uint8).tobytes(), keys))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "text_hash", "c1", "c2", "size", "sketch", "keys"])
+                rows.append((doc, digest, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), len(own), sig.ravel()[:SKETCH].astype(np.uint8).tobytes(), (sig >> 16).astype(f">u{CODE}").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "text_hash", "c1", "c2", "size", "sketch", "labels"])
 
-    done = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, c1 long, c2 long, size int, sketch binary, keys array<long>")
+    done = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, c1 long, c2 long, size int, sketch binary, labels binary")
     return materialize(done.select(F.monotonically_increasing_id().alias("rid"), "*"), "signatures")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) of representatives: every row of a bucket with the bucket's hubs."""
-    keyed = reps.select("rid", F.explode("keys").alias("key"))
-    ends = [f(F.when(F.pmod("rid", F.lit(2)) == r, F.col("rid"))).alias(f"{f.__name__}{r}") for r in (0, 1) for f in (F.min, F.max)]
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
-    hubs = buckets.select("key", F.array_distinct(F.array_compact(F.array("min0", "max0", "min1", "max1"))).alias("hubs"))
-    linked = keyed.join(hubs, "key").select("rid", F.explode("hubs").alias("hub")).where("rid <> hub")
-    return linked.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+def forest(reps: DataFrame, last: int) -> DataFrame:
+    """(branch, rid, label) of the documents that share a prefix of ``last`` min-hashes with another; branch numbers the tree and that prefix."""
+    size = DEPTH * CODE
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("labels", t * size + 1, F.lit(size)).alias("label")))
+    own = reps.select("rid", F.explode(trees).alias("x")).select("rid", F.xxhash64("x.tree", F.substring("x.label", 1, last * CODE)).alias("branch"), "x.label")
+    shared = own.groupBy("branch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("branch")
+    return materialize(own.join(shared.hint("merge"), "branch"), "ngram-forest")
+
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of equal bytes of every two sketches."""
+    return np.stack([(row == y).sum(1) for row in x]) / SKETCH if len(x) else np.zeros((0, len(y)))
 
-def likely(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sketches do not rule out the threshold."""
+
+def hub_links(branches: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): documents and the hubs of their branches (key, rid) whose sketches do not rule out the threshold."""
+    hubs = branches.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
+    met = branches.join(hubs, "key").select("rid", F.explode(F.array("low", "high")).alias("hub")).where("rid <> hub")
+    pairs = met.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
     of = reps.select("rid", "sketch")
     both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
 
@@ -163,7 +178,72 @@ def likely(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
         p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
         return pd.Series((p == q).mean(1))
 
-    return both.where(alike("sa", "sb") >= threshold - MARGIN).select("a", "b")
+    return materialize(both.where(alike("sa", "sb") >= threshold - MARGIN).select("a", "b"), "ngram-hubs")
+
+
+def rooted(near: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's component, from a symmetric matrix of links."""
+    root = np.arange(len(near))
+    while True:
+        least = np.minimum(root, np.where(near, root[None, :], len(near)).min(1, initial=len(near)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def branch_links(open_branches: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all documents of a branch (key, rid, comp, n) that are of different components and alike, a spanning forest of each tile."""
+    blocks = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    tiled = open_branches.join(reps.select("rid", "sketch"), "rid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    total = open_branches.count()
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby("key"):
+            rid, comp, block = (own[c].to_numpy() for c in ("rid", "comp", "block"))
+            sketch = np.frombuffer(b"".join(own["sketch"]), np.uint8).reshape(len(own), -1)
+            near = (_alike(sketch, sketch) >= threshold - MARGIN) & (comp[:, None] != comp[None, :])
+            if own["i"].iloc[0] != own["j"].iloc[0]:
+                near &= block[:, None] != block[None, :]
+            root = rooted(near)
+            some = root != np.arange(len(root))
+            out.append(pd.DataFrame({"a": rid[root[some]], "b": rid[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    dealt = tiled.select("key", "rid", "comp", "sketch", "block", _part(F.col("key"), total), F.explode(_tiles()).alias("tile")).select("*", "tile.i", "tile.j").drop("tile")
+    return materialize(dealt.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"), "ngram-branches")
+
+
+def _tiles():
+    """The pairs of blocks that a document of ``block``, of ``blocks``, takes part in; one pair if there is one block."""
+    return F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    )
+
+
+def _part(key, total: int):
+    """Groups of one block share a task with others; a larger one is dealt over its pairs of blocks."""
+    return F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(max(1, total // 1024)))).otherwise(key).alias("part")
+
+
+def linked(reps: DataFrame, threshold: float, lengths: list[int]) -> DataFrame:
+    """(node, root): components of the documents that share a prefix of one of the lengths (in descending order) and are not clearly too different."""
+    spark = reps.sparkSession
+    trie, edges, comps = forest(reps, lengths[-1]), None, None
+    for depth in lengths:
+        branches = trie.select(F.xxhash64("branch", F.substring("label", 1, depth * CODE)).alias("key"), "rid")
+        if edges is None:
+            edges = hub_links(branches, reps, threshold)
+            comps = materialize(connected_components(edges), "ngram-components")
+        placed = branches.join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
+        placed = materialize(placed, "ngram-placed")
+        unsettled = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "n")
+        edges = edges.unionByName(branch_links(materialize(placed.join(unsettled, "key"), "ngram-open"), reps, threshold))
+        release(placed)
+        comps = materialize(connected_components(edges), "ngram-components")
+        free_shuffles(spark)
+    return comps
 
 
 def tile_links(rids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -194,19 +274,9 @@ def tile_links(rids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thres
     links[left] += near.sum(1)
     if side.min() != side.max():
         links[right] += near.sum(0)
-    parent = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = find(left[i]), find(right[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return links, rids[[find(i) for i in range(len(sets))]]
+    every = np.zeros((len(sets), len(sets)), bool)
+    every[np.ix_(left, right)] = near
+    return links, rids[rooted(every | every.T)]
 
 
 def exact_links(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -215,17 +285,13 @@ def exact_links(docs: DataFrame, members: DataFrame, threshold: float) -> DataFr
     blocks = F.ceil(F.col("comp_size") / F.lit(TILE)).cast("int")
     keys = members.select("rid", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"))
     rows = _rows(docs)
-    wanted = rows.join(F.broadcast(keys) if total <= BROADCAST_MEMBERS else keys, rows["doc_id"].eqNullSafe(keys["_doc"]) & (rows["text_hash"] == keys["_hash"]))
-    # A component of one block shares a task with others; a larger one is dealt over its pairs of blocks.
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 1024)))).otherwise(F.col("comp"))
-    tiles = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    )
-    dealt = wanted.select("rid", "text", "comp", "block", group.alias("part"), F.explode(tiles).alias("tile")).select("*", "tile.i", "tile.j").drop("tile")
+    # Shuffled at every size; of rows that repeat an id and a text one is enough.
+    wanted = rows.join(keys.hint("merge"), rows["doc_id"].eqNullSafe(keys["_doc"]) & (rows["text_hash"] == keys["_hash"])).dropDuplicates(["rid"])
+    dealt = wanted.select("rid", "text", "comp", "block", _part(F.col("comp"), total), F.explode(_tiles()).alias("tile")).select("*", "tile.i", "tile.j").drop("tile")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         shingler, out = Shingler.own(), []
-        for _, own in rows.drop_duplicates("rid").sort_values("rid").groupby("comp"):
+        for _, own in rows.sort_values("rid").groupby("comp"):
             if len(own) > 1:
                 rids = own["rid"].to_numpy(np.int64)
                 side = own["block"].to_numpy() if own["i"].iloc[0] != own["j"].iloc[0] else np.zeros(len(own), np.int64)
@@ -241,15 +307,15 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     sigs = signatures(docs)
     some = sigs.where("size > 0")
-    classes = some.groupBy("c1", "c2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classed = materialize(sigs.select("rid", "doc_id", "text_hash", "c1", "c2").join(classes, ["c1", "c2"], "left").select("rid", "doc_id", "text_hash", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "ngram-classes")
-    own = classed.where("rid = rep").select("rid")
-    reps = materialize(some.join(own, "rid", "left_semi").select("rid", "doc_id", "text_hash", "sketch", "keys"), "ngram-reps")
-    pairs = materialize(likely(reps, materialize(candidates(reps), "ngram-pairs"), threshold), "ngram-likely")
+    # Stored, so that the join on classes, of which one may hold a third of all rows, can be split.
+    classes = materialize(some.groupBy("c1", "c2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-sets")
+    classed = materialize(sigs.select("rid", "doc_id", "text_hash", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("rid", "doc_id", "text_hash", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "ngram-classes")
+    reps = materialize(some.join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi").select("rid", "doc_id", "text_hash", "sketch", "labels"), "ngram-reps")
+    release(sigs)
     free_shuffles(spark)
-    comps = connected_components(pairs)
-    sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("comp_size"))
-    placed = comps.join(sizes, "root").select(F.col("node").alias("rid"), F.col("root").alias("comp"), "comp_size")
+    comps = linked(reps, threshold, prefix_lengths(threshold))
+    sizes = materialize(comps.groupBy("root").agg(F.count(F.lit(1)).alias("comp_size")), "ngram-sizes")
+    placed = comps.join(sizes.hint("merge"), "root").select(F.col("node").alias("rid"), F.col("root").alias("comp"), "comp_size")
     members = materialize(reps.select("rid", "doc_id", "text_hash").join(placed, "rid"), "ngram-members")
     links = exact_links(docs, members, threshold)
     free_shuffles(spark)
@@ -263,10 +329,11 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), copy_id (of the texts with the same shingles), n_copies, n_links (classes linked to its own)."""
     rows = grouped(docs, threshold)
-    least = rows.groupBy("root", "rep").agg(F.min("doc_id").alias("copy_id"))
-    top = least.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = least.join(top, "root").select("rep", "copy_id", "class_id")
-    return rows.join(named, "rep").select("doc_id", "class_id", "copy_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"))
+    # Each step is stored, so that the joins on large groups can be split.
+    least = materialize(rows.groupBy("root", "rep").agg(F.min("doc_id").alias("copy_id")), "ngram-least")
+    top = materialize(least.groupBy("root").agg(F.min("copy_id").alias("class_id")), "ngram-top")
+    named = materialize(least.join(top.hint("merge"), "root").select("rep", "copy_id", "class_id"), "ngram-named")
+    return rows.join(named.hint("merge"), "rep").select("doc_id", "class_id", "copy_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

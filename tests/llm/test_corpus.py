@@ -166,22 +166,49 @@ def test_ngram_join(spark, monkeypatch, tile):
     assert ngram_join.join(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
-def test_forest_reaches_its_recall():
-    d = ngram_join.stop_depth()
-    assert 1 - (1 - ngram_join.THRESHOLD**d) ** ngram_join.TREES >= ngram_join.RECALL
-    rng, shingler, found, true = np.random.default_rng(0), ngram_join.Shingler.own(), 0, 0
-    for _ in range(60):
-        words = [str(x) for x in rng.integers(0, 10**9, 200)]
+def test_forest_reaches_its_recall(spark):
+    """Components hold the near pairs of all lengths, in a crowd of documents that share a passage and prefixes but are not near each other, too."""
+    lengths = ngram_join.prefix_lengths()
+    assert lengths[0] == ngram_join.DEPTH and ngram_join.recall_at(lengths[-1]) >= ngram_join.RECALL > ngram_join.recall_at(lengths[-1] + 1)
+    rng, rows = np.random.default_rng(0), []
+    passage = [f"p{i}" for i in range(150)]
+    for _ in range(150):
+        words = passage + [str(x) for x in rng.integers(0, 10**9, 50)]
         other = list(words)
         for p in rng.choice(200, 4, replace=False):
             other[p] = "x" + other[p]
-        a, b = (shingler.shingles(" ".join(w)) for w in (words, other))
-        near = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        if near >= 0.8:
-            true += 1
-            x, y = (ngram_join.signature(s).reshape(ngram_join.TREES, -1)[:, :d] for s in (a, b))
-            found += bool((x == y).all(1).any())
-    assert true > 20 and found / true >= 0.95
+        rows += [" ".join(words), " ".join(other)]
+    sets = [shingles(t) for t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(near) > 50 and len(set(got.values())) > 100
+    assert sum(got[i] == got[j] for i, j in near) / len(near) >= 0.99
+
+
+def test_ngram_join_finds_the_pairs_of_the_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [shingles(t) for _, t in rows]
+    by_gram = collections.defaultdict(list)
+    for j, s in enumerate(sets):
+        for g in s:
+            by_gram[g].append(j)
+    pairs = {(a, b) for js in by_gram.values() for a, b in itertools.combinations(js, 2)}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 50 and sum(got[rows[a][0]] == got[rows[b][0]] for a, b in near) >= 0.99 * len(near)
+
+
+@pytest.mark.parametrize("tile", [16, 768])
+def test_branches_join_all_that_is_alike(spark, monkeypatch, tile):
+    """In a branch of unlike documents every pair that is alike is joined, whatever the hubs."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    sketches = rng.integers(0, 256, (120, ngram_join.SKETCH), np.uint8)
+    sketches[60:90, :110] = sketches[30:60, :110]
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sketches)], "rid long, sketch binary")
+    rows = spark.createDataFrame([(7, i, 0 if i in (30, 60) else i, 120) for i in range(120)], "key long, rid long, comp long, n long")
+    got = {tuple(sorted(r)) for r in ngram_join.branch_links(rows, reps, 0.8).collect()}
+    assert got == {(30 + i, 60 + i) for i in range(1, 30)}
 
 
 def test_quality_on_held_out_documents(spark):
