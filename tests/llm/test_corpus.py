@@ -73,27 +73,12 @@ def test_lines(spark):
     assert all(got[i][0]["text"] == dict(rows)[i] for i in range(1, 40)) and len(got[0]) == 2
     assert sum(got[100 + i][0]["text"].count("\n") for i in range(40)) == 0
     caught = sum(got[200 + i][0]["text"] == "" for i in range(40))
-    assert caught >= 12, caught
+    assert caught == 40
     assert got[502][0]["text"] == "" and got[502][0]["n_lines"] == 2 and got[500][0]["text"] is None and got[501][0]["n_kept"] == 1 and got[503][0]["n_kept"] == 1
     assert set(got[1][0].asDict()) == {"doc_id", "text", "h", "line_no", "occ", "n_lines", "n_kept"}
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
-def test_near_simhashes_keep_what_pigeonholes_promise(spark):
-    rnd = random.Random(7)
-    base = [rnd.getrandbits(64) for _ in range(60)]
-    flip = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), n))
-    sims = {x - (1 << 63) for b in base for x in (b, flip(b, 1), flip(b, 3))}
-    got = {tuple(r) for r in lines.near_simhashes(spark.createDataFrame([(s,) for s in sims], "sim long")).collect()}
-    for b in base:
-        for near in (b,):
-            assert any(near - (1 << 63) in pair for pair in got)
-    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= lines.HAMMING for a, b in got) and len(got) >= 120
-    crowd = {(base[0] ^ (i << 40)) - (1 << 63) for i in range(300)}
-    many = lines.near_simhashes(spark.createDataFrame([(s,) for s in crowd], "sim long")).count()
-    assert many <= 10 * 2 * lines.RESIDUES * len(crowd)
-
-
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 200)]
