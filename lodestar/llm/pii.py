@@ -10,8 +10,10 @@ candidates. Valid base spans always stay. Only counts of vote patterns reach
 the driver, at most 8 x 3^4 x 2 of them.
 
 Positions count code points. The patterns contain no unbounded group that Java
-would match recursively and no start that rescans a run, so texts of any length
-are scanned in linear time.
+would match recursively and no start that rescans a run; positions, overlaps and
+masked texts are built from running sums and maxima in blocks of BLOCK hits, and
+contexts from the text between hits, so a text's work grows with its length and
+its hits, not with their product.
 
 Defined results: a null or empty text has no spans; of a looser candidate that
 overlaps a base span only the base span stays; repeated rows are scanned alike;
@@ -69,32 +71,61 @@ _CUES = {
 }
 _AGAINST = "version isbn issn serial invoice order item page figure table section chapter no nr id"
 CONTEXT = 32
+#: Hits in a block of a running sum, and code points in a block of a text that is masked.
+BLOCK, TEXT_BLOCK = 256, 4096
 
 
 def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op, zero: int) -> Column:
+    """For every element of an array of ints, ``op`` (associative) over all elements before it; in blocks, as an array grows by copying."""
+
+    def plain(xs: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), _empty("int").alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def joined(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: plain(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK))))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, plain(F.transform(bs, lambda b: b["at"]))["out"], lambda b, before: F.transform(b["out"], lambda x: op(before, x)))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > BLOCK, joined(xs)).otherwise(plain(xs)["out"]))
+
+
 def _located(text: Column, kind: str) -> Column:
-    """Leftmost matches of the kind's pattern as an array of (start, rank, end, kind, value).
+    """Leftmost matches of the kind's pattern as an array of (start, rank, end, kind, value, before, after), with the text just before and after as far as the neighbouring matches.
 
     The parts between matches and the matches themselves alternate, so their lengths add up to the positions.
     """
     pattern = (BASE | LOOSE)[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda hit, gap: F.struct(F.char_length(gap).alias("gap"), F.coalesce(F.char_length(hit), F.lit(0)).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), _empty("int").alias("starts"))
-    starts = F.aggregate(
-        pairs,
-        zero,
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    spans = F.zip_with(hits, starts, lambda v, s: F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (s + F.char_length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+
+    def spans(x: Column) -> Column:
+        hits, gaps = x["hits"], x["gaps"]
+        steps = F.zip_with(gaps, hits, lambda gap, hit: F.char_length(gap) + F.coalesce(F.char_length(hit), F.lit(0)))
+
+        def placed(at: Column) -> Column:
+            # The part after the last match has a place, but no match.
+            own = F.zip_with(F.zip_with(hits, gaps, lambda v, gap: F.struct(v.alias("value"), gap.alias("gap"))), at, lambda v, s: F.struct(v["value"].alias("value"), v["gap"].alias("gap"), s.alias("at")))
+            next_gap = F.slice(gaps, F.lit(2), F.size(gaps))
+            full = F.zip_with(own, next_gap, lambda v, after: F.struct(v.alias("v"), F.substring(after, 1, 1).alias("after")))
+            start = lambda y: y["v"]["at"] + F.char_length(y["v"]["gap"])
+            return F.transform(
+                F.filter(full, lambda y: y["v"]["value"].isNotNull()),
+                lambda y: F.struct(start(y).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start(y) + F.char_length(y["v"]["value"])).alias("end"), F.lit(kind).alias("kind"), y["v"]["value"].alias("value"), F.right(y["v"]["gap"], F.lit(CONTEXT)).alias("before"), F.coalesce(y["after"], F.lit("")).alias("after")),
+            )
+
+        return _let(_running(steps, lambda a, b: a + b, 0), placed)
+
     how, what = _HINT[kind]
     hint = F.contains(text, F.lit(what)) if how == "contains" else text.rlike(what)
-    found = F.filter(spans, lambda x: x["value"].isNotNull())
-    return F.when(hint, found).otherwise(_empty("struct<start:int,rank:int,end:int,kind:string,value:string>"))
+    found = _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), spans)
+    return F.when(hint, found).otherwise(_empty("struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>"))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -124,13 +155,12 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _voted(text: Column, spans: Column, kind: str) -> Column:
+def _voted(spans: Column, kind: str) -> Column:
     """Spans with validity and the votes of the regex, gazetteer, context and boundary labelers, and whether they are long."""
 
     def judge(x: Column) -> Column:
         value, valid = x["value"], _valid(kind, x["value"])
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-        after = F.substring(text, x["end"] + 1, F.lit(1))
+        before, after = x["before"], x["after"]
         if kind == "email":
             tail = F.lower(F.element_at(F.split(value, r"\.", -1), -1))
             known = _vote(tail.isin(_DOMAINS), tail.rlike("[0-9]"))
@@ -158,9 +188,10 @@ def _voted(text: Column, spans: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """Every candidate span of a text with its votes."""
-    return F.concat(*(_voted(text, _located(text, kind), kind) for kind in KINDS))
+    return F.concat(*(_voted(_located(text, kind), kind) for kind in KINDS))
 
 
+_FAR = (1 << 31) - 1
 VOTES = ("v0", "v1", "v2", "v3")
 
 
@@ -220,9 +251,16 @@ class SpanModel:
 
     def spans(self, found: Column) -> Column:
         """Of candidates: valid base spans, and what the classifier keeps of the looser ones that overlap none of them; in order."""
-        base = F.filter(found, lambda x: x["base"] & x["valid"])
-        more = F.filter(found, lambda x: ~x["base"] & self.keeps(x) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.array_sort(F.concat(base, more))
+        chosen = F.array_sort(F.filter(found, lambda x: (x["base"] & x["valid"]) | (~x["base"] & self.keeps(x))))
+
+        def apart(xs: Column) -> Column:
+            # In order of start: the furthest end of the base spans before, and the start of the next one.
+            ends = _running(F.transform(xs, lambda x: F.when(x["base"], x["end"]).otherwise(0)), F.greatest, 0)
+            starts = F.reverse(_running(F.reverse(F.transform(xs, lambda x: F.when(x["base"], x["start"]).otherwise(_FAR))), F.least, _FAR))
+            sided = F.zip_with(xs, F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s"))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            return F.transform(F.filter(sided, lambda z: z["x"]["base"] | ((z["y"]["e"] <= z["x"]["start"]) & (z["y"]["s"] >= z["x"]["end"]))), lambda z: z["x"])
+
+        return F.when(F.size(found) > 0, _let(chosen, apart)).otherwise(found)
 
 
 def fit(found: DataFrame) -> SpanModel:
@@ -246,20 +284,32 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with every span of their texts replaced by its kind's mark; other columns stay."""
-    model = fit(scan(docs))
+    """The documents with every span of their texts replaced by its kind's mark; other columns stay.
+
+    Texts are scanned once: rows and candidates are stored together, and masked from there.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    stored = materialize(docs.select(row, candidates(text).alias("spans")), "pii-rows")
+    spans = fit(stored).spans(F.col("spans"))
     marks = F.create_map(*(F.lit(v) for pair in MASKS.items() for v in pair))
-
-    def put(a: Column, x: Column) -> Column:
-        kept = F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        inside = x["start"] < a["at"]
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], kept, marks[x["kind"]])).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    changed = docs.withColumn("_spans", model.spans(candidates(text)))
-    return changed.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
+    whole = F.col("_row.text").cast("string")
+
+    def masked(x: Column) -> Column:
+        def part(start: Column, size: Column) -> Column:
+            """A part of the text, from the blocks it lies in."""
+            first, last = F.floor(start / TEXT_BLOCK).cast("int"), F.floor((start + size - 1) / TEXT_BLOCK).cast("int")
+            return F.when(size > 0, F.substring(F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), ""), start % TEXT_BLOCK + 1, size)).otherwise("")
+
+        # A span that begins inside those before it has no mark of its own.
+        pieces = F.zip_with(x["spans"], x["ends"], lambda s, end: F.when(s["start"] >= end, F.concat(part(end, s["start"] - end), marks[s["kind"]])).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(F.transform(x["spans"], lambda s: s["end"])), F.char_length(whole) - F.array_max(F.transform(x["spans"], lambda s: s["end"]))))
+
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    ends = _running(F.transform("_spans", lambda s: s["end"]), F.greatest, 0)
+    changed = stored.select("_row", spans.alias("_spans"))
+    new = F.when(F.size("_spans") > 0, _let(F.struct(F.col("_spans").alias("spans"), ends.alias("ends"), blocks.alias("blocks")), masked)).otherwise(whole)
+    return changed.select(*(new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def digests(found: DataFrame) -> DataFrame:

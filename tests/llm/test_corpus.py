@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,25 @@ def test_personal_data(spark):
     assert pii.find(docs.limit(0)).count() == 0 and pii.mask(docs.limit(0)).count() == 0
 
 
+def test_personal_data_of_many_hits(spark):
+    """Many hits in one text: work grows with their number, and spans and masks are right across blocks."""
+    n = 20_000
+    text = " ".join(f"é{'token=ab12cd' if i % 3 else ''}{i} u{i}@x{i}.com 1.2.3.{i % 300}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    [row] = pii.find(docs).collect()
+    [changed] = pii.mask(docs).collect()
+    assert time.time() - start < 120
+    base = base_spans(text)
+    assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in row["spans"] if s["base"]] == base
+    out, at = [], 0
+    for s in row["spans"]:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], pii.MASKS[s["kind"]]]
+        at = max(at, s["end"])
+    assert changed["text"] == "".join(out) + text[at:]
+
+
 def test_reliabilities_are_estimated():
     rnd, patterns = random.Random(1), collections.Counter()
     for _ in range(4000):

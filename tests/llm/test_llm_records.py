@@ -141,3 +141,39 @@ def test_licenses(spark):
     assert collections.Counter(tuple(r)[:6] for r in out) == collections.Counter((i, *plain(t or "")) for i, t in rows)
     assert next(r for r in out if r["doc_id"] == 5)["labels"] == "gpl-3" and all(0 <= r["score"] <= 1 for r in out)
     assert licenses.find(docs.limit(0)).count() == 0
+
+
+def test_license_labels(spark):
+    """The method's labels and scores against every template compared at every place."""
+    rnd = random.Random(9)
+    templates = licenses._templates()
+    texts = ["GNU Lesser General Public License Version 2.1", "Mozilla Public License Version 2.0", "word " * 40 + "This is free and very unencumbered software", "", None]
+    for label, base, words, at, size in templates:
+        for edits in (0, 1, 3):
+            copy = list(words)
+            for _ in range(edits if len(copy) > 3 else 0):
+                copy[(k := rnd.randrange(max(1, len(copy)))) : k + 1] = ["odd"] * rnd.randrange(3) if rnd.random() < 0.5 else []
+            texts.append(" ".join(["begin"] * rnd.randrange(3) + copy + ["end"] * rnd.randrange(3)))
+    texts.append(" ".join(texts[5:]) + " cc by nc" * 20_000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = licenses.scan(docs)
+    idf = licenses.weights(scanned)
+    got = {r["doc_id"]: r for r in licenses.find(docs).collect()}
+
+    def plain(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        there = lambda i, w: 0 <= i < len(words) and words[i] == w
+        labels, best = set(), 0.0
+        for label, base, want, at, size in templates:
+            for i in (j - at for j, w in enumerate(words) if w == want[at]):
+                if all(there(i + k, want[k]) for k in range(at, at + size)):
+                    score = 1.0 if base else sum(idf[w] for k, w in enumerate(want) if any(there(i + k + d, w) for d in range(-2, 3))) / sum(idf[w] for w in want)
+                    if base or score >= licenses.COVER:
+                        labels.add(label)
+                        best = max(best, score)
+        return ",".join(sorted(labels)), best
+
+    for i, text in enumerate(texts[:-1]):
+        labels, best = plain(text)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(best, abs=1e-8), (i, text)
+    assert got[len(texts) - 1]["n_base"] >= 20_000
