@@ -243,6 +243,51 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(p.sum(1), 1, atol=2e-2) and (p > 0).all()
 
 
+def test_kneser_ney_against_a_plain_version(spark):
+    """Every seen 4-gram's probability by the textbook recursion over dictionaries, and unseen ones by their back-offs."""
+    texts = ["abracadabra. hello there\n", "another one, and one", "абракадабра и ещё", "hello hello"] * 3 + ["over there"]
+    table = np.exp(lm_quality.train(spark.createDataFrame([(t,) for t in texts], "text string")).astype(np.float64))
+    rows = [[0] * 3 + [int(lm_quality.SYMBOLS[min(ord(c), lm_quality._POINTS)]) for c in t] for t in texts]
+    counts = {4: collections.Counter(tuple(r[i - 3 : i + 1]) for r in rows for i in range(3, len(r)))}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def cuts(c):
+        n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    discounts, totals = {k: cuts(c) for k, c in counts.items()}, {k: collections.defaultdict(lambda: [0, 0.0]) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            totals[k][g[:-1]][0] += n
+            totals[k][g[:-1]][1] += discounts[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / lm_quality.SIZE
+        total, mass = totals[len(g)].get(g[:-1], (0, 0.0))
+        n = counts[len(g)].get(g, 0)
+        own = (n - discounts[len(g)][min(n, 3) - 1]) / total if n else 0.0
+        return own + (mass / total if total else 1.0) * p(g[1:])
+
+    some = [*counts[4], *((g[1], g[0], g[3], g[2]) for g in counts[4])]
+    code = lambda g: sum(s << lm_quality.BITS * (3 - i) for i, s in enumerate(g))
+    for g in some:
+        assert table[code(g)] == pytest.approx(max(p(g), 1e-7), rel=0.02)
+
+
+def test_other_scripts_are_told_from_noise(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("абвгдежзик") + rnd.choice("аеиоу") for _ in range(rnd.randrange(1, 4))) for _ in range(60)]
+    clean = lambda: " ".join(rnd.choice(words) for _ in range(80))
+    noise = lambda: "".join(rnd.choice("абвгдежзиклмнопрстуфхцчшщъыьэюя ") for _ in range(400))
+    rows = [(i, clean(), "ru") for i in range(120)] + [(200 + i, noise(), "ru") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keep = {r["doc_id"]: r["keep"] for r in lm_quality.judge(docs, spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")).collect()}
+    assert sum(keep[i] for i in range(90, 120)) >= 27 and not any(keep[200 + i] for i in range(10))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
