@@ -7,7 +7,7 @@ import sys
 from lodestar.plans.engine import Engine
 from lodestar.session import get_session
 
-VERBS = ["index-verify", "index-prune", "index-import", "verify-deep", "docs-verify", "docs-list", "docs-import", "docs-search", "search"]
+VERBS = ["index-verify", "index-prune", "index-import", "verify-deep", "docs-verify", "docs-list", "docs-import", "docs-search", "docs-migrate", "docs-prune", "docs-repair", "search"]
 
 
 def main(args: list[str]) -> int:
@@ -24,7 +24,10 @@ def main(args: list[str]) -> int:
     if verb == "index-prune":
         print(sum(engine.store.vacuum(name) for name in rest or engine.store.names()))
     elif verb == "index-import":
-        print("\n".join(n for n in engine.store.names() if engine.store.read_manifest(n)))
+        known = set(engine.registry)
+        for name in (n for n in engine.store.names() if n not in known and engine.store.read_manifest(n)):
+            engine.registry.update_entry(name, chunks=engine.store.read_manifest(name)["chunks"])
+            print(name)
     elif verb == "verify-deep":
         with open(rest[1], encoding="utf-8") as f:
             report = engine.verify_deep(rest[0], rest[1], f.read())
@@ -36,6 +39,13 @@ def main(args: list[str]) -> int:
         engine.list_documents(limit=int(rest[0]) if rest else 50).select("path", "title").show(1000, False)
     elif verb == "docs-import":
         engine.documents_import(rest[0]).groupBy("status").count().show()
+    elif verb == "docs-migrate":
+        engine.documents_migrate(rest[0]).show(1000, False)
+    elif verb == "docs-prune":
+        print(engine.documents_prune(rest[0]))
+    elif verb == "docs-repair":
+        book = engine.documents.read("vault").selectExpr("sha256", "sha256 AS raw_sha256", "path", "updated_at", "substring(sha256, 1, 8) AS id")
+        print(engine.repair_sources(rest[0], engine.store.read(rest[0]).selectExpr("source_file", "metadata['sha256'] AS sha256").distinct(), book))
     elif verb == "docs-search":
         hits, totals = engine.search_document(rest[0])
         hits.select("path", "line", "text").show(200, 120)

@@ -21,14 +21,15 @@ def first_filled(*columns: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-case words; runs of CJK characters become overlapping pairs (a single one stands alone)."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{Nd}}&&[^{_CJK}]]+"), F.lit(0))
+    """Lower-case words; runs of CJK characters become overlapping pairs (a single one stands alone). Texts without CJK characters are split by one pattern alone."""
+    low = F.lower(c)
+    runs = F.regexp_extract_all(low, F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{Nd}}&&[^{_CJK}]]+"), F.lit(0))
 
     def split(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.char_length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{_CJK}]") & (F.char_length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, split))
+    return F.when(c.rlike(f"[{_CJK}]"), F.flatten(F.transform(runs, split))).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
 
 
 def normalize_text(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.scores import bm25_gain, idf
+from lodestar.functions.scores import bm25_gain
 from lodestar.functions.text import tags_text, tokenize
 from lodestar.operators.filters import apply_filter
+from lodestar.plans.scratch import materialize
 
 
 def searchable(docs: DataFrame, text: str = "text", tags: str | None = None):
@@ -31,35 +34,55 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     return terms, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"))
 
 
+def _listed(terms: dict[str, int]) -> Column:
+    return F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+
+
 def search(docs: DataFrame, query: str, k: int = 10, condition: dict | None = None, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
     """The k best rows (all if k <= 0) with a positive score; statistics are those of the filtered rows.
 
-    One pass gives all statistics of the query's terms, another one scores. Only
-    (key, length, counts of the query's terms) leave the scan.
+    Texts are tokenised once: what leaves the scan, and is stored, is every row's
+    length and the query's terms in it, without the text. Statistics and scores come
+    from there, and the texts of the hits alone are fetched by key (rows of one key
+    have one text).
     """
     terms = query_terms(docs, query)
     rows = apply_filter(docs, condition)
-    found = tokenize(searchable(rows, text, tags))
     if not terms:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    # Each explode of one struct keeps the projections apart: a text is tokenised once, and only its hits are counted by term.
-    once = rows.select(*rows.columns, F.explode(F.array(F.struct(found.alias("t")))).alias("_x"))
-    kept = F.struct(F.size("_x.t").alias("dl"), F.filter("_x.t", lambda t: t.isin(list(terms))).alias("hits"))
-    hits = once.select(*rows.columns, F.explode(F.array(kept)).alias("_y"))
-    counts = [F.size(F.filter("_y.hits", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(terms)]
-    slim = hits.select(*rows.columns, F.col("_y.dl").alias("_dl"), *counts)
-    stats = slim.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("mean"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
-    score = F.lit(0.0)
-    for i, times in enumerate(terms.values()):
-        tf = F.col(f"_tf{i}")
-        weight = idf(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"])))
-        score = score + F.when(tf > 0, times * weight * bm25_gain(tf, F.col("_dl"), F.lit(float(stats["mean"] or 1.0)))).otherwise(0.0)
-    out = slim.withColumn("score", score).where(F.col("score") > 0).drop("_dl", *(f"_tf{i}" for i in range(len(terms)))).orderBy(F.desc("score"), key)
-    return out.limit(k) if k > 0 else out
+    found = tokenize(searchable(rows, text, tags))
+    rest = [c for c in rows.columns if c != text]
+    once = rows.select(*rest, F.explode(F.array(F.struct(found.alias("t")))).alias("_x"))
+    slim = materialize(once.select(*rest, F.size("_x.t").alias("_dl"), F.filter("_x.t", lambda t: F.array_contains(_listed(terms), t)).alias("_hits")), "keyword")
+    n, mean, frequencies = _statistics(slim)
+    weights = {t: times * math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, times in terms.items() if (df := frequencies.get(t))}
+    if not weights:
+        return rows.limit(0).withColumn("score", F.lit(0.0))
+    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
 
+    def gained(term: Column) -> Column:
+        tf = F.size(F.filter("_hits", lambda t: t == term))
+        return weight[term] * bm25_gain(tf, F.col("_dl"), F.lit(mean))
 
-def _equals(term: str):
-    return lambda t: t == term
+    # In an order that does not depend on the text.
+    score = F.aggregate(F.transform(F.array_sort(F.array_distinct("_hits")), gained), F.lit(0.0), lambda a, x: a + x)
+    best = slim.where(F.size("_hits") > 0).select(*rest, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
+    if k > 0:
+        best = best.limit(k)
+    if text not in rows.columns:
+        return best
+    # At most k keys.
+    wanted = best.select(key).distinct()
+    texts = rows.select(key, text).join(F.broadcast(wanted) if k > 0 else wanted, key, "left_semi").dropDuplicates([key])
+    return best.join(texts, key).select(*rows.columns, "score").orderBy(F.desc("score"), key)
+
+
+def _statistics(slim: DataFrame) -> tuple[int, float, dict[str, int]]:
+    """Rows, their mean length and the document frequencies of the query's terms."""
+    counted = slim.select(F.explode(F.array_distinct("_hits")).alias("term"))
+    sizes = slim.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("mean")).first()
+    frequencies = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()
+    return sizes["n"], float(sizes["mean"] or 1.0), {r["term"]: r["df"] for r in frequencies}
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
@@ -69,16 +92,34 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str
     return terms.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def search_postings(stored: DataFrame, sizes: DataFrame, query: str, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """(key, score) from stored postings and one row of sizes (n, mean)."""
+def point_postings(points: DataFrame, tags: str | None = "tags") -> tuple[DataFrame, DataFrame]:
+    """(source_key, point_id, term, tf, dl) and (source_key, point_id, dl) of the points of a collection."""
+    found = tokenize(searchable(points, "text", tags))
+    own = points.select("source_key", "point_id", found.alias("t"))
+    terms = own.select("source_key", "point_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("source_key", "point_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return terms, own.select("source_key", "point_id", F.size("t").alias("dl"))
+
+
+def search_points(terms: DataFrame, sizes: DataFrame, query: str, k: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """(source_key, point_id, score) by a collection's postings; with ``among`` only those points count, in statistics too."""
+    one = lambda df: df.withColumn("_key", F.struct("source_key", "point_id"))
+    own = one(sizes if among is None else sizes.join(among.select("source_key", "point_id"), ["source_key", "point_id"], "left_semi"))
+    return search_postings(one(terms), own, query, k, "_key", own).select("_key.source_key", "_key.point_id", "score")
+
+
+def search_postings(stored: DataFrame, sizes: DataFrame, query: str, k: int = 10, key: str = "doc_id", among: DataFrame | None = None) -> DataFrame:
+    """(key, score) from stored postings and one row of sizes (n, mean); with ``among`` (the key and dl of some rows) only those rows count, in statistics too."""
     terms = query_terms(stored, query)
+    if among is not None:
+        sizes = among.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
     n, mean = sizes.select("n", "mean").first()
     hits = stored.where(F.col("term").isin(list(terms)))
+    if among is not None:
+        hits = hits.join(among.select(key), key, "left_semi")
     frequencies = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     if not frequencies:
         return stored.limit(0).select(key, F.lit(0.0).alias("score"))
-    pairs = [F.lit(x) for t, df in frequencies.items() for x in (t, float(terms[t]))]
-    df = F.create_map(*(F.lit(x) for t, df in frequencies.items() for x in (t, float(df))))
-    gain = F.create_map(*pairs)[F.col("term")] * idf(F.lit(float(n)), df[F.col("term")]) * bm25_gain(F.col("tf"), F.col("dl"), F.lit(float(mean)))
+    weights = F.create_map(*(F.lit(x) for t, df in frequencies.items() for x in (t, terms[t] * math.log(1 + (n - df + 0.5) / (df + 0.5)))))
+    gain = weights[F.col("term")] * bm25_gain(F.col("tf"), F.col("dl"), F.lit(float(mean or 1.0)))
     out = hits.groupBy(key).agg(F.sum(gain).alias("score")).orderBy(F.desc("score"), key)
     return out.limit(k) if k > 0 else out

@@ -3,7 +3,10 @@
 A collection is a folder of snapshots and a pointer file that names the current
 one. Every change reads the current snapshot, declares the next one as a plan,
 writes it to a new folder and then moves the pointer, so readers never see half
-a change and nothing is read from where it is being written.
+a change and nothing is read from where it is being written. The pointer is moved
+only if it still names the snapshot that the change was made from. Beside a
+snapshot stand its catalog (chunks by source, counted when it was written) and,
+once they are asked for, its postings.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import types as T
 from lodestar.functions.scores import norm
 from lodestar.operators.filters import compile_filter
 
+# The fields of a stored point.
 POINTS = (
     "collection string, source_key string, source_file string, source string, source_rel string, point_id string, content_sha string, hash bigint, "
     "chunk_index int, text string, indexed_at timestamp, metadata map<string,string>, tags array<string>, tags_expanded array<string>, vector array<float>, norm double"
@@ -40,6 +44,10 @@ def upserted(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = (
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n", "_new")
 
 
+def with_norm(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("norm", F.coalesce("norm", norm(F.col("vector")))) if {"norm", "vector"} <= set(rows.columns) else rows
+
+
 def deleted(existing: DataFrame, predicate: Column) -> DataFrame:
     return existing.where(~F.coalesce(predicate, F.lit(False)))
 
@@ -139,17 +147,46 @@ class Store:
         entry = json.loads(current)
         return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self._folder(name)}/{entry['snapshot']}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
+    def current(self, name: str) -> str:
+        """The name of the current snapshot; empty if there is none."""
+        text = self._read_text(f"{self._folder(name)}/_current")
+        return json.loads(text)["snapshot"] if text else ""
+
+    def replace(self, name: str, rows: DataFrame, made_from: str | None = None) -> None:
+        """Make rows the collection; an error if it is no longer the snapshot that they were made from."""
         snapshot = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self._folder(name)}/{snapshot}")
+        path = f"{self._folder(name)}/{snapshot}"
+        rows.write.parquet(path)
+        if {"collection", "source_file"} <= set(rows.columns):
+            source_counts(self.spark.read.schema(rows.schema).parquet(path)).write.parquet(f"{path}.catalog")
+        if made_from is not None and self.current(name) != made_from:
+            fs, where = self._fs(path)
+            fs.delete(where, True)
+            raise RuntimeError(f"collection {name!r} was changed meanwhile")
         self._write_text(f"{self._folder(name)}/_current", json.dumps({"snapshot": snapshot, "schema": json.loads(rows.schema.json())}))
 
+    def catalog(self, name: str) -> DataFrame:
+        """(collection, source_file, chunks) as counted when the snapshot was written."""
+        return self.spark.read.schema("collection string, source_file string, chunks long").parquet(f"{self._folder(name)}/{self.current(name)}.catalog")
+
+    def postings(self, name: str, tags: str | None = "tags") -> tuple[DataFrame, DataFrame]:
+        """(source_key, point_id, term, tf, dl) sorted by term, and (source_key, point_id, dl), of the current snapshot; made at the first call."""
+        from lodestar.operators.keyword import point_postings
+
+        path = f"{self._folder(name)}/{self.current(name)}.postings"
+        fs, done = self._fs(f"{path}/sizes/_SUCCESS")
+        if not fs.exists(done):
+            terms, sizes = point_postings(self.read(name), tags)
+            terms.repartition(F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+            sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        return self.spark.read.parquet(f"{path}/terms"), self.spark.read.parquet(f"{path}/sizes")
+
     def vacuum(self, name: str) -> int:
-        """Delete snapshots that are not current; returns how many."""
+        """Delete snapshots that are not current, and what stands beside them; returns how many snapshots."""
         fs, where = self._fs(self._folder(name))
-        current = json.loads(self._read_text(f"{self._folder(name)}/_current"))["snapshot"]
-        old = [p.getPath() for p in fs.listStatus(where) if p.getPath().getName().startswith("v-") and p.getPath().getName() != current]
-        return sum(bool(fs.delete(p, True)) for p in old)
+        current = self.current(name)
+        old = [p.getPath() for p in fs.listStatus(where) if p.getPath().getName().startswith("v-") and p.getPath().getName().partition(".")[0] != current]
+        return sum(bool(fs.delete(p, True)) and "." not in p.getName() for p in old)
 
     def drop(self, name: str, confirm: bool = False) -> None:
         if not confirm:
@@ -159,16 +196,16 @@ class Store:
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.create(name, rows.schema)
-        full = rows.withColumn("norm", F.coalesce("norm", norm(F.col("vector")))) if {"norm", "vector"} <= set(rows.columns) else rows
-        self.replace(name, upserted(self.read(name), full))
+        base = self.current(name)
+        self.replace(name, upserted(self.read(name), with_norm(rows)), base)
 
     def delete(self, name: str, condition: dict | None, allow_all: bool = False) -> int:
         """Delete matching rows and return how many; an empty filter needs allow_all."""
         if not condition and not allow_all:
             raise ValueError("an empty filter would delete all rows; pass allow_all=True")
-        rows = self.read(name)
+        base, rows = self.current(name), self.read(name)
         before = rows.count()
-        self.replace(name, deleted(rows, compile_filter(rows.schema, condition)))
+        self.replace(name, deleted(rows, compile_filter(rows.schema, condition)), base)
         return before - self.read(name).count()
 
     def count(self, name: str, condition: dict | None = None) -> int:
@@ -176,15 +213,17 @@ class Store:
         return rows.where(compile_filter(rows.schema, condition)).count()
 
     def set_payload(self, name: str, values: dict[str, str], condition: dict | None) -> None:
-        rows = self.read(name)
-        self.replace(name, payload_set(rows, compile_filter(rows.schema, condition), values))
+        base, rows = self.current(name), self.read(name)
+        self.replace(name, payload_set(rows, compile_filter(rows.schema, condition), values), base)
 
     def touch_source(self, name: str, source: str, values: dict[str, str]) -> None:
-        rows = self.read(name)
-        self.replace(name, payload_set(rows, F.col("source_file") == source, values))
+        base, rows = self.current(name), self.read(name)
+        self.replace(name, payload_set(rows, F.col("source_file") == source, values), base)
 
-    def rename_sources(self, name: str, moves: dict[str, str]) -> None:
-        self.replace(name, renamed(self.read(name), self.spark.createDataFrame(list(moves.items()), "old string, new string")))
+    def rename_sources(self, name: str, moves: dict[str, str] | DataFrame) -> None:
+        base = self.current(name)
+        table = moves if isinstance(moves, DataFrame) else self.spark.createDataFrame(list(moves.items()), "old string, new string")
+        self.replace(name, renamed(self.read(name), table), base)
 
     def get(self, name: str, identity: str) -> DataFrame:
         rows = self.read(name)

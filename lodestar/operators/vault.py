@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +57,22 @@ def merged_urls(urls: Column, primary: Column, new: Column) -> Column:
     return clean_list(F.concat(F.coalesce(urls, F.array().cast("array<string>")), F.array(F.coalesce(primary, F.lit("")), F.coalesce(new, F.lit("")))))
 
 
+def front_matter(title: Column, url: Column, tags: Column, fetched_at: Column) -> Column:
+    """The block of fields that stands before a document's body; values are quoted, so that any text survives."""
+    quoted = lambda c: F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v")))
+    value = lambda c: F.regexp_replace(quoted(c), r'^\{"v":|\}$', "")
+    lines = [F.concat(F.lit(f"{name}: "), value(c)) for name, c in (("title", title), ("url", url), ("fetched_at", fetched_at.cast("string")))]
+    listed = F.concat(F.lit("tags: "), F.to_json(F.coalesce(tags, F.array().cast("array<string>"))))
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines, listed), F.lit("\n---\n"))
+
+
+def front_fields(text: Column) -> Column:
+    """The fields of a document's block as (title, url, fetched_at, tags); null where there are none."""
+    part = lambda name: F.regexp_extract(text, rf"(?m)\A(?:(?!---$).*\n|---\n)*?{name}: (.*)$", 1)
+    single = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), part(name), F.lit("}")), "$.v").alias(name)
+    return F.struct(single("title"), single("url"), single("fetched_at"), F.from_json(part("tags"), "array<string>").alias("tags"))
+
+
 def filed(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """One row a body of incoming (doc_id, text, url, fetched_at): status new or refreshed, all addresses, and the day it was first filed."""
     batch = identity(incoming).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("url")).alias("_urls"), F.max("fetched_at").alias("updated_at"))
@@ -78,14 +93,18 @@ def channels(ledger: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, root: str, max_files: int = 0) -> DataFrame:
-    """Files below a folder with their bytes; hidden and tool folders are skipped."""
+    """Files below a folder with their bytes (null where there are too many, which are not read); hidden and tool folders and lines of ledgers are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     rel = F.regexp_replace("path", "^" + _quoted(full) + "/", "")
     parts = F.split(rel, "/", -1)
-    kept = files.withColumn("rel", rel).where(~F.exists(parts, lambda p: p.isin(SKIPPED_FOLDERS) | p.startswith(".")))
-    return kept.orderBy("rel").limit(max_files) if max_files > 0 else kept
+    kept = files.withColumn("rel", rel).where(~F.exists(parts, lambda p: p.isin(SKIPPED_FOLDERS) | p.startswith(".")) & ~F.lower("rel").endswith(".jsonl"))
+    if max_files > 0:
+        kept = kept.join(F.broadcast(kept.select("rel").orderBy("rel").limit(max_files)), "rel", "left_semi")
+    columns = ["path", "modificationTime", "length", "rel"]
+    small, large = kept.where(F.col("length") <= MAX_BYTES), kept.where(F.col("length") > MAX_BYTES)
+    return small.select(*columns, "content").unionByName(large.select(*columns, F.lit(None).cast("binary").alias("content")))
 
 
 def _quoted(text: str) -> str:
@@ -115,9 +134,5 @@ def bundle(hits: DataFrame, key: str = "query") -> DataFrame:
     return rows.groupBy(key).agg(ordered.alias("x")).select(key, F.concat(F.array_join("x.head", "\n"), F.lit("\n\n"), F.array_join("x.block", "\n\n")).alias("bundle"))
 
 
-def first_valid(*columns: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), columns)
-
-
 def host_of(url: Column) -> Column:
     return url_host(url)

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.dates import parse_date
 from lodestar.functions.text import content_id, content_sha, expand_tags, fnv1a32, safe_key, strip_front_matter
 from lodestar.operators import chunking, fusion, grep, keyword, ledger, maintain, vault, vector
 from lodestar.operators.filters import apply_filter, from_metadata
-from lodestar.operators.store import POINTS, Store, tag_tree
+from lodestar.operators.store import POINTS, Store, payload_set, tag_tree, upserted, with_norm
+from lodestar.plans.scratch import materialize
 from lodestar.sources import websearch
 from lodestar.sources.records import Registry
 from lodestar.sources.settings import Settings
@@ -70,26 +72,38 @@ class Engine:
         full = self.embed(chunks.where(F.trim("text") != "").withColumn("collection", F.lit(collection)))
         return full.select(
             "collection", safe_key(F.col("source_file")).alias("source_key"), "source_file", F.element_at(F.split("source_file", "/", -1), -1).alias("source"), F.col("source_file").alias("source_rel"),
-            content_id(F.col("collection"), F.col("text")).alias("point_id"), content_sha(F.col("text")).alias("content_sha"), fnv1a32(F.substring("text", 1, 64)).alias("hash"),
+            content_id(F.col("collection"), F.col("text")).alias("point_id"), content_sha(F.col("text")).alias("content_sha"), fnv1a32(F.col("text")).alias("hash"),
             F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit(datetime.now(UTC)).alias("indexed_at"), "metadata", "tags", expand_tags(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags_expanded"), "vector", F.lit(None).cast("double").alias("norm"),
         )
 
+    def provenance(self) -> dict:
+        """What vectors are made with now."""
+        s = self.settings
+        return {"embed_model": s.embed_model, "embed_provider": s.embed_provider, "vector_dim": len(self.embedder(["ok"])[0]), "vector_distance": s.vector_distance}
+
     def index_documents(self, docs: DataFrame, collection: str, replace_source: bool = False, **options) -> int:
-        """Chunk, embed and upsert; returns the rows of the collection afterwards."""
+        """Chunk, embed and upsert, in one change; returns the rows of the collection afterwards.
+
+        Refused if the collection was made by another model. ``self.warnings`` then holds what is odd about the new chunks.
+        """
         self.store.create(collection, POINTS)
+        made = self.provenance()
+        maintain.check_provenance(self.registry.get(collection, {}), made)
         new = self.points(docs, collection, **options)
-        own = self.store.read(collection)
-        if replace_source:
-            self.store.replace(collection, own.join(docs.select("source_file").distinct(), "source_file", "left_anti").select(*own.columns))
-        self.store.upsert(collection, new)
-        self.registry.update_entry(collection)
-        return self.store.count(collection)
+        base, own = self.store.current(collection), self.store.read(collection)
+        kept = own.join(docs.select("source_file").distinct(), "source_file", "left_anti").select(*own.columns) if replace_source else own
+        self.store.replace(collection, upserted(kept, with_norm(new)), base)
+        now = self.store.read(collection)
+        self.warnings = chunking.problems(now.join(docs.select("source_file").distinct(), "source_file", "left_semi"), "source_key")
+        self.registry.update_entry(collection, **made)
+        return now.count()
 
     def rebuild_collection(self, docs: DataFrame, collection: str, **options) -> int:
-        """Index these documents and nothing else."""
+        """Index these documents and nothing else, by the model of today."""
         self.store.create(collection, POINTS)
-        self.store.replace(collection, self.store.read(collection).limit(0))
-        return self.index_documents(docs, collection, **options)
+        self.store.replace(collection, with_norm(self.points(docs, collection, **options)))
+        self.registry.update_entry(collection, **self.provenance())
+        return self.store.count(collection)
 
     def store_memory(self, text: str, collection: str = "", metadata: dict[str, str] | None = None, tags: Sequence[str] = ()) -> str:
         """Index one text and return its content id."""
@@ -100,8 +114,13 @@ class Engine:
             raise ValueError("no collection is given and there is no default")
         row = self.spark.createDataFrame([(text, "direct_text", {"kind": "memory", "visibility": "private"} | (metadata or {}), list(tags))], "text string, source_file string, metadata map<string,string>, tags array<string>")
         self.index_documents(row, name)
+        self.file_documents(row.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit("").alias("title"), F.lit("").alias("url"), F.current_timestamp().alias("fetched_at")), "agent")
         return row.select(content_sha(F.col("text"))).first()[0]
 
+    def journal(self) -> DataFrame:
+        """One text a day of all memories."""
+        return vault.agent_journal(self.documents.read("vault").where("channel = 'agent'").select(F.col("updated_at").alias("stored_at"), "text"))
+
     def update_memory(self, collection: str, text: str, condition: dict, dry_run: bool = False) -> dict:
         """Replace matching rows by a new text in one change; the new rows name what they supersede."""
         rows = self.store.read(collection)
@@ -151,7 +170,7 @@ class Engine:
             near = vector.search(rows, vec, recall, limit, where, ties=("source_key", "chunk_index", "point_id"))
             lists = [fusion.ranked(near.select(*keys, "score"), keys)]
             if s.bm25_enabled:
-                words = keyword.search(rows, query, recall, where, key="point_id", tags="tags").select(*keys, "score")
+                words = keyword.search_points(*self.store.postings(name), query, recall, apply_filter(rows, where) if where else None).select(F.lit(name).alias("collection"), "source_key", "point_id", "score")
                 if not words.isEmpty():
                     lists.append(fusion.ranked(words, keys))
             fused = fusion.fuse(lists, keys, recall) if len(lists) > 1 else near.select(*keys, "score")
@@ -196,8 +215,8 @@ class Engine:
         self.registry.remove(name)
 
     def verify(self, name: str) -> DataFrame:
-        rows = self.store.read(name)
-        return maintain.verify_structure(rows.groupBy("collection", "source_file").agg(F.count(F.lit(1)).alias("chunks")), rows, self.settings.vector_dim)
+        """What is wrong with the rows by the catalog that was written with them."""
+        return maintain.verify_structure(self.store.catalog(name), self.store.read(name), self.settings.vector_dim)
 
     def verify_deep(self, name: str, source: str, text: str, samples: int = 20) -> dict:
         """Coverage of a source's current text by its stored chunks, and the median cosine of stored and fresh vectors."""
@@ -246,30 +265,86 @@ class Engine:
         files = vault.read_folder(self.spark, folder, max_files)
         self.documents.create("vault", "sha256 string, doc_id long, urls array<string>, updated_at timestamp, day date, channel string, category string, path string, title string, text string")
         raw = self.documents.read("vault").select(F.sha2("text", 256).alias("raw_sha256"))
-        found = vault.classify_import(files, raw)
+        found = materialize(vault.classify_import(files, raw), "import")
         text = files.join(found.where("status = 'imported'"), "rel").select(F.xxhash64("rel").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), "title", F.col("rel").alias("url"), F.current_timestamp().alias("fetched_at"))
-        report = found.collect()
         self.file_documents(text, "import")
-        return self.spark.createDataFrame(report, found.schema)
+        return found
+
+    def upload(self, name: str, content: bytes, title: str = "") -> DataFrame:
+        """File one text given as bytes; of the name the last part counts. What import refuses is refused here."""
+        base = name.replace("\\", "/").rsplit("/", 1)[-1]
+        if len(content) > vault.MAX_BYTES:
+            raise ValueError("too large")
+        if not content or b"\0" in content[:8000]:
+            raise ValueError("empty or binary")
+        row = self.spark.createDataFrame([(0, content.decode("utf-8", "replace"), title or base.rsplit(".", 1)[0], base, datetime.now(UTC))], "doc_id long, text string, title string, url string, fetched_at timestamp")
+        return self.file_documents(row, "upload")
+
+    def update_document(self, path: str, **values: str) -> int:
+        """Change fields (title, category) of one filed document in one change; returns how many rows there are of it."""
+        if odd := set(values) - {"title", "category"}:
+            raise ValueError(f"these do not change: {sorted(odd)}")
+        base, rows = self.documents.current("vault"), self.documents.read("vault")
+        self.documents.replace("vault", payload_set(rows, F.col("path") == path, values), base)
+        return self.documents.read("vault").where(F.col("path") == path).count()
+
+    def documents_migrate(self, folder: str, channel: str = "web") -> DataFrame:
+        """File the texts of the old layout below a folder; returns the moves (old, new). The files stay."""
+        files = vault.read_folder(self.spark, folder).where("content is not null")
+        entries, moves = ledger.migrated(files.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text")), channel)
+        stamp = F.coalesce(parse_date(F.col("fetched_at")), F.lit("1970-01-01").cast("timestamp"))
+        self.file_documents(entries.select(F.xxhash64("path").alias("doc_id"), F.col("body").alias("text"), "title", "url", stamp.alias("fetched_at")), channel)
+        return moves
+
+    def documents_prune(self, folder: str) -> int:
+        """Drop imported documents whose file is no longer below the folder; returns how many."""
+        base, rows = self.documents.current("vault"), self.documents.read("vault")
+        files = vault.read_folder(self.spark, folder).select(F.explode(F.array("rel")).alias("_url"))
+        before = rows.count()
+        mine = F.col("channel") == "import"
+        known = rows.where(mine).withColumn("_url", F.explode("urls")).join(files, "_url", "left_semi").select("sha256").distinct()
+        self.documents.replace("vault", rows.where(~mine).unionByName(rows.where(mine).join(known, "sha256", "left_semi").select(*rows.columns)), base)
+        return before - self.documents.read("vault").count()
 
     def repair_sources(self, collection: str, sources: DataFrame, book: DataFrame) -> int:
         """Point sources whose file has moved to where the ledger knows them; returns how many."""
-        moves = ledger.repaired(sources, book).where("found is not null and found <> source_file")
-        pairs = {r["source_file"]: r["found"] for r in moves.collect()}
-        if pairs:
-            self.store.rename_sources(collection, pairs)
-        return len(pairs)
+        moves = materialize(ledger.repaired(sources, book).where("found is not null and found <> source_file").select(F.col("source_file").alias("old"), F.col("found").alias("new")), "moves")
+        n = moves.count()
+        if n:
+            self.store.rename_sources(collection, moves)
+        return n
 
     # Web
 
     def web_search(self, query: str, provider: str = "", ingest: str = "", **options) -> DataFrame:
-        """Hits of the configured service; with ingest their texts are filed and indexed in that collection."""
+        """Hits of the configured service, asked once; with ingest their texts are filed and indexed in that collection."""
         hits = websearch.search(self.spark, provider or self.settings.web_provider, query, count=self.settings.web_count, freshness_days=self.settings.freshness_days, **options)
+        hits = materialize(hits, "web-hits")
         if ingest:
-            rows = hits.where("content <> ''")
-            self.index_documents(web_rows(rows), ingest, replace_source=True)
+            self.ingest_web(hits, ingest)
         return hits
 
+    def ingest_web(self, hits: DataFrame, collection: str) -> dict:
+        """File web hits and index those whose text has changed; a page that has not is only marked as seen. If embedding fails, the stored version stays."""
+        self.store.create(collection, POINTS)
+        rows = hits.where("content is not null and content <> ''")
+        pages = rows.select(F.lit(0).cast("long").alias("doc_id"), F.col("content").alias("text"), "title", "url", F.current_timestamp().alias("fetched_at"))
+        self.file_documents(pages, "web")
+        fresh = materialize(web_rows(rows).dropDuplicates(["source_file"]), "web-rows")
+        known = self.store.read(collection).select("source_file", F.try_element_at("metadata", F.lit("page_sha")).alias("_sha")).distinct()
+        same = materialize(fresh.join(known, "source_file").where(F.col("_sha") == F.col("metadata")["page_sha"]).select("source_file").distinct(), "web-same")
+        changed = fresh.join(same, "source_file", "left_anti")
+        report = {"unchanged": same.count(), "indexed": changed.count()}
+        if report["unchanged"]:
+            base, own = self.store.current(collection), self.store.read(collection)
+            seen = own.join(same.withColumn("_same", F.lit(True)), "source_file", "left")
+            stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+            marked = F.map_concat(F.map_filter("metadata", lambda k, _: k != "fetched_at"), F.create_map(F.lit("fetched_at"), stamp))
+            self.store.replace(collection, seen.withColumn("metadata", F.when(F.col("_same"), marked).otherwise(F.col("metadata"))).select(*own.columns), base)
+        if report["indexed"]:
+            self.index_documents(changed.select("text", "source_file", "metadata", "tags"), collection, replace_source=True)
+        return report
+
     def health_check(self) -> dict:
         """Whether the store, the embedder and the scorer answer."""
         out = {}
@@ -288,7 +363,7 @@ def web_rows(hits: DataFrame) -> DataFrame:
     from lodestar.functions.urls import canonical_url
 
     fields = {
-        "source_type": F.lit("web"), "kind": F.lit("web"), "visibility": F.lit("private"), "provider": F.col("provider"), "url": F.col("url"), "canonical_url": canonical_url(F.col("url")), "title": F.col("title"),
+        "page_sha": content_sha(F.col("content")), "source_type": F.lit("web"), "kind": F.lit("web"), "visibility": F.lit("private"), "provider": F.col("provider"), "url": F.col("url"), "canonical_url": canonical_url(F.col("url")), "title": F.col("title"),
         "fetched_at": rfc3339(F.current_timestamp()), "published_at": rfc3339(F.col("published_at")), "authority": F.when(F.col("authority") >= 0, F.col("authority").cast("string")), "score": F.when(F.col("score") != 0, F.format_string("%.4f", F.col("score"))),
     }
     full = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))

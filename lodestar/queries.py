@@ -202,9 +202,9 @@ for _strategy in chunking.STRATEGIES[1:]:
     "chunk_problems",
     """WITH c AS (SELECT doc_id, i AS chunk_index, x AS text FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
     b AS (SELECT *, lag(chunk_index) OVER (PARTITION BY doc_id, text ORDER BY chunk_index) AS before FROM c)
-    SELECT doc_id, chunk_index, 'empty chunk' AS reason FROM b WHERE trim(text) = ''
-    UNION ALL SELECT doc_id, chunk_index, 'suspiciously tiny chunk' FROM b WHERE trim(text) <> '' AND chunk_index > 0 AND length(text) < 8
-    UNION ALL SELECT doc_id, chunk_index, 'duplicate hash with chunk #' || before || ' (identical content)' FROM b WHERE trim(text) <> '' AND before IS NOT NULL""",
+    SELECT doc_id, chunk_index, 'blank' AS reason FROM b WHERE trim(text) = ''
+    UNION ALL SELECT doc_id, chunk_index, 'too short' FROM b WHERE trim(text) <> '' AND chunk_index > 0 AND length(text) < 8
+    UNION ALL SELECT doc_id, chunk_index, 'same as chunk ' || before FROM b WHERE trim(text) <> '' AND before IS NOT NULL""",
 )
 def chunk_problems(spark, sf_dir):
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))

@@ -28,6 +28,9 @@ class Settings:
     safesearch: int = 0
     country: str = ""
     vector_dim: int = 0
+    embed_model: str = ""
+    embed_provider: str = ""
+    vector_distance: str = "cosine"
     category_rules: list = field(default_factory=list)
 
     def checked(self) -> Settings:

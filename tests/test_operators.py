@@ -36,7 +36,7 @@ def test_strategies():
 
 def test_problems(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(["long enough", " ", "tiny", "long enough"])], "doc_id long, chunk_index int, text string")
-    assert sorted((r[1], r[2][:9]) for r in chunking.problems(rows).collect()) == [(1, "empty chu"), (2, "suspiciou"), (3, "duplicate")]
+    assert sorted((r[1], r[2][:9]) for r in chunking.problems(rows).collect()) == [(1, "blank"), (2, "too short"), (3, "same as c")]
 
 
 @pytest.fixture(scope="module")
