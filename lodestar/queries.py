@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, scores, text, urls
 from lodestar.operators import chunking, filters, fusion, grep, keyword, ledger, maintain, store, vault, vector
+from lodestar.plans.scratch import materialize, scratch_path
+from lodestar.sources import records, websearch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,11 +108,11 @@ _BM25 = """
   qt AS (SELECT term, count(*) AS times FROM (SELECT unnest({qtokens}) AS term) GROUP BY 1),
   bm AS (SELECT doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN qt USING (term) JOIN df USING (term), st GROUP BY 1)
 """.format
-_HEAD = "(SELECT regexp_extract_all(lower(left(text, 120)), '[\\p{L}\\p{Nd}]+') FROM benchmark WHERE item_id = 0)"
+_HEAD = "(SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') FROM benchmark WHERE item_id = 0)"
 
 
 def _asked(spark, sf_dir) -> str:
-    return _table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.substring("text", 1, 120)).first()[0]
+    return _table(spark, sf_dir, "benchmark").where("item_id = 0").select("text").first()[0]
 
 
 @_query("tokenize_counts", f"SELECT doc_id, len({_TOKENS})::BIGINT AS n, len(list_distinct({_TOKENS}))::BIGINT AS n_distinct FROM documents")
@@ -166,7 +168,7 @@ def hybrid_rrf(spark, sf_dir):
     "rerank_overlap",
     f"""WITH {_BM25(tokens=_TOKENS, where="", qtokens=_HEAD)},
     top AS (SELECT doc_id, text FROM (SELECT doc_id FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 30) JOIN documents USING (doc_id)),
-    qw AS (SELECT list_distinct(string_split_regex(trim(lower(left(text, 120))), '\\s+')) AS words FROM benchmark WHERE item_id = 0)
+    qw AS (SELECT list_distinct(string_split_regex(trim(lower(text)), '\\s+')) AS words FROM benchmark WHERE item_id = 0)
     SELECT doc_id, round(len(list_intersect(words, string_split_regex(trim(lower(text)), '\\s+'))) / len(words), 6) AS score FROM top, qw ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def rerank_overlap(spark, sf_dir):
@@ -275,12 +277,12 @@ def titles(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.title_from_text(F.col("text")).alias("title"))
 
 
-_SLUGGED = "translate(left(text, 70), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SLUGGED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @_query("slugs", f"SELECT doc_id, trim(left(trim(regexp_replace({_SLUGGED}, '[^a-z0-9]', '-', 'g'), '-.'), 48), '-.') AS slug, trim(left(trim(regexp_replace(lower(trim(source || ' / ' || lang)), '[^a-z0-9._-]+', '-', 'g'), '-.'), 40), '-.') AS segment FROM documents")
 def slugs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.doc_slug(F.substring("text", 1, 70), F.lit("")).alias("slug"), text.sanitize_segment(F.concat("source", F.lit(" / "), "lang")).alias("segment"))
+    return _docs(spark, sf_dir).select("doc_id", text.doc_slug(F.col("text"), F.lit("")).alias("slug"), text.sanitize_segment(F.concat("source", F.lit(" / "), "lang")).alias("segment"))
 
 
 # Addresses and dates
@@ -388,9 +390,9 @@ def grep_regex(spark, sf_dir):
     return _grepped(_docs(spark, sf_dir), r"\+1 \(\d{3}\)", mode="regex")
 
 
-@_query("grep_word", _grep_sql("regexp_matches(text, '(?i)(^|[^\\p{L}\\p{Nd}_])hat([^\\p{L}\\p{Nd}_]|$)')"))
+@_query("grep_word", _grep_sql("regexp_matches(text, '(?i)(^|[^\\p{L}\\p{Nd}_])license([^\\p{L}\\p{Nd}_]|$)')"))
 def grep_word(spark, sf_dir):
-    return _grepped(_docs(spark, sf_dir), "hat", word=True)
+    return _grepped(_docs(spark, sf_dir), "license", word=True)
 
 
 @_query("grep_case", _grep_sql("contains(text, 'The ')"))
@@ -517,12 +519,12 @@ def rename_sources(spark, sf_dir):
     "describe_collections",
     """WITH live AS (SELECT source AS name, count(DISTINCT lang) AS sources, count(*)::BIGINT AS chunks FROM documents WHERE source <> 'src3' GROUP BY 1),
     reg AS (SELECT name, n % 2 = 0 AS enabled FROM (SELECT unnest(range(0, 25)) AS n, 'src' || n AS name))
-    SELECT name, coalesce(sources, 0) AS sources, coalesce(chunks, 0) AS chunks, sources IS NOT NULL AS exists, enabled FROM live FULL JOIN reg USING (name)""",
+    SELECT name, coalesce(sources, 0) AS sources, coalesce(chunks, 0) AS chunks, sources IS NOT NULL AS exists, enabled, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::BIGINT % 100000 AS id FROM live FULL JOIN reg USING (name)""",
 )
 def describe_collections(spark, sf_dir):
     sources = _docs(spark, sf_dir).where("source <> 'src3'").groupBy(F.col("source").alias("collection"), F.col("lang").alias("source_file")).agg(F.count(F.lit(1)).alias("chunks"))
     registry = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("name"), (F.col("id") % 2 == 0).alias("enabled"))
-    return maintain.describe_collections(sources, registry).select("name", "sources", "chunks", "exists", "enabled")
+    return maintain.describe_collections(sources, registry).select("name", "sources", "chunks", "exists", "enabled", "id")
 
 
 @_query("resolve_targets", "SELECT DISTINCT source AS name FROM documents WHERE source IN (SELECT 'src' || (2 * n) FROM (SELECT unnest(range(0, 13)) AS n))")
@@ -535,14 +537,14 @@ def resolve_targets(spark, sf_dir):
     "verify_structure",
     """WITH st AS (SELECT 'e' AS collection, label::VARCHAR AS source, count(*) AS n FROM embeddings WHERE label <> 4 GROUP BY 2),
     cat AS (SELECT source, CASE source WHEN '1' THEN 7 WHEN '2' THEN 0 ELSE n END AS chunks FROM (SELECT label::VARCHAR AS source, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY 1))
-    SELECT 'e' AS collection, 'orphan_dir' AS kind, '3' AS source UNION ALL SELECT 'e', 'empty_source', '2' UNION ALL SELECT 'e', 'missing_index', '4'
-    UNION ALL SELECT 'e', 'count_mismatch', source FROM st JOIN cat USING (source) WHERE n <> chunks""",
+    SELECT 'e' AS collection, 'orphan_dir' AS kind, '3' AS source, 'not in the catalog' AS detail UNION ALL SELECT 'e', 'empty_source', '2', 'no chunks' UNION ALL SELECT 'e', 'missing_index', '4', 'no index'
+    UNION ALL SELECT 'e', 'count_mismatch', source, 'catalog ' || chunks || ', index ' || n FROM st JOIN cat USING (source) WHERE n <> chunks""",
 )
 def verify_structure(spark, sf_dir):
     points = _points(spark, sf_dir).select(F.lit("e").alias("collection"), F.col("label").cast("string").alias("source_file"), "vector")
     counts = points.where("source_file <> '3'").groupBy("collection", "source_file").agg(F.count(F.lit(1)).alias("chunks"))
     catalog = counts.withColumn("chunks", F.when(F.col("source_file") == "1", 7).when(F.col("source_file") == "2", 0).otherwise(F.col("chunks")))
-    return maintain.verify_structure(catalog, points.where("source_file <> '4'"), 64).select("collection", "kind", "source")
+    return maintain.verify_structure(catalog, points.where("source_file <> '4'"), 64).select("collection", "kind", "source", "detail")
 
 
 @_query(
@@ -624,27 +626,28 @@ def import_classify(spark, sf_dir):
 
 @_query(
     "web_bundle",
-    """WITH h AS (SELECT page_id % 10 AS query, page_id AS rank, 'p' || page_id AS title, url, left(html, 40) AS body FROM pages)
-    SELECT query, string_agg('- ' || title || ' <' || url || '>', chr(10) ORDER BY rank) || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || trim(body), chr(10) || chr(10) ORDER BY rank) AS bundle FROM h GROUP BY 1""",
+    """WITH h AS (SELECT page_id % 10 AS query, page_id AS rank, 'p' || page_id AS title, url, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN 'summary of ' || url ELSE left(html, 40) END AS body FROM pages)
+    SELECT query, string_agg('- ' || title || ' <' || url || '>', chr(10) ORDER BY rank) || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || trim(body, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY rank) AS bundle FROM h GROUP BY 1""",
 )
 def web_bundle(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
-    hits = pages.select((F.col("page_id") % 10).alias("query"), F.col("page_id").alias("rank"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), "url", F.lit(" ").alias("content"), F.lit(None).cast("string").alias("summary"), F.substring("html", 1, 40).alias("snippet"))
-    return vault.bundle(hits)
+    pages, kind = _table(spark, sf_dir, "pages"), F.col("page_id") % 3
+    texts = [F.when(kind == 0, F.col("html")).otherwise(" ").alias("content"), F.when(kind == 1, F.concat(F.lit("summary of "), "url")).alias("summary"), F.substring("html", 1, 40).alias("snippet")]
+    return vault.bundle(pages.select((F.col("page_id") % 10).alias("query"), F.col("page_id").alias("rank"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), "url", *texts))
 
 
 def _history(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, "upload").otherwise("index").alias("op"), F.concat(F.lit("f"), (F.col("user_id") % 10).cast("string")).alias("file"))
 
 
-@_query("history_for_file", "SELECT event_id FROM events WHERE user_id % 10 = 3")
+@_query("history_for_file", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'upload' ELSE 'index' END AS op, row_number() OVER (ORDER BY ts, op, event_id) AS place FROM events WHERE user_id % 10 = 3")
 def history_for_file(spark, sf_dir):
-    return ledger.history_for(_history(_table(spark, sf_dir, "events")), "f3").select("event_id")
+    rows = ledger.history_for(_history(_table(spark, sf_dir, "events")), "f3")
+    return rows.select("event_id", "op", F.row_number().over(Window.orderBy("ts", "op", "event_id")).cast("long").alias("place"))
 
 
-@_query("recent_uploads", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 3 = 0 ORDER BY ts DESC, 'f' || (user_id % 10) LIMIT 50")
+@_query("recent_uploads", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'f' || (user_id % 10) AS file FROM events WHERE event_id % 3 = 0 ORDER BY ts DESC, file LIMIT 50")
 def recent_uploads(spark, sf_dir):
-    return ledger.recent_uploads(_history(_table(spark, sf_dir, "events")), 50).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return ledger.recent_uploads(_history(_table(spark, sf_dir, "events")), 50).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "file")
 
 
 @_query("score_functions", "SELECT event_id, round(1 / (1 + exp(-(value / 100))), 6) AS p FROM events")
@@ -652,10 +655,253 @@ def score_functions(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.round(scores.sigmoid(F.col("value") / 100), 6).alias("p"))
 
 
-@_query("agent_journal", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS entries FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1")
+@_query("agent_journal", "SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg('## ' || strftime(ts, '%H:%M:%S') || chr(10) || chr(10) || 'event ' || event_id, chr(10) || chr(10) ORDER BY ts, 'event ' || event_id) AS journal FROM events GROUP BY 1")
 def agent_journal(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    kind = events.agg(F.min("event_type")).first()[0]
-    memories = events.where(F.col("event_type") == kind).select(F.col("ts").cast("timestamp").alias("stored_at"), F.col("event_id").cast("string").alias("text"))
-    journal = vault.agent_journal(memories)
-    return journal.select(F.col("day").cast("string").alias("day"), F.size(F.regexp_extract_all("text", F.lit("(?m)^## "), F.lit(0))).cast("long").alias("entries"))
+    memories = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("stored_at"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text"))
+    return vault.agent_journal(memories).select(F.col("day").cast("string").alias("day"), F.col("text").alias("journal"))
+
+
+# Stored collections
+
+
+def _stored_points(docs: DataFrame) -> DataFrame:
+    own = docs.select(F.col("source").alias("source_key"), F.col("lang").alias("source_file"), F.col("doc_id").cast("string").alias("point_id"), F.col("doc_id").cast("int").alias("chunk_index"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    return own.withColumn("collection", F.lit("docs"))
+
+
+def _store(spark: SparkSession) -> store.Store:
+    return store.Store(spark, scratch_path(spark, "store"))
+
+
+@_query("store_changes", "SELECT doc_id::VARCHAR AS point_id, CASE source WHEN 'src1' THEN 'moved' ELSE source END AS source_key, CASE WHEN lang = 'fr' THEN 'team' END AS visibility FROM documents WHERE lang <> 'de'")
+def store_changes(spark, sf_dir):
+    """Upserts of the same rows twice, a delete, a payload and a rename, each a snapshot of its own."""
+    own, rows = _store(spark), _stored_points(_docs(spark, sf_dir))
+    own.upsert("docs", rows.where("chunk_index % 2 = 0"))
+    own.upsert("docs", rows)
+    own.delete("docs", {"metadata.lang": "de"})
+    own.set_payload("docs", {"visibility": "team"}, {"must": [{"key": "source_file", "match": {"value": "fr"}}]})
+    own.replace("docs", store.renamed(own.read("docs"), spark.createDataFrame([("src1", "moved")], "old string, new string"), "source_key"), own.current("docs"))
+    return own.read("docs").select("point_id", "source_key", F.try_element_at("metadata", F.lit("visibility")).alias("visibility"))
+
+
+@_query("store_catalog", "SELECT 'docs' AS collection, lang AS source_file, count(*) AS chunks FROM documents GROUP BY 2")
+def store_catalog(spark, sf_dir):
+    own = _store(spark)
+    own.replace("docs", _stored_points(_docs(spark, sf_dir)))
+    return own.catalog("docs")
+
+
+@_query("store_info", "SELECT 'all' AS collection, count(*) AS chunks FROM documents UNION ALL SELECT 'english', count(*) FROM documents WHERE lang = 'en'")
+def store_info(spark, sf_dir):
+    own, rows = _store(spark), _stored_points(_docs(spark, sf_dir))
+    own.upsert("all", rows)
+    own.upsert("english", rows.where("source_file = 'en'"))
+    own.replace("other", rows)
+    own.drop("other", confirm=True)
+    return own.info()
+
+
+@_query("store_get", "SELECT doc_id::VARCHAR AS point_id, text FROM documents WHERE doc_id = 7")
+def store_get(spark, sf_dir):
+    own = _store(spark)
+    own.upsert("docs", _stored_points(_docs(spark, sf_dir)))
+    return own.get("docs", "7").select("point_id", "text")
+
+
+@_query("store_search", ORACLES["bm25_topk"])
+def store_search(spark, sf_dir):
+    """Keyword search by the postings beside a snapshot."""
+    own = _store(spark)
+    own.upsert("docs", _stored_points(_docs(spark, sf_dir)))
+    hits = keyword.search_points(*own.postings("docs", None), _asked(spark, sf_dir), 20)
+    return hits.select(F.col("point_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@_query("sample_texts", "SELECT vec_id AS point_id FROM embeddings WHERE vec_id % 2 = 0 ORDER BY vec_id LIMIT 20")
+def sample_texts(spark, sf_dir):
+    points = _points(spark, sf_dir).withColumn("text", F.lit("")).withColumn("vector", F.when(F.col("point_id") % 2 == 0, F.col("vector")).otherwise(F.array().cast("array<float>")))
+    return store.sample_texts(points, 20).select("point_id")
+
+
+@_query("vector_dimensions", f"WITH {_Q0} SELECT point_id, round(score, 6) AS score FROM p WHERE label <> 5 ORDER BY p.score DESC, point_id LIMIT 10")
+def vector_dimensions(spark, sf_dir):
+    """Rows of another dimension are skipped."""
+    points = _points(spark, sf_dir)
+    asked = _first_vector(points)
+    mixed = points.withColumn("vector", F.when(F.col("label") == 5, F.slice("vector", 1, 10)).otherwise(F.col("vector")))
+    vector.check_dimension(mixed, len(asked))
+    return vector.search(mixed, asked, 10).select("point_id", F.round("score", 6).alias("score"))
+
+
+@_query("filter_explicit", "SELECT doc_id FROM documents WHERE lang = 'fr'")
+def filter_explicit(spark, sf_dir):
+    return filters.apply_filter(_docs(spark, sf_dir), filters.from_metadata({"lang": "de"}, {"must": [{"key": "lang", "match": {"value": "fr"}}]})).select("doc_id")
+
+
+@_query("prune_sources", "SELECT lang AS source_file, sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS chunks FROM documents GROUP BY 1 HAVING chunks > 0")
+def prune_sources(spark, sf_dir):
+    catalog = _docs(spark, sf_dir).groupBy(F.col("lang").alias("source_file")).agg(F.sum(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("chunks"))
+    return maintain.prune_sources(catalog.unionByName(spark.createDataFrame([("gone", 0)], "source_file string, chunks long")))
+
+
+@_query("claimed_and_loaded", "SELECT (SELECT count(*) FROM documents) AS claimed, (SELECT count(*) FROM embeddings) AS loaded, false AS broken")
+def claimed_and_loaded(spark, sf_dir):
+    return maintain.claimed_and_loaded(_docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks")), _points(spark, sf_dir))
+
+
+@_query("roll_up", "SELECT source AS collection, count(*) FILTER (lang = 'fr') = 0 AS ok, count(*) FILTER (lang = 'fr') AS issues FROM documents GROUP BY 1")
+def roll_up(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("collection"), "lang")
+    return maintain.roll_up(rows.where("lang = 'fr'"), rows)
+
+
+@_query("orphans", "SELECT DISTINCT text AS content_sha FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+def orphans(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("content_sha"))
+    return maintain.orphans(rows, rows.where("doc_id % 3 = 0").select("content_sha").distinct())
+
+
+@_query("missing_collections", "SELECT DISTINCT source AS name FROM documents WHERE source NOT IN ('src1', 'src2')")
+def missing_collections(spark, sf_dir):
+    return maintain.missing_collections(_docs(spark, sf_dir).select(F.col("source").alias("name")).distinct(), spark.createDataFrame([("src1",), ("src2",)], "name string"))
+
+
+@_query("backfill", "SELECT doc_id, 'old.md' AS source_file, '2024-02-01 00:00:00' AS indexed_at FROM documents")
+def backfill(spark, sf_dir):
+    return maintain.backfill(_docs(spark, sf_dir), "old.md", NOW).select("doc_id", "source_file", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("indexed_at"))
+
+
+# Files, records and pages
+
+
+@_query("ledger_files", "SELECT doc_id::VARCHAR AS path, left(sha256(text), 8) AS id, len(text) AS bytes FROM documents")
+def ledger_files(spark, sf_dir):
+    """Entries appended by month and read back; a line without path and hash is skipped."""
+    path = scratch_path(spark, "ledger")
+    docs = _docs(spark, sf_dir)
+    stamp = F.date_format(F.date_add(F.lit("2026-10-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int")), "yyyy-MM-dd")
+    entries = docs.select(F.col("doc_id").cast("string").alias("path"), F.substring(F.sha2("text", 256), 1, 8).alias("id"), F.sha2("text", 256).alias("sha256"), stamp.alias("updated_at"), F.char_length("text").cast("long").alias("bytes"))
+    ledger.append(entries, path)
+    ledger.append(spark.createDataFrame([("", "x", "", "2026-10-01", 0)], entries.schema), path)
+    return ledger.read(spark, path).select("path", "id", "bytes")
+
+
+@_query("history_files", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, event_type AS op, event_id AS chunks FROM events")
+def history_files(spark, sf_dir):
+    path = scratch_path(spark, "history")
+    events = _table(spark, sf_dir, "events").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("event_type").alias("op"), F.col("event_id").alias("chunks"))
+    records.append_history(events, path)
+    return records.read_history(spark, path).select("ts", "op", "chunks")
+
+
+@_query("front_matter", "SELECT doc_id, source || ': \"' || lang || '\"' AS title, 'http://x/?a=1&b=' || doc_id AS url, lang || ',a/b' AS tags, text AS body FROM documents")
+def front_matter(spark, sf_dir):
+    """A block of fields before a text, read again and stripped."""
+    docs = _docs(spark, sf_dir)
+    title = F.concat("source", F.lit(': "'), "lang", F.lit('"'))
+    url = F.concat(F.lit("http://x/?a=1&b="), F.col("doc_id").cast("string"))
+    head = vault.front_matter(title, url, F.array("lang", F.lit("a/b")), F.lit(NOW).cast("timestamp"))
+    filed = materialize(docs.select("doc_id", F.concat(head, "text").alias("filed")), "front-matter")
+    fields = filed.select("doc_id", vault.front_fields(F.col("filed")).alias("f"), text.strip_front_matter(F.col("filed")).alias("body"))
+    return fields.select("doc_id", "f.title", "f.url", F.array_join("f.tags", ",").alias("tags"), "body")
+
+
+@_query("strip_front_matter", "SELECT doc_id, text, doc_id % 2 = 0 AS had FROM documents")
+def strip_front_matter(spark, sf_dir):
+    whole = F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("\ufeff---\r\nlang: x\r\n---\r\n")).when(F.col("doc_id") % 2 == 0, F.lit("---\nlang: x\n---\n")).otherwise(""), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.strip_front_matter(whole).alias("text"), text.has_front_matter(whole).alias("had"))
+
+
+@_query("legacy_header", "SELECT doc_id, 'T ' || lang AS title, 'http://x/' || doc_id AS source, 'p' AS provider, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents")
+def legacy_header(spark, sf_dir):
+    old = F.concat(F.lit("# T "), "lang", F.lit("\n\n- source: http://x/"), F.col("doc_id").cast("string"), F.lit("\n- provider: p\n\n"), "text")
+    rows = ledger.parse_legacy(_docs(spark, sf_dir).select("doc_id", old.alias("text")))
+    return rows.select("doc_id", "title", "source", "provider", text.trim_space(F.col("body")).alias("body"))
+
+
+@_query("parsed_tags", "SELECT doc_id, lang || '|' || source || '|x' AS tags, lang || ' ' || source || ' x' AS words FROM documents")
+def parsed_tags(spark, sf_dir):
+    tags = text.parse_tags(F.concat(F.lit("#"), "lang", F.lit(", "), "source", F.lit(" ,, #x")))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(tags, "|").alias("tags"), text.tags_text(tags).alias("words"))
+
+
+@_query("first_filled", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN source ELSE '' END AS value, lang || '|' || source AS listed FROM documents")
+def first_filled(spark, sf_dir):
+    kind = F.col("doc_id") % 3
+    value = text.first_filled(F.when(kind == 0, F.concat(F.lit("  "), "lang")), F.when(kind == 1, F.concat("source", F.lit("\t"))).otherwise("  "))
+    listed = text.clean_list(F.array(F.concat("lang", F.lit(" ")), F.lit(" "), F.col("source"), F.col("lang")))
+    return _docs(spark, sf_dir).select("doc_id", value.alias("value"), F.array_join(listed, "|").alias("listed"))
+
+
+_SPOILT = "lang || '/' || source || ' ' || (doc_id % 10) || '.md'"
+
+
+@_query("safe_keys", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '/' || source || '.md' ELSE lang || '/' || source || '_' || (doc_id % 10) || '.md__' || printf('%08x', list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split({_SPOILT}, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::BIGINT) END AS key FROM documents")
+def safe_keys(spark, sf_dir):
+    whole = F.concat("lang", F.lit("/"), "source", F.lit(".md"))
+    odd = F.concat("lang", F.lit("/"), "source", F.lit(" "), (F.col("doc_id") % 10).cast("string"), F.lit(".md"))
+    return _docs(spark, sf_dir).select("doc_id", text.safe_key(F.concat(F.lit("/root/docs/"), F.when(F.col("doc_id") % 2 == 0, whole).otherwise(odd)), "/root/docs").alias("key"))
+
+
+@_query("binary_texts", "SELECT doc_id, doc_id % 5 = 0 AS found, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'other/' || lang END AS rel FROM documents")
+def binary_texts(spark, sf_dir):
+    content = F.encode(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x\0"), "text")).otherwise(F.col("text")), "UTF-8")
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "base/").otherwise("other/"), "lang")
+    return _docs(spark, sf_dir).select("doc_id", text.looks_binary(content).alias("found"), text.relative_to(path, "base").alias("rel"))
+
+
+@_query("merged_urls", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b|c' ELSE 'a|b' END AS urls FROM documents")
+def merged_urls(spark, sf_dir):
+    urls_known = F.array(F.lit("a"), F.lit("b"), F.lit(" "))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(vault.merged_urls(urls_known, F.lit("b"), F.when(F.col("doc_id") % 2 == 0, "c").otherwise("")), "|").alias("urls"))
+
+
+@_query("stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def stamps(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", dates.rfc3339(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+@_query(
+    "web_rows",
+    f"SELECT min(page_id) AS page, {_CANON} AS source_file, count(*) AS n FROM pages GROUP BY 2",
+)
+def web_rows(spark, sf_dir):
+    """Pages as rows to index: the source is the canonical address, and the metadata say where they are from."""
+    from lodestar.plans.engine import web_rows as rows_of
+
+    pages = _table(spark, sf_dir, "pages").select(F.col("html").alias("content"), "url", F.col("page_id").cast("string").alias("title"), F.lit("p").alias("provider"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(-1).alias("authority"), F.lit(0.5).alias("score"))
+    rows = rows_of(pages).where("metadata['score'] = '0.5000' AND metadata['canonical_url'] = source_file AND metadata['authority'] IS NULL AND metadata['source_type'] = 'web'")
+    return rows.groupBy("source_file").agg(F.min(F.col("metadata")["title"].cast("long")).alias("page"), F.count(F.lit(1)).alias("n"))
+
+
+@_query("web_hits", "SELECT * FROM (VALUES (1, 'A', 'http://a', 1.0, '2026-10-16'), (2, 'C', 'http://c', 0.4, NULL)) AS t(rank, title, url, score, day)")
+def web_hits(spark, sf_dir):
+    """A recorded response: a hit without an address goes, a score of 0 becomes one by its place."""
+    response = '{"results": [{"title": "A", "url": "http://a", "publishedDate": "2026-10-16T01:00:00Z"}, {"title": "B", "url": " "}, {"title": "C", "url": "http://c", "score": 0.4}]}'
+    hits = websearch.search(spark, "searxng", "x", base_url="http://none", response=response)
+    return hits.select("rank", "title", "url", "score", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
+@_query("body_lines", "SELECT doc_id, CASE WHEN line > 3 THEN line - 3 ELSE 1 END AS line, lang FROM (SELECT doc_id, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)")
+def body_lines(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    hits = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"))
+    return grep.with_identity(hits, docs.select("doc_id", "lang", F.lit(3).alias("offset")), "doc_id", "offset").select("doc_id", F.col("line").cast("long").alias("line"), "lang")
+
+
+@_query("ledger_tail", "SELECT row_number() OVER (ORDER BY doc_id) AS line_no, lpad(doc_id::VARCHAR, 9, '0') AS value FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 25)")
+def ledger_tail(spark, sf_dir):
+    path = scratch_path(spark, "log")
+    _docs(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("value")).orderBy("value").coalesce(1).write.text(path)
+    return records.tail(spark, path, 25).select(F.col("line_no").cast("long").alias("line_no"), "value")
+
+
+@_query(
+    "migrated",
+    "SELECT DISTINCT '2026-10-16/web/_/010203-' || left(sha256(body), 8) || '-t-' || lang || '.md' AS path, left(sha256(body), 8) AS id, body FROM (SELECT lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents) WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY sha256(body) ORDER BY lang) = 1",
+)
+def migrated(spark, sf_dir):
+    old = F.concat(F.lit("# T "), "lang", F.lit("\n\n- source: http://x\n- fetched_at: 2026-10-16T01:02:03Z\n\n"), text.trim_space(F.col("text")))
+    entries, _ = ledger.migrated(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), old.alias("text")))
+    return entries.select("path", "id", "body")
