@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import ledger_month
+from lodestar.functions.text import trim_space
 
 ENTRY = (
     "path string, id string, channel string, category string, title string, url string, urls array<string>, sha256 string, raw_sha256 string, provider string, "
@@ -92,7 +93,7 @@ def migrated(legacy: DataFrame, channel: str = "web") -> tuple[DataFrame, DataFr
     from lodestar.functions.dates import parse_date
     from lodestar.operators.vault import NO_CATEGORY, vault_path
 
-    rows = parse_legacy(legacy).withColumn("body", F.trim("body")).where("body <> ''")
+    rows = parse_legacy(legacy).withColumn("body", trim_space(F.col("body"))).where("body <> ''")
     stamp = F.coalesce(parse_date(F.col("fetched_at")), F.lit("1970-01-01").cast("timestamp"))
     full = rows.withColumn("sha256", F.sha2("body", 256)).withColumn("stamp", stamp)
     named = full.withColumn("new", vault_path(F.col("stamp"), F.lit(channel), F.lit(NO_CATEGORY), F.col("sha256"), F.col("title"), F.col("source"), F.lit(".md")))

@@ -103,3 +103,89 @@ def test_functions_registered(spark):
     register(spark)
     assert spark.sql("SELECT count(*) FROM chunks('aaaa', 'window', 2, 0)").first()[0] == 2
     assert spark.sql("SELECT normalize_text('a  \\n\\n\\n\\nb ')").first()[0] == "a\n\nb"
+
+
+def test_texts_that_begin_alike_have_hashes_of_their_own(spark, engine):
+    head = "x" * 100
+    engine.index_documents(docs(spark, (head + " one", "a.md", {}, []), (head + " two", "b.md", {}, [])), "mem")
+    hashes = [r["hash"] for r in engine.store.read("mem").collect()]
+    assert len(set(hashes)) == 2
+    assert engine.delete_memory("mem", {"ids": [str(hashes[0])]}) == 1
+
+
+def test_another_model_is_refused(spark, tmp_path):
+    from lodestar.plans.engine import hashed_embedder
+    from lodestar.sources.settings import Settings
+
+    Engine(spark, str(tmp_path / "r"), Settings(embed_model="one")).index_documents(docs(spark, ("a text", "a.md", {}, [])), "mem")
+    later = Engine(spark, str(tmp_path / "r"), Settings(embed_model="two"))
+    with pytest.raises(ValueError, match="embed_model"):
+        later.index_documents(docs(spark, ("b text", "b.md", {}, [])), "mem")
+    with pytest.raises(ValueError, match="vector_dim"):
+        Engine(spark, str(tmp_path / "r"), Settings(embed_model="one"), hashed_embedder(8)).index_documents(docs(spark, ("b", "b.md", {}, [])), "mem")
+    assert later.rebuild_collection(docs(spark, ("b text", "b.md", {}, [])), "mem") == 1
+    assert later.index_documents(docs(spark, ("c text", "c.md", {}, [])), "mem") == 2
+
+
+def test_verify_compares_with_the_stored_catalog(spark, engine):
+    engine.index_documents(docs(spark, ("first", "a.md", {}, []), ("second", "b.md", {}, [])), "mem")
+    assert engine.verify("mem").count() == 0
+    rows, folder = engine.store.read("mem"), f"{engine.store._folder('mem')}/{engine.store.current('mem')}"
+    kept = [tuple(r) for r in rows.where("source_file = 'a.md'").collect()]
+    spark.createDataFrame(kept * 2, rows.schema).write.mode("overwrite").parquet(folder)
+    assert {(r["kind"], r["source"]) for r in engine.verify("mem").collect()} == {("count_mismatch", "a.md"), ("missing_index", "b.md")}
+
+
+def test_a_change_from_an_old_snapshot_is_refused(spark, engine):
+    engine.index_documents(docs(spark, ("first", "a.md", {}, [])), "mem")
+    base, rows = engine.store.current("mem"), engine.store.read("mem")
+    engine.index_documents(docs(spark, ("second", "b.md", {}, [])), "mem")
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        engine.store.replace("mem", rows.limit(0), base)
+    assert engine.store.count("mem") == 2 and engine.store.vacuum("mem") >= 1 and engine.store.catalog("mem").count() == 2
+
+
+def test_web_ingest(spark, engine):
+    schema = "content string, url string, title string, provider string, published_at timestamp, authority int, score double"
+    hits = lambda body: spark.createDataFrame([(body, "http://a/x?utm_source=1", "T", "p", None, -1, 0.5), ("", "http://b", "", "p", None, -1, 0.0)], schema)
+    assert engine.ingest_web(hits("first version of a page"), "web") == {"unchanged": 0, "indexed": 1}
+    assert engine.ingest_web(hits("first version of a page"), "web") == {"unchanged": 1, "indexed": 0}
+    stored = engine.store.read("web").first()
+    assert stored["metadata"]["fetched_at"] and engine.list_documents("web").count() == 1
+
+    def broken(texts):
+        if any("second" in t for t in texts):
+            raise RuntimeError("no model")
+        return [[1.0] * 64 for _ in texts]
+
+    working, engine.embedder = engine.embedder, broken
+    with pytest.raises(Exception, match="no model"):
+        engine.ingest_web(hits("second version of a page"), "web")
+    assert [r["text"] for r in engine.store.read("web").collect()] == ["first version of a page"]
+    engine.embedder = working
+    assert engine.ingest_web(hits("second version of a page"), "web") == {"unchanged": 0, "indexed": 1}
+    assert [r["text"] for r in engine.store.read("web").collect()] == ["second version of a page"] and engine.list_documents("web").count() == 2
+
+
+def test_document_changes(spark, engine, tmp_path):
+    engine.upload("../in/My File.txt", b"uploaded text")
+    with pytest.raises(ValueError):
+        engine.upload("x", b"a\0b")
+    [row] = engine.list_documents("upload").collect()
+    assert row["title"] == "My File" and engine.update_document(row["path"], title="New", category="c") == 1
+    assert engine.list_documents("upload").first()["title"] == "New"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.md").write_text("first")
+    (folder / "two.md").write_text("second")
+    (folder / "log.jsonl").write_text("{}")
+    assert engine.documents_import(str(folder)).count() == 2
+    (folder / "two.md").unlink()
+    assert engine.documents_prune(str(folder)) == 1 and engine.list_documents("import").count() == 1
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "a.md").write_text("# Title\n\n- source: http://x/y\n- fetched_at: 2026-10-16T01:02:03Z\n\nlegacy body\n")
+    [move] = engine.documents_migrate(str(old)).collect()
+    assert move["old"] == "a.md" and engine.list_documents("web").first()["path"] == move["new"]
+    engine.store_memory("a card to remember", "mem")
+    assert "a card to remember" in engine.journal().first()["text"]
