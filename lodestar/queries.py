@@ -188,6 +188,43 @@ def chunk_window(spark, sf_dir):
     return chunking.chunk(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("text", 256).alias("sha"))
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+_MARKED = "regexp_replace({}, '([.!?。！？])([^\"''」』）)】》〕»])', '\\1' || chr(1) || '\\2', 'g')".format
+
+
+def _pack_sql(text_sql: str, size: int, carry: bool) -> str:
+    """DuckDB's list of chunks: sentences, or the words of one that is too long, joined while they fit; a long sentence's last words go on with the next sentence if ``carry``."""
+    sentences = f"list_filter(list_transform(string_split({_MARKED(_MARKED(text_sql))}, chr(1)), lambda x: trim(x, {_WHITE})), lambda x: x <> '')"
+    words = f"list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')"
+    piece = "{{'held': {}, 'fresh': {}, 'out': []::VARCHAR[]}}".format
+    cuts = f"list_transform(range(0, ceil(len(w) / {size}.0)::BIGINT), lambda k: {piece(f'substring(w, (k * {size} + 1)::BIGINT, {size})', 'true')})"
+    long = f"flatten(list_transform({words}, lambda w, j: CASE WHEN len(w) > {size} THEN {cuts} ELSE [{piece('w', f'j = 1 OR len({words}[j - 1]) > {size}')}] END))"
+    before = "false" if carry else f"i > 1 AND len(all_s[i - 1]) > {size}"
+    tokens = f"flatten(list_transform(all_s, lambda s, i: CASE WHEN len(s) <= {size} THEN [{piece('s', before)}] ELSE {long} END))"
+    step = f"""CASE WHEN NOT x.fresh AND len(a.held) + len(x.held) + 1 <= {size} THEN {{'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END, 'fresh': false, 'out': a.out}}
+      ELSE {{'held': x.held, 'fresh': false, 'out': CASE WHEN a.held = '' THEN a.out ELSE list_append(a.out, a.held) END}} END"""
+    return f"""(SELECT CASE WHEN r.held = '' THEN r.out ELSE list_append(r.out, r.held) END FROM (SELECT list_reduce(list_prepend({piece("''", 'false')}, {tokens}), lambda a, x: {step}) AS r FROM (SELECT {sentences} AS all_s)))"""
+
+
+def _chunks_sql(strategy: str, size: int) -> str:
+    """The texts have no blank lines, rules or headings: a text that fits is its own chunk, and the others are packed."""
+    whole = f"trim(text, {_WHITE})"
+    if strategy == "sentence":
+        pieces, carry = f"CASE WHEN {whole} = '' THEN [] ELSE [text] END", False
+    elif strategy == "dialogue":
+        # Speech is added to what is held, if there is room for it.
+        held = f"""list_reduce(list_prepend({{'gap': '', 'said': '', 'held': '', 'out': []::VARCHAR[]}}, list_transform(regexp_extract_all(text, '"[^"]+"'), lambda q, i: {{'gap': regexp_split_to_array(text, '"[^"]+"')[i], 'said': q, 'held': '', 'out': []::VARCHAR[]}})),
+          lambda a, x: CASE WHEN len(a.held) + len(x.gap) + len(x.said) > {size} THEN {{'gap': '', 'said': '', 'held': x.said, 'out': list_append(a.out, a.held || x.gap)}} ELSE {{'gap': '', 'said': '', 'held': a.held || x.gap || x.said, 'out': a.out}} END)"""
+        pieces, carry = f"(SELECT list_filter(list_transform(list_append(h.out, h.held || regexp_split_to_array(text, '\"[^\"]+\"')[-1]), lambda x: trim(x, {_WHITE})), lambda x: x <> '') FROM (SELECT {held} AS h))", True
+    else:
+        pieces, carry = f"CASE WHEN {whole} = '' THEN [] ELSE [{whole}] END", True
+    fits = "false" if strategy == "sentence" else f"len(piece) <= {size}"
+    return f"""WITH p AS (SELECT doc_id, unnest({pieces}) AS piece, generate_subscripts({pieces}, 1) AS n FROM documents WHERE text <> ''),
+      c AS (SELECT doc_id, n, CASE WHEN {fits} THEN [piece] ELSE {_pack_sql("piece", size, carry)} END AS chunks FROM p),
+      u AS (SELECT doc_id, n, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS k FROM c)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS chunk_index, text FROM u"""
+
+
 def _chunked(strategy: str):
     def run(spark, sf_dir):
         chunks = chunking.chunk(_docs(spark, sf_dir).select("doc_id", "text"), strategy, 300)
@@ -197,7 +234,7 @@ def _chunked(strategy: str):
 
 
 for _strategy in chunking.STRATEGIES[1:]:
-    _query(f"chunk_{_strategy}")(_chunked(_strategy))
+    _query(f"chunk_{_strategy}", _chunks_sql(_strategy, 300))(_chunked(_strategy))
 
 
 @_query(
