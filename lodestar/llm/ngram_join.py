@@ -239,9 +239,11 @@ def linked(reps: DataFrame, threshold: float, lengths: list[int]) -> DataFrame:
         placed = branches.join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
         placed = materialize(placed, "ngram-placed")
         unsettled = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "n")
-        edges = edges.unionByName(branch_links(materialize(placed.join(unsettled, "key"), "ngram-open"), reps, threshold))
+        found = branch_links(materialize(placed.join(materialize(unsettled, "ngram-unsettled").hint("merge"), "key"), "ngram-open"), reps, threshold)
         release(placed)
-        comps = materialize(connected_components(edges), "ngram-components")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            comps = materialize(connected_components(edges), "ngram-components")
         free_shuffles(spark)
     return comps
 
