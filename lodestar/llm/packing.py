@@ -185,7 +185,8 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE, shard_pieces: int = SHARD_PIE
         bins, offsets = sum_of_squares(rows["length"].tolist(), limit)
         return rows.drop(columns="shard").assign(sequence_id=np.array(bins, np.int64) + (int(key[0]) << 36), offset=np.array(offsets, np.int64)).astype({"doc_id": "Int64"})
 
-    dealt = pieces.select("*", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(shards)).alias("shard"))
+    # By the stored row's number too, so that null and repeated ids are dealt over all shards.
+    dealt = pieces.select("*", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(7)), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(place, _PLACES)
 
 
@@ -195,8 +196,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, limit: int = SEQUENCE) -> D
 
 
 def sequences(docs: DataFrame, places: DataFrame, vocabulary: str, limit: int = SEQUENCE) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its pieces' ids in order of offset (binary)."""
-    ids = tokenize_pieces(docs, vocabulary, limit).select("doc_id", "piece", "ids")
-    joined = places.join(ids, ["doc_id", "piece"])
+    """The packed sequences themselves: sequence_id and its pieces' ids in order of offset (binary); null and repeated ids are told apart by their pieces' checksums."""
+    key = ["piece", "length", "ids_crc32"]
+    ids = tokenize_pieces(docs, vocabulary, limit).select(F.col("doc_id").alias("_doc"), *key, "ids").dropDuplicates(["_doc", *key])
+    joined = places.join(ids, key).where(F.col("doc_id").eqNullSafe(F.col("_doc")))
     whole = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("parts"))
     return whole.select("sequence_id", F.col("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"))

@@ -307,6 +307,27 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and clashing rows and an empty table go through all stages."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    line = lambda: " ".join(rnd.choice("tea cup pot milk sugar water leaf green black morning".split()) for _ in range(12))
+    rows = [(i, line() + "\n" + line(), "en", "s", 10) for i in range(60)] + [(100, None, "en", None, None), (101, "", None, "s", 0), (None, line(), None, None, 5), (1, None, None, None, None)]
+    rows += [rows[3]] * 3 + [(102, line() * 500, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS h", "2 AS rid", "3 AS spans", "4 AS keep")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.materialize(stage(spark, out, str(tmp_path)), f"odd-{name}")
+            assert out.dtypes == docs.dtypes
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in out.collect()}
+        ids = [r["doc_id"] for r in out.collect()]
+        assert len(ids) == len(set(ids)) and not {100, 101} & set(ids)
+
+
 def _edit_similar(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

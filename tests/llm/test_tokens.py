@@ -68,6 +68,11 @@ def test_sequences_hold_the_ids(spark, words):
     places = packing.pack_documents(docs, VOCABULARY)
     parts = {d: b for r in packing.sequences(docs, places, VOCABULARY).collect() for d, b in zip(r["doc_ids"], r["ids"], strict=True)}
     assert np.frombuffer(bytes(parts[1]), "<u4").tolist() == [*ids_of(words, "one two"), 1]
+    # Null and repeated ids and rows: every place has the ids of its own text.
+    rows = [(None, "one"), (None, "two"), (3, "three"), (3, "four"), (3, "four")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [bytes(b) for r in packing.sequences(odd, packing.pack_documents(odd, VOCABULARY), VOCABULARY).collect() for b in r["ids"]]
+    assert sorted(got) == sorted(np.array([*ids_of(words, t), 1], "<u4").tobytes() for _, t in rows)
 
 
 def test_pieces_cover_the_text(spark):
