@@ -131,3 +131,37 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return topk.search(docs, docs.where(F.col("doc_id") % 100 == 0), order="lang")
+
+
+@_query(
+    "op13_spelling",
+    r"""
+    WITH runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(octet_length(bytes)::BIGINT), lambda i: ('0x' || substr(hex(bytes), 2 * i + 1, 2))::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) AS h
+      FROM (SELECT *, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS bytes FROM counted)),
+    words AS (
+      SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM hashed GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+    cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    pairs AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n, arg_min(near, (-near_n, near)) AS near FROM pairs GROUP BY 1),
+    forms AS (
+      SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+      FROM words w LEFT JOIN best USING (word)),
+    chain AS (
+      WITH RECURSIVE step(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT s.word, f.form FROM step s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+      SELECT s.word, s.root FROM step s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+    """,
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import spelling
+
+    return spelling.group(_table(spark, sf_dir, "documents"))
