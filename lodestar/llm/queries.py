@@ -165,3 +165,38 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import spelling
 
     return spelling.group(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op12_trie",
+    r"""
+    WITH coded AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text)) AS i FROM coded),
+    convs AS (
+      SELECT c AS conv_id, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, k: xor(r >> 1, 3988292384 * (r & 1))))) % 6 AS h
+      FROM (SELECT DISTINCT conv_id AS c FROM own)),
+    built AS (
+      SELECT c.conv_id, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= h
+      UNION ALL SELECT c.conv_id, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > h),
+    steps AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, md5(octet_length(encode(role)) || ':' || role || text) AS code, length(text) AS chars FROM built),
+    paths AS (
+      SELECT conv_id, depth, chars, md5(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM steps
+      UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    linked AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS above, lead(path) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS last FROM paths),
+    nodes AS (
+      SELECT path, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256, bool_and(last) AS leaf
+      FROM linked GROUP BY path),
+    sums AS (
+      SELECT p.path, count(*) FILTER (n.leaf) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+      FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY 1),
+    children AS (SELECT above AS path, count(*) AS n FROM nodes GROUP BY 1)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums s USING (path) LEFT JOIN children c USING (path) LEFT JOIN nodes up ON up.path = n.above
+    """,
+)
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import trie
+
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))

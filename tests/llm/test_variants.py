@@ -1,13 +1,14 @@
 """Spelling variants, conversation tries and the MinHash inverted join against plain versions."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
 
 import pytest
 
-from lodestar.llm import spelling
+from lodestar.llm import spelling, trie
 
 
 def plain_words(rows):
@@ -74,3 +75,72 @@ def test_spelling_ties_and_anagrams(spark):
     if set(got) == {"zaaaaa", "baaaaa", "aaaaaa", "listen", "silent", "listne"}:
         assert got["aaaaaa"]["form"] == "baaaaa" and got["silent"]["form"] is None and got["listne"]["n_near"] == 0
     assert {w: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for w, r in got.items()} == plain_groups(rows)
+
+
+def plain_trie(rows):
+    """(conv_id, depth, parent, n_convs, n_children, n_leaves, saved, ends) of rows (conv_id, turn, role, text)."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(ts, key=lambda t: t[0])] for c, ts in own.items()}
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 6
+        built = own.get(c - (c % 100 if c >= 0 else -(-c % 100)), [])[:h] + own[c][h:]
+        for d in range(len(built) + 1):
+            members[tuple(built[:d])].append(c)
+        ends[tuple(built)].append(c)
+    leaves, saved, children = collections.Counter(), collections.Counter(), collections.Counter(p[:-1] for p in members if p)
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * (len(p[-1][1]) if p else 0)
+    digest = lambda p: hashlib.sha256(",".join(map(str, ends[p])).encode()).hexdigest()
+    return sorted((m[0], len(p), members[p[:-1]][0] if p else -1, len(m), children[p], leaves[p], saved[p], digest(p)) for p, m in members.items())
+
+
+def trie_rows(df):
+    cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(tuple(-1 if c == "parent_conv_id" and r[c] is None else r[c] for c in cols) for r in df.collect())
+
+
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_conversation_trie(spark, monkeypatch, tasks):
+    """Many short runs, tasks that split copies of one conversation, long and odd conversations."""
+    monkeypatch.setattr(trie, "RUN_ROWS", 7)
+    monkeypatch.setattr(trie, "TASK_BYTES", 1 << 30 if tasks == 1 else 500)
+    rnd = random.Random(tasks)
+    rows = []
+    for c in range(-150, 420):
+        if c % 100 == 0 and c == 300:
+            continue
+        if c % 3 == 0:
+            turns = [("user", "hello"), ("assistant", "hi é"), ("user", "bye")]
+        else:
+            turns = [(rnd.choice(["user", "assistant"]), rnd.choice(["a", "bb", "", "ccc é"])) for _ in range(rnd.randint(1, 9))]
+        rows += [(c, i, *t) for i, t in enumerate(turns)]
+    rows += [(401, i, "user", "x" * (i % 5)) for i in range(20, 700)] + [(402, None, "user", "first"), (403, 99, None, None), (403, 98, "user", None), (None, 1, "user", "lost")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS path", "2 AS depth", "3 AS seq").repartition(5)
+    assert trie_rows(trie.prefix_trie(docs)) == plain_trie(rows)
+    assert trie.prefix_trie(docs.limit(0)).count() == 0
+
+
+def test_trie_of_copies(spark, monkeypatch):
+    """A group of copies that many tasks share, with one hash of all their ids."""
+    monkeypatch.setattr(trie, "TASK_BYTES", 2000)
+    rows = [(c, t, "user", "same") for c in range(1, 600) for t in range(8)]
+    assert trie_rows(trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))) == plain_trie(rows)
+
+
+def test_merge_compares_turns_once():
+    """The merge puts rows in order with right LCPs and looks at few shared turns again."""
+    rnd = random.Random(1)
+    seqs = [b"".join(bytes([rnd.choice(b"ab")]) * trie.CODE for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    rows, pieces = [(s, i) for i, s in enumerate(seqs)], []
+    for k in range(7):
+        own = sorted(rows[k::7])
+        pieces.append(trie.Piece([(trie.common(own[i - 1][0], s) if i else 0, s, [], c) for i, (s, c) in enumerate(own)]))
+    out = list(trie.merged(pieces))
+    assert [(s, c) for _, s, _, c in out] == sorted(rows)
+    assert [n for n, *_ in out] == [0] + [trie.common(a[1], b[1]) for a, b in zip(out, out[1:], strict=False)]
