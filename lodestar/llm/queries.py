@@ -200,3 +200,28 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm import trie
 
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query(
+    "op11_minhash",
+    r"""
+    WITH split AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS s FROM split),
+    posted AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+    links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM posted a JOIN posted b USING (shingle)
+      WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reached AS (
+      WITH RECURSIVE reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+      SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN reached USING (doc_id)
+    """,
+)
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm import minhash_join
+
+    return minhash_join.near_groups(_table(spark, sf_dir, "documents"))

@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from lodestar.llm import spelling, trie
+from lodestar.llm import minhash_join, spelling, trie
 
 
 def plain_words(rows):
@@ -144,3 +146,86 @@ def test_merge_compares_turns_once():
     out = list(trie.merged(pieces))
     assert [(s, c) for _, s, _, c in out] == sorted(rows)
     assert [n for n, *_ in out] == [0] + [trie.common(a[1], b[1]) for a, b in zip(out, out[1:], strict=False)]
+
+
+def plain_near(rows):
+    """doc_id, n_shingles, component_id, kept of each row, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            root[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least.setdefault(top(i), []).append(doc)
+    named = {r: min((d for d in ds if d is not None), default=None) for r, ds in least.items()}
+    return collections.Counter((doc, len(sets[i]), named[top(i)], doc == named[top(i)]) for i, (doc, _) in enumerate(rows))
+
+
+def near_rows(df):
+    return collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect())
+
+
+def test_minhash_join(spark, monkeypatch):
+    """Copies, near copies at and below the threshold, a crowd with a common passage, in tiles and blocks of few rows."""
+    monkeypatch.setattr(minhash_join, "TILE", 16)
+    monkeypatch.setattr(minhash_join, "BLOCK", 3000)
+    monkeypatch.setattr(minhash_join, "CHUNK", 1500)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeéñ") for _ in range(rnd.randint(2, 7)))
+    base, passage = [word() for _ in range(220)], [word() for _ in range(150)]
+
+    def edited(ws, n):
+        ws = list(ws)
+        for _ in range(n):
+            ws[rnd.randrange(len(ws))] = word()
+        return ws
+
+    texts = [" ".join(edited(base, k % 12)) for k in range(90)] + [" ".join(passage + [word() for _ in range(30)]) for _ in range(60)]
+    chain = [[word() for _ in range(200)]]
+    for _ in range(25):
+        chain.append(edited(chain[-1], 2))
+    texts += [" ".join(c) for c in chain] + [" ".join(base)] * 40 + ["\t ".join(base).upper()] * 3
+    texts += ["one two three", "One  two\nthree", "three two one", "a b c d e", "a b c d e f", "", "  \n", "x" * 50_000, "x y " * 30_000, "x y z\x0bw v u t", "Été é", "été é"]
+    rows = [(i if i % 17 else None, t) for i, t in enumerate(texts)] + [(3, None), (5, texts[5]), (5, texts[5]), (5, texts[120])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rid", "2 AS size", "3 AS key", "4 AS component_id").repartition(6)
+    want = plain_near(rows)
+    assert near_rows(minhash_join.near_groups(docs)) == want
+    assert minhash_join.near_groups(docs.limit(0)).count() == 0 and minhash_join.near_groups(docs.where("text is null")).count() == 1
+
+
+def test_minhash_steps_are_bounded(spark):
+    """A crowd of near copies is settled by hubs: no list is left to count, and rows stay below those of the postings."""
+    rnd = random.Random(2)
+    base = [str(rnd.random()) for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + ["new", str(i)] + base[k + 1 :])) for i in range(400) for k in [rnd.randrange(300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = minhash_join.signatures(docs)
+    postings = minhash_join.prefixes(sigs)
+    assert postings.count() <= 400 * (minhash_join.COORDS - minhash_join.MATCHES + 1)
+    pairs = minhash_join.hub_pairs(postings.withColumn("comp", postings["rid"]), sigs)
+    assert 390 <= pairs.count() <= 400
+    assert {r["component_id"] for r in minhash_join.near_groups(docs).collect()} == {0}
+
+
+def test_signature_estimates_likeness():
+    rnd = random.Random(4)
+    for share in (0.5, 0.85, 0.95):
+        agree = []
+        for _ in range(60):
+            words = [str(rnd.random()) for _ in range(400)]
+            n = int(400 * share)
+            a = minhash_join._mixed(np.array([hash(w) & (1 << 63) - 1 for w in words[: (400 + n) // 2]], np.uint64))
+            b = minhash_join._mixed(np.array([hash(w) & (1 << 63) - 1 for w in words[(400 - n) // 2 :]], np.uint64))
+            agree.append((minhash_join.signature(a) == minhash_join.signature(b)).mean())
+        assert abs(np.mean(agree) - share) < 0.04
