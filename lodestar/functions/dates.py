@@ -36,16 +36,29 @@ def _valid(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.between(2000, 2099) & month.between(1, 12) & day.between(1, 31), text.try_cast("date"))
 
 
+# Endings of ordinal numbers.
+ORDINALS = ("st", "nd", "rd", "th")
+
+
+def _spelled(before: Column, between: Column, after: Column, day_first: bool) -> Column:
+    """The date of three neighbouring words, null if they are none.
+
+    Of the first word its end counts and of the third its beginning; the second has to be a day or a month alone, a day with a comma or a month with a dot at most.
+    """
+    begin, year = F.regexp_extract(before, "[A-Za-z0-9.]+$", 0), F.regexp_extract(after, "^[A-Za-z0-9]+", 0)
+    name, number = (between, begin) if day_first else (begin, F.rtrim(between, F.lit(",")))
+    bare = F.when(F.right(number, F.lit(2)).isin(*ORDINALS), F.left(number, F.char_length(number) - 2)).otherwise(number)
+    month = F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), F.lower(F.rtrim(name, F.lit("."))))
+    digits = lambda c, most: F.when(F.char_length(c) <= most, F.when(F.translate(c, "0123456789", "") == "", c.try_cast("int")))
+    return _valid(digits(year, 4), month, digits(bare, 2))
+
+
 def _named(head: Column, day_first: bool) -> Column:
-    """The date of the first three neighbouring words that read day, month name, year, or month name, day, year."""
-    month, day = r"[A-Za-z]{3,9}\.?", r"[0-9]{1,2}"
-    first, second = (day, month) if day_first else (month, day + r"(?:(?:st|nd|rd|th))?,?")
-    shape = rf"\b{first}\s+{second}\s+[0-9]{{4}}\b"
-    numbers = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-    words = F.split(F.regexp_replace(F.regexp_substr(head, F.lit(shape)), r"[.,]", ""), r"\s+")
-    at = lambda i: F.get(words, F.lit(i))
-    name, number = (at(1), at(0)) if day_first else (at(0), at(1))
-    return _valid(at(2).try_cast("int"), F.try_element_at(numbers, F.lower(name)), F.regexp_extract(number, "^[0-9]+", 0).try_cast("int"))
+    """The first date among the words of a text that reads day, month name, year, or month name, day, year."""
+    words = F.split(head, r"\s+", -1)
+    ahead = F.zip_with(F.slice(words, 2, 1 << 20), F.slice(words, 3, 1 << 20), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+    dates = F.zip_with(words, ahead, lambda a, x: _spelled(a, x["b"], x["c"], day_first))
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
 
 
 def date_from_text(c: Column) -> Column:

@@ -89,6 +89,10 @@ def test_hosts(one):
         ("Opened April 1st, 2030 at noon", "2030-04-01"),
         ("Sept. 5 2029", "2029-09-05"),
         ("no 12 teas, but 30 June 2033", "2033-06-30"),
+        ("(tea-7 May 2032)", "2032-05-07"),
+        ("May 22nd 2032; 3 junk 2031, 44 May 2031", "2032-05-22"),
+        ("June 31, 2032, July 2, 2032", "2032-07-02"),
+        ("May, 3 2031 and 3, May 2031", None),
         ("due 2031-03-03.", None),
         ("due 2031-03-03 or so", "2031-03-03"),
         ("tag tea-2031-03-03-beta is out", None),
