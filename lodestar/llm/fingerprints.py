@@ -33,6 +33,8 @@ from lodestar.plans.scratch import materialize
 SAMPLES = 64
 #: Terms whose draws a worker keeps (1 KB each), and terms compared at once.
 CACHE_TERMS, BLOCK = 60_000, 4_096
+#: Characters of a text that take part in the ranges.
+PREFIX = 64
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,7 +155,8 @@ def with_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     first row of the next range; both are kept aside, two rows a range, and joined.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = chosen.repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    # Rows of one id are dealt by the beginnings of their texts, in the order of the texts.
+    ordered = chosen.repartitionByRange(F.desc_nulls_last("doc_id"), F.left("text", F.lit(PREFIX))).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, part, last = Sampler.of(samples), TaskContext.get().partitionId(), None
