@@ -92,19 +92,28 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str
     return terms.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+#: Folders that postings are dealt over by their terms, so that a search reads those of its terms.
+PARTS = 64
+
+
+def part_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
 def point_postings(points: DataFrame, tags: str | None = "tags") -> tuple[DataFrame, DataFrame]:
-    """(source_key, point_id, term, tf, dl) and (source_key, point_id, dl) of the points of a collection."""
+    """(source_key, point_id, term, tf, dl, part) and (source_key, point_id, dl) of the points of a collection."""
     found = tokenize(searchable(points, "text", tags))
     own = points.select("source_key", "point_id", found.alias("t"))
     terms = own.select("source_key", "point_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("source_key", "point_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return terms, own.select("source_key", "point_id", F.size("t").alias("dl"))
+    return terms.select("source_key", "point_id", "term", "tf", "dl", part_of(F.col("term")).alias("part")), own.select("source_key", "point_id", F.size("t").alias("dl"))
 
 
 def search_points(terms: DataFrame, sizes: DataFrame, query: str, k: int = 10, among: DataFrame | None = None) -> DataFrame:
-    """(source_key, point_id, score) by a collection's postings; with ``among`` only those points count, in statistics too."""
-    one = lambda df: df.withColumn("_key", F.struct("source_key", "point_id"))
-    own = one(sizes if among is None else sizes.join(among.select("source_key", "point_id"), ["source_key", "point_id"], "left_semi"))
-    return search_postings(one(terms), own, query, k, "_key", own).select("_key.source_key", "_key.point_id", "score")
+    """(source_key, point_id, score) by a collection's postings and one row of sizes (n, mean); with ``among`` (points) only those count, in statistics too."""
+    if among is not None:
+        own = among.select("source_key", "point_id", F.size(tokenize(searchable(among, "text", "tags" if "tags" in among.columns else None))).alias("dl"))
+        among = own.select(F.struct("source_key", "point_id").alias("_key"), "dl")
+    return search_postings(terms.withColumn("_key", F.struct("source_key", "point_id")), sizes, query, k, "_key", among).select("_key.source_key", "_key.point_id", "score")
 
 
 def search_postings(stored: DataFrame, sizes: DataFrame, query: str, k: int = 10, key: str = "doc_id", among: DataFrame | None = None) -> DataFrame:
@@ -114,6 +123,9 @@ def search_postings(stored: DataFrame, sizes: DataFrame, query: str, k: int = 10
         sizes = among.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
     n, mean = sizes.select("n", "mean").first()
     hits = stored.where(F.col("term").isin(list(terms)))
+    if "part" in stored.columns and terms:
+        parts = stored.sparkSession.range(1).select(F.transform(_listed(terms), part_of).alias("p")).first()["p"]
+        hits = hits.where(F.col("part").isin(sorted(set(parts))))
     if among is not None:
         hits = hits.join(among.select(key), key, "left_semi")
     frequencies = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.scores import cosine
+from lodestar.functions.scores import cosine, norm
 from lodestar.operators.filters import apply_filter
 
 #: Queries that are scored together: their vectors are broadcast, so a block is bounded.
@@ -23,7 +23,7 @@ def _literal(vector: Sequence[float]) -> Column:
 def scored(points: DataFrame, vector: Sequence[float], column: str = "vector") -> DataFrame:
     """Points of the query's dimension with their score; others are skipped."""
     size = float(np.sqrt(np.sum(np.square(np.asarray(vector, np.float64)))))
-    stored = F.col("norm") if "norm" in points.columns else None
+    stored = F.coalesce("norm", norm(F.col(column))) if "norm" in points.columns else None
     return points.where(F.size(column) == len(vector)).withColumn("score", cosine(_literal(vector), F.col(column), F.lit(size), stored))
 
 

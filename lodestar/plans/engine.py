@@ -8,14 +8,15 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.dates import parse_date
-from lodestar.functions.text import content_id, content_sha, expand_tags, fnv1a32, safe_key, strip_front_matter
+from lodestar.functions.text import content_id, content_sha, expand_tags, safe_key, strip_front_matter
 from lodestar.operators import chunking, fusion, grep, keyword, ledger, maintain, vault, vector
 from lodestar.operators.filters import apply_filter, from_metadata
-from lodestar.operators.store import POINTS, Store, payload_set, tag_tree, upserted, with_norm
-from lodestar.plans.scratch import materialize
-from lodestar.sources import websearch
+from lodestar.operators.store import POINTS, Store, tag_tree, with_norm
+from lodestar.plans.scratch import materialize, release
+from lodestar.sources import records, websearch
 from lodestar.sources.records import Registry
 from lodestar.sources.settings import Settings
 
@@ -72,7 +73,7 @@ class Engine:
         full = self.embed(chunks.where(F.trim("text") != "").withColumn("collection", F.lit(collection)))
         return full.select(
             "collection", safe_key(F.col("source_file")).alias("source_key"), "source_file", F.element_at(F.split("source_file", "/", -1), -1).alias("source"), F.col("source_file").alias("source_rel"),
-            content_id(F.col("collection"), F.col("text")).alias("point_id"), content_sha(F.col("text")).alias("content_sha"), fnv1a32(F.col("text")).alias("hash"),
+            content_id(F.col("collection"), F.col("text")).alias("point_id"), content_sha(F.col("text")).alias("content_sha"), F.conv(F.substring(content_sha(F.col("text")), 1, 8), 16, 10).cast("long").alias("hash"),
             F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit(datetime.now(UTC)).alias("indexed_at"), "metadata", "tags", expand_tags(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags_expanded"), "vector", F.lit(None).cast("double").alias("norm"),
         )
 
@@ -90,13 +91,13 @@ class Engine:
         made = self.provenance()
         maintain.check_provenance(self.registry.get(collection, {}), made)
         new = self.points(docs, collection, **options)
-        base, own = self.store.current(collection), self.store.read(collection)
-        kept = own.join(docs.select("source_file").distinct(), "source_file", "left_anti").select(*own.columns) if replace_source else own
-        self.store.replace(collection, upserted(kept, with_norm(new)), base)
-        now = self.store.read(collection)
-        self.warnings = chunking.problems(now.join(docs.select("source_file").distinct(), "source_file", "left_semi"), "source_key")
+        entry, sources = self.store.entry(collection), docs.select("source_file").distinct()
+        gone = self.store.read(collection).join(sources, "source_file", "left_semi").select(*entry["keys"]) if replace_source else None
+        self.store.upsert(collection, new, gone, entry)
+        self.warnings = chunking.problems(self.store.read(collection).join(sources, "source_file", "left_semi"), "source_key")
         self.registry.update_entry(collection, **made)
-        return now.count()
+        self.note("index", collection, docs)
+        return self.store.count(collection)
 
     def rebuild_collection(self, docs: DataFrame, collection: str, **options) -> int:
         """Index these documents and nothing else, by the model of today."""
@@ -114,28 +115,61 @@ class Engine:
             raise ValueError("no collection is given and there is no default")
         row = self.spark.createDataFrame([(text, "direct_text", {"kind": "memory", "visibility": "private"} | (metadata or {}), list(tags))], "text string, source_file string, metadata map<string,string>, tags array<string>")
         self.index_documents(row, name)
-        self.file_documents(row.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit("").alias("title"), F.lit("").alias("url"), F.current_timestamp().alias("fetched_at")), "agent")
+        self._file_memory(row)
         return row.select(content_sha(F.col("text"))).first()[0]
 
+    def _file_memory(self, row: DataFrame) -> None:
+        self.file_documents(row.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit("").alias("title"), F.lit("").alias("url"), F.current_timestamp().alias("fetched_at")), "agent")
+
+    def note(self, op: str, collection: str, docs: DataFrame | None = None, **more) -> None:
+        """Add a row to the history: one a source, or one for the collection."""
+        from lodestar.functions.dates import rfc3339
+
+        s = self.settings
+        files = docs.groupBy("source_file").count().select(F.col("source_file").alias("file"), F.col("count").alias("chunks")) if docs is not None else self.spark.createDataFrame([(more.pop("file", ""), more.pop("chunks", None))], "file string, chunks long")
+        fixed = {"op": op, "collection": collection, "sha256": None, "backend": "parquet", "mode": None, "embed_provider": s.embed_provider, "embed_model": s.embed_model, "vector_dim": None, "ok": True, "error": None} | more
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(records.HISTORY).fields}
+        rows = files.withColumns({"ts": rfc3339(F.current_timestamp())} | {k: F.lit(v).cast(kinds[k]) for k, v in fixed.items()})
+        records.append_history(rows.select(*kinds), f"{self.root}/history")
+
+    def history(self) -> DataFrame:
+        return records.read_history(self.spark, f"{self.root}/history")
+
     def journal(self) -> DataFrame:
         """One text a day of all memories."""
         return vault.agent_journal(self.documents.read("vault").where("channel = 'agent'").select(F.col("updated_at").alias("stored_at"), "text"))
 
     def update_memory(self, collection: str, text: str, condition: dict, dry_run: bool = False) -> dict:
-        """Replace matching rows by a new text in one change; the new rows name what they supersede."""
-        rows = self.store.read(collection)
-        old = apply_filter(rows, condition)
-        shas = [r["content_sha"] for r in old.select("content_sha").distinct().limit(1000).collect()]
-        if dry_run or not shas:
-            return {"matched": old.count(), "new_ids": []}
-        matched = old.count()
-        row = self.spark.createDataFrame([(text, "direct_text", {"supersedes": ",".join(shas)}, [])], "text string, source_file string, metadata map<string,string>, tags array<string>")
-        new = self.points(row, collection).select(*rows.columns)
-        self.store.replace(collection, rows.join(old.select("source_key", "point_id"), ["source_key", "point_id"], "left_anti").select(*rows.columns).unionByName(new))
-        return {"matched": matched, "new_ids": [r["content_sha"] for r in new.select("content_sha").collect()]}
+        """Replace matching rows by a new text in one change.
+
+        The new row keeps the kind and visibility of the first of them by content, names it and says how many there are; the table
+        of superseded rows lists them all.
+        """
+        entry, rows = self.store.entry(collection), self.store.read(collection)
+        old = materialize(apply_filter(rows, condition).select(*entry["keys"], "content_sha", "metadata"), "superseded")
+        matched, first = old.count(), old.orderBy("content_sha", *entry["keys"]).first()
+        if dry_run or not matched:
+            return {"matched": matched, "new_ids": []}
+        kept = {k: v for k, v in (first["metadata"] or {}).items() if k in ("kind", "visibility")}
+        row = self.spark.createDataFrame([(text, "direct_text", kept | {"supersedes": first["content_sha"], "supersedes_n": str(matched)}, [])], "text string, source_file string, metadata map<string,string>, tags array<string>")
+        new = materialize(self.points(row, collection), "memory")
+        self.store.upsert(collection, new, old.select(*entry["keys"]), entry)
+        links = old.select(F.lit(collection).alias("collection"), F.col("content_sha").alias("old_sha")).distinct().withColumn("new_sha", F.lit(new.first()["content_sha"])).withColumn("at", F.current_timestamp())
+        links.write.mode("append").parquet(f"{self.root}/superseded")
+        self._file_memory(row)
+        self.note("update", collection, row)
+        ids = [r["content_sha"] for r in new.select("content_sha").collect()]
+        release(old, new)
+        return {"matched": matched, "new_ids": ids}
+
+    def superseded(self) -> DataFrame:
+        """(collection, old_sha, new_sha, at) of all replaced memories."""
+        return self.spark.read.schema("collection string, old_sha string, new_sha string, at timestamp").parquet(f"{self.root}/superseded")
 
     def delete_memory(self, collection: str, condition: dict | None = None, metadata: dict | None = None, allow_all: bool = False) -> int:
-        return self.store.delete(collection, from_metadata(metadata, condition), allow_all)
+        n = self.store.delete(collection, from_metadata(metadata, condition), allow_all)
+        self.note("delete", collection, chunks=n)
+        return n
 
     # Searching
 
@@ -236,16 +270,16 @@ class Engine:
             raise ValueError(f"unknown channel {channel!r}")
         schema = "sha256 string, doc_id long, urls array<string>, updated_at timestamp, day date, channel string, category string, path string, title string, text string"
         self.documents.create("vault", schema)
-        known = self.documents.read("vault")
-        status = vault.filed(docs, known)
+        entry, known = self.documents.entry("vault"), self.documents.read("vault")
+        status = materialize(vault.filed(docs, known), "filed")
         bodies = vault.identity(docs).dropDuplicates(["sha256"]).select("sha256", F.col("body").alias("text"), "title", F.col("url").alias("_url"), "fetched_at")
         cat = vault.category([tuple(r) for r in self.settings.category_rules], vault.host_of(F.coalesce("_url", F.lit(""))), F.coalesce("title", F.lit("")), F.array().cast("array<string>"))
         path = vault.vault_path(F.col("fetched_at"), F.lit(channel), F.col("category"), F.col("sha256"), F.col("title"), F.col("_url"), F.lit(".md"))
         new = status.join(bodies, "sha256").withColumn("channel", F.lit(channel)).withColumn("category", cat).withColumn("path", path).select(*known.columns)
-        merged = known.join(status.select("sha256", F.col("urls").alias("_u"), F.col("updated_at").alias("_t")), "sha256", "left")
-        refreshed = merged.withColumn("urls", F.coalesce("_u", "urls")).withColumn("updated_at", F.coalesce("_t", "updated_at")).select(*known.columns)
+        seen = status.select("sha256", F.col("urls").alias("_u"), F.col("updated_at").alias("_t"))
+        refreshed = known.join(seen, "sha256").withColumn("urls", F.col("_u")).withColumn("updated_at", F.col("_t")).select(*known.columns)
         added = new.join(known.select("sha256"), "sha256", "left_anti").select(*known.columns)
-        self.documents.replace("vault", refreshed.unionByName(added))
+        self.documents.change("vault", refreshed.unionByName(added), None, entry)
         return status.select("sha256", "status")
 
     def search_document(self, query: str, limit: int = grep.LIMIT, since: str | None = None, until: str | None = None, channel: str | None = None, category: str | None = None, path: str | None = None, **options) -> tuple[DataFrame, dict]:
@@ -284,9 +318,7 @@ class Engine:
         """Change fields (title, category) of one filed document in one change; returns how many rows there are of it."""
         if odd := set(values) - {"title", "category"}:
             raise ValueError(f"these do not change: {sorted(odd)}")
-        base, rows = self.documents.current("vault"), self.documents.read("vault")
-        self.documents.replace("vault", payload_set(rows, F.col("path") == path, values), base)
-        return self.documents.read("vault").where(F.col("path") == path).count()
+        return self.documents.set_where("vault", F.col("path") == path, values)
 
     def documents_migrate(self, folder: str, channel: str = "web") -> DataFrame:
         """File the texts of the old layout below a folder; returns the moves (old, new). The files stay."""
@@ -298,13 +330,10 @@ class Engine:
 
     def documents_prune(self, folder: str) -> int:
         """Drop imported documents whose file is no longer below the folder; returns how many."""
-        base, rows = self.documents.current("vault"), self.documents.read("vault")
+        entry, rows = self.documents.entry("vault"), self.documents.read("vault").where("channel = 'import'")
         files = vault.read_folder(self.spark, folder).select(F.explode(F.array("rel")).alias("_url"))
-        before = rows.count()
-        mine = F.col("channel") == "import"
-        known = rows.where(mine).withColumn("_url", F.explode("urls")).join(files, "_url", "left_semi").select("sha256").distinct()
-        self.documents.replace("vault", rows.where(~mine).unionByName(rows.where(mine).join(known, "sha256", "left_semi").select(*rows.columns)), base)
-        return before - self.documents.read("vault").count()
+        known = rows.withColumn("_url", F.explode("urls")).join(files, "_url", "left_semi").select("sha256")
+        return self.documents.change("vault", None, rows.join(known, "sha256", "left_anti").select("sha256"), entry)["hid"]
 
     def repair_sources(self, collection: str, sources: DataFrame, book: DataFrame) -> int:
         """Point sources whose file has moved to where the ledger knows them; returns how many."""
@@ -312,6 +341,8 @@ class Engine:
         n = moves.count()
         if n:
             self.store.rename_sources(collection, moves)
+            self.note("rename", collection, moves.select(F.col("new").alias("source_file")))
+        release(moves)
         return n
 
     # Web
@@ -336,11 +367,11 @@ class Engine:
         changed = fresh.join(same, "source_file", "left_anti")
         report = {"unchanged": same.count(), "indexed": changed.count()}
         if report["unchanged"]:
-            base, own = self.store.current(collection), self.store.read(collection)
-            seen = own.join(same.withColumn("_same", F.lit(True)), "source_file", "left")
+            entry, own = self.store.entry(collection), self.store.read(collection)
+            seen = own.join(same, "source_file", "left_semi")
             stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
             marked = F.map_concat(F.map_filter("metadata", lambda k, _: k != "fetched_at"), F.create_map(F.lit("fetched_at"), stamp))
-            self.store.replace(collection, seen.withColumn("metadata", F.when(F.col("_same"), marked).otherwise(F.col("metadata"))).select(*own.columns), base)
+            self.store.change(collection, seen.withColumn("metadata", marked).select(*own.columns), None, entry)
         if report["indexed"]:
             self.index_documents(changed.select("text", "source_file", "metadata", "tags"), collection, replace_source=True)
         return report

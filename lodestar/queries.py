@@ -718,7 +718,7 @@ def store_changes(spark, sf_dir):
     own.upsert("docs", rows)
     own.delete("docs", {"metadata.lang": "de"})
     own.set_payload("docs", {"visibility": "team"}, {"must": [{"key": "source_file", "match": {"value": "fr"}}]})
-    own.replace("docs", store.renamed(own.read("docs"), spark.createDataFrame([("src1", "moved")], "old string, new string"), "source_key"), own.current("docs"))
+    own.rename_sources("docs", {"src1": "moved"}, "source_key")
     return own.read("docs").select("point_id", "source_key", F.try_element_at("metadata", F.lit("visibility")).alias("visibility"))
 
 
@@ -755,6 +755,35 @@ def store_search(spark, sf_dir):
     return hits.select(F.col("point_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@_query(
+    "store_search_changed",
+    ORACLES["bm25_topk"].replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'replaced ' || text || ' replaced' ELSE text END AS text, lang FROM documents WHERE lang <> 'de')"),
+)
+def store_search_changed(spark, sf_dir):
+    """Keyword search after an upsert of changed texts and a delete: postings of the first segment stay, later ones hide rows of it."""
+    own, rows = _store(spark), _stored_points(_docs(spark, sf_dir))
+    own.upsert("docs", rows)
+    own.postings("docs", None)
+    own.upsert("docs", rows.where("chunk_index % 7 = 3").withColumn("text", F.concat(F.lit("replaced "), "text", F.lit(" replaced"))))
+    own.delete("docs", {"metadata.lang": "de"})
+    hits = keyword.search_points(*own.postings("docs", None), _asked(spark, sf_dir), 20)
+    return hits.select(F.col("point_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@_query(
+    "store_changed_catalog",
+    """SELECT 'docs' AS collection, CASE lang WHEN 'fr' THEN 'french' ELSE lang END AS source_file, count(*) AS chunks FROM documents WHERE lang <> 'de' GROUP BY 2""",
+)
+def store_changed_catalog(spark, sf_dir):
+    """The catalog of a collection as its segments counted it: upserts that repeat, a rename, a delete."""
+    own, rows = _store(spark), _stored_points(_docs(spark, sf_dir))
+    own.upsert("docs", rows.where("chunk_index % 2 = 0"))
+    own.upsert("docs", rows)
+    own.rename_sources("docs", {"fr": "french"})
+    own.delete("docs", {"metadata.lang": "de"})
+    return own.catalog("docs")
+
+
 @_query("sample_texts", "SELECT vec_id AS point_id FROM embeddings WHERE vec_id % 2 = 0 ORDER BY vec_id LIMIT 20")
 def sample_texts(spark, sf_dir):
     points = _points(spark, sf_dir).withColumn("text", F.lit("")).withColumn("vector", F.when(F.col("point_id") % 2 == 0, F.col("vector")).otherwise(F.array().cast("array<float>")))

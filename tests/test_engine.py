@@ -130,9 +130,11 @@ def test_another_model_is_refused(spark, tmp_path):
 def test_verify_compares_with_the_stored_catalog(spark, engine):
     engine.index_documents(docs(spark, ("first", "a.md", {}, []), ("second", "b.md", {}, [])), "mem")
     assert engine.verify("mem").count() == 0
-    rows, folder = engine.store.read("mem"), f"{engine.store._folder('mem')}/{engine.store.current('mem')}"
+    engine.store.compact("mem")
+    [segment] = engine.store.entry("mem")["segments"]
+    rows, folder = engine.store.read("mem"), f"{engine.store._folder('mem')}/{segment['name']}/rows"
     kept = [tuple(r) for r in rows.where("source_file = 'a.md'").collect()]
-    spark.createDataFrame(kept * 2, rows.schema).write.mode("overwrite").parquet(folder)
+    spark.createDataFrame(kept * 2, rows.schema).withColumn("_seq", F.lit(segment["seq"]).cast("long")).write.mode("overwrite").parquet(folder)
     assert {(r["kind"], r["source"]) for r in engine.verify("mem").collect()} == {("count_mismatch", "a.md"), ("missing_index", "b.md")}
 
 
