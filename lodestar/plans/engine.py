@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.dates import parse_date
 from lodestar.functions.text import content_id, content_sha, expand_tags, safe_key, strip_front_matter
-from lodestar.operators import chunking, fusion, grep, keyword, ledger, maintain, vault, vector
+from lodestar.operators import chunking, fusion, grep, ledger, maintain, multi, vault, vector
 from lodestar.operators.filters import apply_filter, from_metadata
 from lodestar.operators.store import POINTS, Store, tag_tree, with_norm
 from lodestar.plans.scratch import materialize, release
@@ -184,46 +186,58 @@ class Engine:
 
     def search_memory(self, query: str, collections: Sequence[str] = (), top_k: int = 0, threshold: float | None = None, condition: dict | None = None, metadata: dict | None = None, rerank: bool | None = None) -> DataFrame:
         """The best rows of all target collections: cosine and words fused, then reranked; score_kind says what the score is."""
-        s = self.settings
+        return self.search_collections(query, collections, top_k, threshold, condition, metadata, rerank)["hits"]
+
+    def search_collections(self, query: str, collections: Sequence[str] = (), top_k: int = 0, threshold: float | None = None, condition: dict | None = None, metadata: dict | None = None, rerank: bool | None = None) -> dict:
+        """hits; report: a row a collection with its status and counts, observed during the one scan; timings in milliseconds.
+
+        A collection that is missing or holds only vectors of another dimension is reported, not searched; an error if none can be.
+        """
+        s, clock, timings = self.settings, time.monotonic, {}
         k = top_k or s.top_k
         rerank = s.rerank if rerank is None else rerank
         recall = max(s.rerank_recall, k) if rerank else k
         asked = query[: s.query_max_chars] + "…" if s.query_max_chars and len(query) > s.query_max_chars else query
+        start = clock()
         [vec] = self.embedder([asked])
-        limit = s.threshold if threshold is None else threshold
-        where = from_metadata(metadata, condition)
-        keys = ["collection", "source_key", "point_id"]
-        parts, failed = [], []
+        timings["embed"], start = clock() - start, clock()
+        names, failed = [], {}
         for name in self._targets(collections):
             try:
-                rows = self.store.read(name)
-                vector.check_dimension(rows, len(vec))
+                self.store.entry(name)
+                names.append(name)
             except (KeyError, ValueError) as e:
-                failed.append(f"{name}: {e}")
-                continue
-            near = vector.search(rows, vec, recall, limit, where, ties=("source_key", "chunk_index", "point_id"))
-            lists = [fusion.ranked(near.select(*keys, "score"), keys)]
-            if s.bm25_enabled:
-                words = keyword.search_points(*self.store.postings(name), query, recall, apply_filter(rows, where) if where else None).select(F.lit(name).alias("collection"), "source_key", "point_id", "score")
-                if not words.isEmpty():
-                    lists.append(fusion.ranked(words, keys))
-            fused = fusion.fuse(lists, keys, recall) if len(lists) > 1 else near.select(*keys, "score")
-            kind = "rrf" if len(lists) > 1 else "cosine"
-            parts.append(rows.join(F.broadcast(fused), keys).select(*keys, "text", "source", "chunk_index", "content_sha", "tags", "tags_expanded", "metadata", "score", F.lit(kind).alias("score_kind")))
-        if not parts:
-            raise ValueError("no collection could be searched: " + "; ".join(failed))
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        order = [F.desc("score"), *keys]
-        return fusion.rerank(hits, query, self.scorer, keys, k).withColumn("score_kind", F.lit("rerank")) if rerank else hits.orderBy(*order).limit(k)
+                failed[name] = str(e)
+        if not names:
+            raise ValueError("no collection could be searched: " + "; ".join(f"{n}: {why}" for n, why in failed.items()))
+        where = from_metadata(metadata, condition)
+        rows = apply_filter(self.store.read_many(names), where)
+        seen = Observation()
+        near = multi.near_hits(multi.observed(rows, names, len(vec), seen), vec, recall, s.threshold if threshold is None else threshold)
+        words = None
+        if s.bm25_enabled:
+            stored = {n: self.store.postings(n) for n in names}
+            terms = functools.reduce(DataFrame.unionByName, (t.withColumn("collection", F.lit(n)) for n, (t, _) in stored.items()))
+            stats = functools.reduce(DataFrame.unionByName, (x.withColumn("collection", F.lit(n)) for n, (_, x) in stored.items()))
+            words = multi.keyword_hits(terms, stats, query, recall, rows if where else None)
+        timings["plan"], start = clock() - start, clock()
+        fused = materialize(multi.fused_hits(near, words, recall), "hits")
+        keys = list(multi.KEYS)
+        counts = {r["collection"]: r["count"] for r in fused.groupBy("collection").count().collect()}
+        report = multi.report(self.spark, names, failed, seen.get, counts)
+        timings["search"], start = clock() - start, clock()
+        if not report.where("status = 'ok'").head(1):
+            raise ValueError("no collection could be searched: " + "; ".join(f"{r['collection']}: {r['detail']}" for r in report.collect()))
+        hits = rows.join(fused, keys).select(*keys, "text", "source", "chunk_index", "content_sha", "tags", "tags_expanded", "metadata", "score", "score_kind")
+        hits = fusion.rerank(hits, query, self.scorer, keys, k).withColumn("score_kind", F.lit("rerank")) if rerank else hits.orderBy(F.desc("score"), *keys).limit(k)
+        timings["rerank"] = clock() - start
+        return {"hits": hits, "report": report, "timings": {n: round(1000 * t, 1) for n, t in timings.items()}}
 
     def search_debug(self, query: str, collection: str, top_k: int = 5, threshold: float = 0.0) -> dict:
-        """The hits and what the threshold removes from the recall window."""
+        """The hits, the report and timings of the search, and what the threshold removes from the recall window."""
         [vec] = self.embedder([query])
-        rows = self.store.read(collection)
-        killed = vector.killed_by_threshold(rows, vec, max(self.settings.rerank_recall, top_k), threshold)
-        return {"hits": self.search_memory(query, [collection], top_k, threshold), "killed": killed}
+        killed = vector.killed_by_threshold(self.store.read(collection), vec, max(self.settings.rerank_recall, top_k), threshold)
+        return self.search_collections(query, [collection], top_k, threshold) | {"killed": killed}
 
     def get_chunk(self, collection: str, identity: str) -> DataFrame:
         return self.store.get(collection, identity)

@@ -191,3 +191,37 @@ def test_document_changes(spark, engine, tmp_path):
     assert move["old"] == "a.md" and engine.list_documents("web").first()["path"] == move["new"]
     engine.store_memory("a card to remember", "mem")
     assert "a card to remember" in engine.journal().first()["text"]
+
+
+def test_search_reports_each_collection(spark, tmp_path):
+    """One search over three collections: one is missing, one has vectors of another dimension, one is searched."""
+    from lodestar.plans.engine import hashed_embedder
+
+    root = str(tmp_path / "r")
+    Engine(spark, root, embedder=hashed_embedder(8)).index_documents(docs(spark, ("a short text", "a.md", {}, [])), "small")
+    engine = Engine(spark, root)
+    engine.index_documents(docs(spark, ("tea in a pot", "t.md", {}, []), ("milk in a jug", "m.md", {}, []), ("a pot of tea", "p.md", {"old": "1"}, [])), "mem")
+    engine.delete_memory("mem", metadata={"old": "1"})
+    out = engine.search_collections("tea pot", ["mem", "small", "absent"], rerank=False)
+    assert [r["source"] for r in out["hits"].collect()][:1] == ["t.md"]
+    rows = {r["collection"]: r for r in out["report"].collect()}
+    assert rows["mem"]["status"] == "ok" and rows["mem"]["matched"] == rows["mem"]["comparable"] == 2
+    assert rows["small"]["status"] == rows["absent"]["status"] == "failed" and rows["small"]["matched"] == 1 and "dimension" in rows["small"]["detail"]
+    assert set(out["timings"]) == {"embed", "plan", "search", "rerank"} and engine.search_debug("tea", "mem")["killed"].count() == 0
+    with pytest.raises(ValueError, match="dimension"):
+        engine.search_memory("tea", ["small"])
+
+
+def test_an_updated_memory_is_found(spark, engine):
+    """The new text is found by meaning; it keeps kind and visibility; all superseded rows are listed; the history tells."""
+    for n in range(3):
+        engine.store_memory(f"the kettle is number {n}", "mem", {"visibility": "team"})
+    out = engine.update_memory("mem", "the kettle was sold", {"metadata.visibility": "team"})
+    assert out["matched"] == 3 and engine.store.count("mem") == 1
+    row = engine.store.read("mem").first()
+    assert row["norm"] == pytest.approx(1.0) and row["metadata"]["visibility"] == "team" and row["metadata"]["supersedes_n"] == "3"
+    [hit] = engine.search_memory("the kettle was sold", ["mem"], threshold=0.25, rerank=False).collect()
+    assert hit["content_sha"] == out["new_ids"][0]
+    assert engine.superseded().where(F.col("new_sha") == out["new_ids"][0]).count() == 3
+    assert "the kettle was sold" in engine.journal().agg(F.concat_ws(" ", F.collect_list("text"))).first()[0]
+    assert {(r["op"], r["file"]) for r in engine.history().collect()} == {("index", "direct_text"), ("update", "direct_text")}
