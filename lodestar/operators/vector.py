@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scores import cosine, norm
 from lodestar.operators.filters import apply_filter
+from lodestar.plans.scratch import materialize
 
-#: Queries that are scored together: their vectors are broadcast, so a block is bounded.
-QUERY_BLOCK = 512
+#: Points that others are dealt to, of each dimension; points and queries of a tile's side; queries of one product.
+PIVOTS, BLOCK, STEP = 64, 4096, 256
+#: Decimals that ranks go by, and what rounding may add to a bound.
+DIGITS, SLACK = 9, 1e-6
 
 
 def _literal(vector: Sequence[float]) -> Column:
@@ -50,54 +53,112 @@ def search_per_group(points: DataFrame, vector: Sequence[float], group: str, k:
 
 
 def search_many(points: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, id_column: str = "point_id", column: str = "vector") -> DataFrame:
-    """(query_id, point_id, score, rank) for a table of queries (query_id, vector), in blocks of bounded size.
+    """(query_id, point_id, score, rank) for a table of queries (query_id, vector), exact; both tables are distributed.
 
-    Each batch of points is one matrix product; a task keeps k rows a query.
+    Points are dealt to the nearest of PIVOTS of them and cut into blocks. A query first meets one block of its own pivot, which
+    gives a score that its k-th best has at least. By the angles between query, pivots and points (a triangle on the sphere) it
+    then meets only the blocks that can hold a better one. Such a tile of points and queries is one matrix product and
+    returns k rows a query at most. Ranks go by the score rounded to DIGITS decimals, then by id. Points and queries without
+    a vector are skipped, and so are points of another dimension than the query; a vector without length scores 0.
     """
     spark = points.sparkSession
-    numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    total = numbered.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = None
-    for number in range(blocks):
-        rows = numbered.where(block == number).collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vector"] for r in rows], np.float64)
-        lengths = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), matrix, lengths))
-        part = points.select(F.col(id_column).alias("point_id"), F.col(column).alias("vector")).mapInPandas(_batched(shared, k, threshold), "query_id long, point_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    ours = points.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    first = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id")
+    pivots: dict[int, np.ndarray] = {}
+    # PIVOTS rows for each dimension.
+    for row in ours.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PIVOTS).orderBy("n").collect():
+        pivots.setdefault(len(row["v"]), []).append(row["v"])
+    pivots = {n: _unit(np.array(rows, np.float64)) for n, rows in pivots.items()}
+    if not pivots:
         return spark.createDataFrame([], "query_id long, point_id long, score double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    placed = materialize(ours.mapInPandas(_placed(pivots), "id long, v array<double>, dim int, cluster int, angle double"), "vectors")
+    whole = [r.asDict() for r in placed.groupBy("dim", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()]
+    blocks = {(r["dim"], r["cluster"]): -(-r["n"] // BLOCK) for r in whole}
+    many = F.create_map(*(F.lit(x) for (dim, cluster), n in blocks.items() for x in (f"{dim}:{cluster}", n)))
+    block = F.pmod(F.xxhash64("id"), many[F.concat_ws(":", "dim", "cluster")]).cast("int")
+    cut = placed.select("dim", "cluster", block.alias("block"), "id", "v")
+    mine = materialize(asked.mapInPandas(_placed(pivots), "id long, v array<double>, dim int, cluster int, angle double"), "queries")
+    parts = -(-mine.count() // BLOCK)
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, parts))).cast("int").alias("part")
+    # A query's own pivot may have no points of its own left but the query: then the next block tells nothing, and no score is known.
+    home = mine.select("dim", "cluster", F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(many, F.concat_ws(":", "dim", "cluster")), F.lit(1))).cast("int").alias("block"), part, "id", "v")
+    seen = materialize(_tiles(cut, home, max(1, parts), k, threshold), "vector-home")
+    known = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
+    open_ = mine.join(known, "id", "left").select("id", "v", F.coalesce("least", F.lit(max(threshold, -2.0) if threshold > 0 else -2.0)).alias("least")).mapInPandas(_reaching(pivots, whole), "dim int, cluster int, id long, v array<double>")
+    dealt = open_.withColumn("block", F.explode(F.sequence(F.lit(0), many[F.concat_ws(":", "dim", "cluster")] - 1))).select("dim", "cluster", F.col("block").cast("int").alias("block"), part, "id", "v")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "point_id")
+    return _tiles(cut, dealt, max(1, parts), k, threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
-def _batched(shared, k: int, threshold: float):
+def _by_dimension(batch: pd.DataFrame, pivots: dict[int, np.ndarray]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    for dim, own in batch.groupby(batch["v"].map(len)):
+        if dim in pivots:
+            yield int(dim), own, _unit(np.stack(own["v"].to_numpy()).astype(np.float64))
+
+
+def _placed(pivots: dict[int, np.ndarray]):
+    """Unit vectors with their nearest pivot and the angle to it; a vector without length stands alone, at -1."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix, lengths = shared.value
-        held = None
         for batch in batches:
-            batch = batch[[v is not None and len(v) == matrix.shape[1] for v in batch["vector"]]]
-            if batch.empty:
-                continue
-            stored = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            size = lengths[:, None] * np.linalg.norm(stored, axis=1)[None, :]
-            scores = np.divide(matrix @ stored.T, size, out=np.zeros_like(size), where=size > 0)
-            keys = np.broadcast_to(batch["point_id"].to_numpy(np.int64), scores.shape)
-            if held is not None:
-                scores, keys = np.hstack([held[0], scores]), np.hstack([held[1], keys])
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            held = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
-        if held is not None:
-            out = pd.DataFrame({"query_id": np.repeat(names, held[0].shape[1]), "point_id": held[1].ravel(), "score": held[0].ravel()})
-            yield out[out["score"] >= threshold] if threshold > 0 else out
+            for dim, own, unit in _by_dimension(batch, pivots):
+                angle = _angles(unit, pivots[dim])
+                near = np.where(unit.any(1), angle.argmin(1), -1)
+                yield pd.DataFrame({"id": own["id"].to_numpy(), "v": list(unit), "dim": dim, "cluster": near, "angle": angle.min(1)})
 
     return run
 
 
+def _reaching(pivots: dict[int, np.ndarray], whole: list[dict]):
+    """Each query beside the clusters in which a point may score as much as it knows it has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own, unit in _by_dimension(batch, pivots):
+                angle, least = _angles(unit, pivots[dim]), own["least"].to_numpy()
+                for c in (r for r in whole if r["dim"] == dim):
+                    to = angle[:, c["cluster"]]
+                    gap = np.maximum(np.maximum(to - c["high"], c["low"] - to), 0)
+                    can = (np.cos(gap) >= least - SLACK) | ~unit.any(1) if c["cluster"] >= 0 else np.ones(len(own), bool)
+                    if can.any():
+                        yield pd.DataFrame({"dim": dim, "cluster": c["cluster"], "id": own["id"].to_numpy()[can], "v": list(unit[can])})
+
+    return run
+
+
+def _tiles(points: DataFrame, queries: DataFrame, parts: int, k: int, threshold: float) -> DataFrame:
+    """(query_id, point_id, score): of every tile (dim, cluster, block, part) the k best points of each of its queries."""
+    copies = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["dim", "cluster", "block", "part"]
+
+    def run(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "point_id": [], "score": []}).astype({"query_id": "int64", "point_id": "int64"})
+        if stored.empty or asked.empty:
+            return none
+        stored = stored.sort_values("id")
+        ids, matrix, out = stored["id"].to_numpy(), np.stack(stored["v"].to_numpy()), []
+        for start in range(0, len(asked), STEP):
+            some = asked.iloc[start : start + STEP]
+            scores = np.stack(some["v"].to_numpy()) @ matrix.T
+            # The sort is stable and ids ascend: ties stay in their order.
+            best = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), best.shape[1]), "point_id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+        found = pd.concat(out)
+        return found[found["score"] >= threshold] if threshold > 0 else found
+
+    return copies.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query_id long, point_id long, score double")
+
+
 def killed_by_threshold(points: DataFrame, vector: Sequence[float], k: int, threshold: float, column: str = "vector", key: str = "point_id") -> DataFrame:
     """Of the k best points without a threshold, those that the threshold removes."""
     every = search(points, vector, k, 0.0, None, column, (key,))

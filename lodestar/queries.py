@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, scores, text, urls
-from lodestar.operators import chunking, filters, fusion, grep, keyword, ledger, maintain, store, vault, vector
+from lodestar.operators import chunking, filters, fusion, grep, keyword, ledger, maintain, multi, store, vault, vector
+from lodestar.plans.engine import Engine
 from lodestar.plans.scratch import materialize, scratch_path
 from lodestar.sources import records, websearch
 
@@ -90,14 +91,69 @@ def vector_killed(spark, sf_dir):
     """SELECT query_id, point_id, rank, round(score, 6) AS score FROM (
       SELECT a.vec_id AS query_id, b.vec_id AS point_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
              row_number() OVER (PARTITION BY a.vec_id ORDER BY round(score, 9) DESC, b.vec_id) AS rank
-      FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 5""",
+      FROM embeddings a, embeddings b) WHERE rank <= 5""",
 )
 def vector_many(spark, sf_dir):
     points = _points(spark, sf_dir)
-    asked = points.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), "vector")
+    asked = points.select(F.col("point_id").alias("query_id"), "vector")
     return vector.search_many(points, asked, 5).select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _points(spark, sf_dir).withColumn("collection", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
+    return own.select("collection", F.col("label").cast("string").alias("source_key"), F.col("point_id").cast("string").alias("point_id"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"), "vector", F.lit(None).cast("double").alias("norm"))
+
+
+def _collections(spark: SparkSession, points: DataFrame, names: list[str]) -> store.Store:
+    own = store.Store(spark, scratch_path(spark, "store"))
+    for n in names:
+        own.upsert(n, points.where(F.col("collection") == n))
+    return own
+
+
+@_query(
+    "multi_search",
+    f"WITH {_Q0} SELECT 'c' || (label % 3) AS collection, point_id, row_number() OVER (PARTITION BY label % 3 ORDER BY p.score DESC, label::VARCHAR, point_id::VARCHAR) AS rank, round(score, 6) AS score FROM p WHERE label <> 4 QUALIFY rank <= 5",
+)
+def multi_search(spark, sf_dir):
+    """The nearest rows of each of three collections, one of them changed, in one scan."""
+    points, names = _label_points(spark, sf_dir), ["c0", "c1", "c2"]
+    own = _collections(spark, points, names)
+    own.delete("c1", {"must": [{"key": "source_key", "match": {"value": "4"}}]})
+    near = multi.near_hits(own.read_many(names), _first_vector(_points(spark, sf_dir)), 5, 0.0)
+    return near.select("collection", F.col("point_id").cast("long").alias("point_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@_query(
+    "multi_report",
+    """WITH n AS (SELECT 'c' || (label % 3) AS collection, count(*) AS matched FROM embeddings GROUP BY 1)
+    SELECT collection, CASE collection WHEN 'c2' THEN 'failed' ELSE 'ok' END AS status, matched, CASE collection WHEN 'c2' THEN 0 ELSE matched END AS comparable, CASE collection WHEN 'c2' THEN 0 ELSE least(matched, 5) END AS hits FROM n
+    UNION ALL SELECT 'absent', 'failed', 0, 0, 0""",
+)
+def multi_report(spark, sf_dir):
+    """What a search over collections tells of each: one is missing, one holds vectors of another dimension."""
+    points, names = _label_points(spark, sf_dir), ["c0", "c1", "c2"]
+    own = _collections(spark, points.withColumn("vector", F.when(F.col("collection") == "c2", F.slice("vector", 1, 7)).otherwise(F.col("vector"))), names)
+    vec, seen = _first_vector(_points(spark, sf_dir)), Observation()
+    hits = {r["collection"]: r["count"] for r in multi.near_hits(multi.observed(own.read_many(names), names, len(vec), seen), vec, 5, 0.0).groupBy("collection").count().collect()}
+    return multi.report(spark, names, {"absent": "no collection"}, seen.get, hits).select("collection", "status", "matched", "comparable", "hits")
+
+
+@_query(
+    "memory_update",
+    "SELECT doc_id::VARCHAR AS source_file, false AS found FROM documents WHERE lang <> 'de' AND trim(text) <> '' UNION ALL SELECT 'direct_text', true",
+)
+def memory_update(spark, sf_dir):
+    """One text in place of all rows of a language, in one change; it is found by meaning."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    docs = _docs(spark, sf_dir).select("text", F.col("doc_id").cast("string").alias("source_file"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.array().cast("array<string>").alias("tags"))
+    engine.index_documents(docs, "mem", strategy="window")
+    new = engine.update_memory("mem", "one kettle in place of many texts", {"metadata.lang": "de"})["new_ids"]
+    near = vector.search(engine.store.read("mem"), engine.embedder(["one kettle in place of many texts"])[0], 1, 0.25)
+    hit = near.select(F.col("content_sha").isin(new).alias("found"), "source_file").where("found")
+    return engine.store.read("mem").select("source_file").distinct().join(hit, "source_file", "left").select("source_file", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 # Keyword and hybrid search
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')"
