@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import ledger_month
 from lodestar.functions.text import trim_space
+from lodestar.operators.maintain import sampled_counts
+from lodestar.plans.scratch import delete_path, materialize, release
 
+# The fields of an entry.
 ENTRY = (
     "path string, id string, channel string, category string, title string, url string, urls array<string>, sha256 string, raw_sha256 string, provider string, "
     "published_at string, fetched_at string, updated_at string, bytes bigint, collection string, tags array<string>"
@@ -21,9 +26,64 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(F.nullif("path", F.lit("")), F.nullif("sha256", F.lit(""))).isNotNull())
 
 
+#: Folders: the month of an entry's document, and below it the month in which the entry was made.
+FOLDERS = ("month", "seen")
+
+
+def _foldered(entries: DataFrame) -> DataFrame:
+    stamp = F.col("updated_at").try_cast("timestamp")
+    return entries.withColumns({"month": ledger_month(F.col("path"), stamp), "seen": ledger_month(F.lit(""), stamp)})
+
+
 def append(entries: DataFrame, path: str) -> None:
     """Append, one folder a month."""
-    entries.withColumn("month", ledger_month(F.col("path"), F.col("updated_at").try_cast("timestamp"))).write.mode("append").partitionBy("month").json(path)
+    _foldered(entries).write.mode("append").partitionBy(*FOLDERS).json(path)
+
+
+def read_window(spark: SparkSession, path: str, now, days: int = WINDOW_DAYS, rows: int = WINDOW_ROWS) -> DataFrame:
+    """``window`` of the entries of a ledger; only folders of months that it touches are read. Entries without a time are in none."""
+    first = spark.range(1).select(F.date_format(F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)), "yyyy-MM").alias("m")).first()["m"]
+    recent = read(spark, path).where((F.col("seen") >= first) & (F.col("seen") != "unknown"))
+    return window(recent.withColumn("_at", F.col("updated_at").try_cast("timestamp")), now, days, rows, "_at", ("path",)).drop("_at", *FOLDERS)
+
+
+def candidates(name: Column, roots: Sequence[str]) -> Column:
+    """Where a file may be: at its name as it is, and below each of the roots (of which a name may already hold the path)."""
+    name = F.regexp_replace(name, r"^\./", "")
+    below = [F.when(~name.startswith("/"), F.concat(F.lit(root.rstrip("/") + "/"), name)) for root in roots]
+    inside = [F.when(name.startswith(root.rstrip("/") + "/"), F.substring(name, len(root.rstrip("/")) + 2, 1 << 30)) for root in roots]
+    return F.array_distinct(F.array_compact(F.array(name, *below, *inside)))
+
+
+def with_file(entries: DataFrame, files: DataFrame, key: str = "path", roots: Sequence[str] = ()) -> DataFrame:
+    """Entries one of whose candidate keys is among files (key)."""
+    names = entries.select(key).distinct().withColumn("_at", F.explode(candidates(F.col(key), roots)))
+    found = names.join(files.select(F.col(key).alias("_at")).distinct(), "_at", "left_semi").select(key).distinct()
+    return entries.join(found, key, "left_semi")
+
+
+def prune_files(spark: SparkSession, path: str, files: DataFrame, roots: Sequence[str] = (), dry_run: bool = False) -> int:
+    """Take the entries whose file is gone out of a ledger; returns how many. Only the folders that hold such entries are written again."""
+    entries = read(spark, path)
+    there = with_file(entries, files, "path", roots).select("path").distinct()
+    gone = materialize(entries.join(there, "path", "left_anti").select(*FOLDERS), "ledger-gone")
+    n = gone.count()
+    if n and not dry_run:
+        touched = materialize(gone.distinct(), "ledger-touched")
+        stay = materialize(entries.join(touched, list(FOLDERS), "left_semi").join(there, "path", "left_semi"), "ledger-stay")
+        stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).json(path)
+        # As many as there are months.
+        for r in touched.join(stay.select(*FOLDERS).distinct(), list(FOLDERS), "left_anti").collect():
+            delete_path(spark, f"{path}/month={r['month']}/seen={r['seen']}")
+        release(touched, stay)
+    release(gone)
+    return n
+
+
+def verify_report(ledger: DataFrame, files: DataFrame, key: str = "path", limit: int = 50) -> DataFrame:
+    """(kind, n, samples, note): how many entries and files are alone, the first of them, and how many more there are."""
+    out = sampled_counts(verify(ledger, files, key), "kind", key, limit)
+    return out.withColumn("note", F.when(F.col("n") > limit, F.format_string("%d more", F.col("n") - limit)).otherwise(""))
 
 
 def current(entries: DataFrame, key: str = "sha256", order: tuple[str, ...] = ("updated_at",)) -> DataFrame:

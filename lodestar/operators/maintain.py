@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.scores import cosine, upper_median
+from lodestar.functions.scores import cosine
 from lodestar.functions.text import collection_number, content_sha
+from lodestar.plans.scratch import materialize
 
 COVERAGE, MEDIAN, MILD = 0.7, 0.8, 0.98
 
@@ -64,11 +65,33 @@ def orphans(stored: DataFrame, wanted: DataFrame, key: str = "content_sha") -> D
 
 
 def vector_median(pairs: DataFrame, a: str = "a", b: str = "b", group: str | None = None) -> DataFrame:
-    """The upper median of cosines of stored and fresh vectors (a sample), and what it means."""
-    scores = pairs.select(*([group] if group else []), cosine(F.col(a), F.col(b)).alias("s"))
-    out = scores.groupBy(*([group] if group else [])).agg(F.collect_list("s").alias("_s"), F.count(F.lit(1)).alias("samples"))
-    median = upper_median(F.col("_s"))
-    return out.select(*([group] if group else []), "samples", median.alias("median"), band(median).alias("band"))
+    """The upper median of cosines of stored and fresh vectors (a sample), and what it means.
+
+    Scores are dealt to tasks by ranges of (group, score), so no group is gathered: the counts of a group's ranges say which
+    range holds the middle, and only the rank within that range is computed.
+    """
+    name = F.col(group) if group else F.lit(0)
+    scores = pairs.select(name.alias("g"), cosine(F.col(a), F.col(b)).alias("s")).withColumn("tie", F.monotonically_increasing_id())
+    ranged = materialize(scores.repartitionByRange("g", F.asc_nulls_first("s"), "tie").select("g", "s", F.spark_partition_id().alias("part")), "scores")
+    counts = ranged.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("low", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("samples", F.sum("n").over(Window.partitionBy("g")))
+    at = F.floor(F.col("samples") / 2)
+    middle = placed.where((F.col("low") <= at) & (at < F.col("low") + F.col("n"))).select(F.col("g").alias("_g"), F.col("part").alias("_part"), (at - F.col("low") + 1).alias("_at"), "samples")
+    own = ranged.join(middle, ranged["g"].eqNullSafe(middle["_g"]) & (ranged["part"] == middle["_part"]))
+    rank = F.row_number().over(Window.partitionBy("g", "part").orderBy(F.asc_nulls_first("s")))
+    out = own.withColumn("_n", rank).where("_n = _at")
+    return out.select(*([F.col("g").alias(group)] if group else []), "samples", F.col("s").alias("median"), band(F.col("s")).alias("band"))
+
+
+def sampled_counts(rows: DataFrame, status: str, key: str, limit: int, detail: str | None = None) -> DataFrame:
+    """(status, n, samples): how many rows have each status and the first ``limit`` of them by key. No group is held beyond that many."""
+    first = Window.partitionBy(status).orderBy(key)
+    kept = rows.select(status, key, *([detail] if detail else [])).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
+    one = F.struct("_n", F.struct(key, detail).alias("x") if detail else F.col(key).alias("x"))
+    samples = kept.groupBy(F.col(status).alias("_s")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda r: r["x"]).alias("samples"))
+    counts = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(samples, counts[status].eqNullSafe(samples["_s"])).select(status, "n", "samples")
 
 
 def band(median: Column) -> Column:

@@ -65,12 +65,12 @@ class Engine:
 
         return docs.withColumn("vector", run(column))
 
-    def points(self, docs: DataFrame, collection: str, strategy: str | None = None, size: int = 0, overlap: int = -1) -> DataFrame:
-        """Points of documents (text, source_file, metadata, tags): chunked, identified and embedded in one plan."""
+    def points(self, docs: DataFrame, collection: str, strategy: str | None = None, size: int = 0, overlap: int = -1, strip: bool = True) -> DataFrame:
+        """Points of documents (text, source_file, metadata, tags): chunked, identified and embedded in one plan; front matter is left out."""
         s = self.settings
         size = size or s.chunk_size
         overlap = chunking.overlap_of(size, s.chunk_overlap_percent) if overlap < 0 else overlap
-        rows = docs.withColumn("text", strip_front_matter(F.col("text")))
+        rows = docs.withColumn("text", strip_front_matter(F.col("text"))) if strip else docs
         chunks = chunking.chunk(rows.select("source_file", "metadata", "tags", "text"), strategy or s.chunk_strategy, size, overlap)
         full = self.embed(chunks.where(F.trim("text") != "").withColumn("collection", F.lit(collection)))
         return full.select(
@@ -266,12 +266,22 @@ class Engine:
         """What is wrong with the rows by the catalog that was written with them."""
         return maintain.verify_structure(self.store.catalog(name), self.store.read(name), self.settings.vector_dim)
 
+    def import_collections(self) -> DataFrame:
+        """Verify the stored collections that the registry does not know and register those without a fault: (name, status, issues)."""
+        rows = []
+        for name in (n for n in self.store.names() if n not in self.registry):
+            issues = self.verify(name).count()
+            if not issues:
+                self.registry.update_entry(name, **{k: v for k, v in (self.store.read_manifest(name) or {}).items() if k in ("embed_model", "embed_provider", "vector_dim", "vector_distance", "description")})
+            rows.append((name, "broken" if issues else "registered", issues))
+        return self.spark.createDataFrame(rows, "name string, status string, issues long")
+
     def verify_deep(self, name: str, source: str, text: str, samples: int = 20) -> dict:
-        """Coverage of a source's current text by its stored chunks, and the median cosine of stored and fresh vectors."""
+        """Coverage of a source's current text by its stored chunks, as it is or without front matter, whichever is better, and the median cosine of stored and fresh vectors."""
         rows = self.store.read(name).where(F.col("source_file") == source)
         now = self.spark.createDataFrame([(source, text, {}, [])], "source_file string, text string, metadata map<string,string>, tags array<string>")
-        fresh = self.points(now, name)
-        cover = maintain.coverage(fresh.select(F.col("source_file").alias("doc_id"), "text"), rows).first()
+        chunks = [self.points(now, name, strip=strip).select(F.lit(strip).alias("doc_id"), "text") for strip in (False, True)]
+        cover = maintain.coverage(chunks[0].unionByName(chunks[1]), rows).orderBy(F.desc("ratio")).first()
         sample = self.embed(rows.orderBy("point_id").limit(samples).select("text", F.col("vector").alias("a"))).withColumnRenamed("vector", "b")
         median = maintain.vector_median(sample).first()
         return {"coverage": cover["ratio"] if cover else 0.0, "median": median["median"] if median else None, "ok": bool(cover and median and cover["ratio"] >= maintain.COVERAGE and median["median"] >= maintain.MEDIAN)}

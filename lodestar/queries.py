@@ -909,6 +909,61 @@ def ledger_files(spark, sf_dir):
     return ledger.read(spark, path).select("path", "id", "bytes")
 
 
+def _ledger_entries(docs: DataFrame) -> DataFrame:
+    day = F.date_add(F.lit("2026-08-01").cast("date"), F.pmod("doc_id", F.lit(90)).cast("int"))
+    path = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("/web/"), F.col("doc_id").cast("string"))
+    return docs.select(path.alias("path"), F.sha2("text", 256).alias("sha256"), F.date_format(F.date_add(day, 5), "yyyy-MM-dd").alias("updated_at"), F.char_length("text").cast("long").alias("bytes"))
+
+
+@_query(
+    "ledger_prune_months",
+    """WITH e AS (SELECT doc_id, DATE '2026-08-01' + (doc_id % 90)::INT AS day FROM documents)
+    SELECT strftime(day, '%Y-%m') AS month, strftime(day, '%Y-%m-%d') || '/web/' || doc_id AS path, strftime(day, '%Y-%m') <> '2026-09' AS untouched FROM e WHERE strftime(day, '%Y-%m') <> '2026-09' OR doc_id % 2 = 0""",
+)
+def ledger_prune_months(spark, sf_dir):
+    """Entries of one month lose their files and are taken out; the folders of other months keep theirs."""
+    path = scratch_path(spark, "ledger")
+    entries = _ledger_entries(_docs(spark, sf_dir))
+    ledger.append(entries, path)
+    file = F.col("_metadata.file_path")
+    before = materialize(ledger.read(spark, path).select(file.alias("was")).distinct(), "before")
+    files = entries.where("NOT path LIKE '2026-09%' OR cast(substring_index(path, '/', -1) AS bigint) % 2 = 0").select(F.concat(F.lit("/vault/"), "path").alias("path"))
+    ledger.prune_files(spark, path, files, ["/vault"])
+    now = ledger.read(spark, path).select("month", "path", file.alias("file"))
+    return now.join(before, now["file"] == before["was"], "left").select("month", "path", F.col("was").isNotNull().alias("untouched"))
+
+
+@_query("ledger_recent", "SELECT strftime(DATE '2026-08-01' + (doc_id % 90)::INT, '%Y-%m-%d') || '/web/' || doc_id AS path FROM documents WHERE DATE '2026-08-01' + (doc_id % 90)::INT + 5 >= DATE '2026-10-10'")
+def ledger_recent(spark, sf_dir):
+    """The window of a stored ledger, read from the folders of its months alone."""
+    path = scratch_path(spark, "ledger")
+    ledger.append(_ledger_entries(_docs(spark, sf_dir)), path)
+    return ledger.read_window(spark, path, "2026-11-09", 30).select("path")
+
+
+@_query(
+    "ledger_verify_report",
+    """WITH k AS (SELECT 'missing_file' AS kind, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlisted_file', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS i FROM k)
+    SELECT kind, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (i <= 50) AS samples, CASE WHEN count(*) > 50 THEN (count(*) - 50) || ' more' ELSE '' END AS note FROM r GROUP BY kind""",
+)
+def ledger_verify_report(spark, sf_dir):
+    out = ledger.verify_report(_docs(spark, sf_dir).select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return out.select("kind", "n", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"), "note")
+
+
+@_query(
+    "import_report",
+    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'binary' WHEN doc_id % 2 = 0 OR text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 'unchanged' ELSE 'imported' END AS status FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY doc_id || '.MD') AS i FROM s)
+    SELECT status, count(*) AS n, string_agg(doc_id || '.MD', ',' ORDER BY i) FILTER (i <= 10) AS samples FROM r GROUP BY status""",
+)
+def import_report(spark, sf_dir):
+    """Counters of an import with the first ten files of each status."""
+    found = QUERIES["import_classify"](spark, sf_dir)
+    return maintain.sampled_counts(found, "status", "rel", 10).select("status", "n", F.array_join("samples", ",").alias("samples"))
+
+
 @_query("history_files", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, event_type AS op, event_id AS chunks FROM events")
 def history_files(spark, sf_dir):
     path = scratch_path(spark, "history")
