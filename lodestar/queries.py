@@ -293,6 +293,54 @@ for _strategy in chunking.STRATEGIES[1:]:
     _query(f"chunk_{_strategy}", _chunks_sql(_strategy, 300))(_chunked(_strategy))
 
 
+_NL = "chr(10)"
+#: Rules, blank lines and headings among the lines of the texts.
+_MARKS_SQL = f"""array_to_string(list_transform(string_split(text, {_NL}), lambda x, i: CASE WHEN i % 6 = 3 THEN '## part ' || i || {_NL} ELSE '' END || x || CASE WHEN i % 7 = 4 THEN {_NL} || '---' WHEN i % 5 = 0 THEN {_NL} ELSE '' END), {_NL})"""
+
+
+def _with_marks(docs: DataFrame) -> DataFrame:
+    def line(x, i):
+        n = i + 1
+        head = F.when(n % 6 == 3, F.concat(F.lit("## part "), n.cast("string"), F.lit("\n"))).otherwise("")
+        return F.concat(head, x, F.when(n % 7 == 4, "\n---").when(n % 5 == 0, "\n").otherwise(""))
+
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+
+
+def _marked_sql(strategy: str, size: int) -> str:
+    """Pieces of the marked texts; one that is too long is packed by paragraphs, sentences and words."""
+    parts = lambda x: f"list_filter(list_transform({x}, lambda y: trim(y, {_WHITE})), lambda y: y <> '')"
+    cut = {
+        "adaptive": "[text]",
+        "paragraph": parts(f"string_split(regexp_replace(text, '(^|\\n)---+(\\n|$)', '\\1' || {_NL} || {_NL} || '\\2', 'g'), {_NL} || {_NL})"),
+        "section": parts("string_split(regexp_replace(text, '(^|\\n)(#{1,6}\\s)', '\\1' || chr(2) || '\\2', 'g'), chr(2))"),
+    }[strategy]
+    fits = "false" if strategy == "adaptive" else f"len(piece) <= {size}"
+    step = f"""CASE WHEN len(x.out) = 0 AND len(a.held) + len(x.held) + 2 <= {size} THEN {{'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || {_NL} || {_NL} || x.held END, 'out': a.out}}
+      ELSE {{'held': x.held, 'out': list_concat(CASE WHEN a.held = '' THEN a.out ELSE list_append(a.out, a.held) END, x.out)}} END"""
+    return f"""WITH marked AS (SELECT doc_id, {_MARKS_SQL} AS text FROM documents WHERE text <> ''),
+      pieces AS (SELECT doc_id, unnest({cut}) AS piece, generate_subscripts({cut}, 1) AS n FROM marked),
+      paras AS (SELECT doc_id, n, {fits} AS fits, unnest(CASE WHEN {fits} THEN [piece] ELSE {parts(f"string_split(piece, {_NL} || {_NL})")} END) AS para, generate_subscripts(CASE WHEN {fits} THEN [piece] ELSE {parts(f"string_split(piece, {_NL} || {_NL})")} END, 1) AS m FROM pieces),
+      tokens AS (SELECT doc_id, n, m, CASE WHEN fits OR len(para) <= {size} THEN {{'held': para, 'out': []::VARCHAR[]}} ELSE {{'held': '', 'out': {_pack_sql("para", size, True)}}} END AS x FROM paras),
+      lists AS (SELECT doc_id, n, list(tokens.x ORDER BY m) AS l FROM tokens GROUP BY 1, 2),
+      folded AS (SELECT doc_id, n, list_reduce(list_prepend({{'held': '', 'out': []::VARCHAR[]}}, l), lambda a, x: {step}) AS r FROM lists),
+      chunks AS (SELECT doc_id, n, CASE WHEN r.held = '' THEN r.out ELSE list_append(r.out, r.held) END AS c FROM folded),
+      u AS (SELECT doc_id, n, unnest(c) AS text, generate_subscripts(c, 1) AS k FROM chunks)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS chunk_index, text FROM u"""
+
+
+def _marked(strategy: str):
+    def run(spark, sf_dir):
+        chunks = chunking.chunk(_with_marks(_docs(spark, sf_dir).where("text <> ''")), strategy, 300)
+        return chunks.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+    return run
+
+
+for _strategy in ("adaptive", "paragraph", "section"):
+    _query(f"chunk_{_strategy}_marked", _marked_sql(_strategy, 300))(_marked(_strategy))
+
+
 @_query(
     "chunk_problems",
     """WITH c AS (SELECT doc_id, i AS chunk_index, x AS text FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
