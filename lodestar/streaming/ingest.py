@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lodestar.functions.text import trim_space
+from lodestar.plans.scratch import materialize, release
 
 INBOX = "doc_id long, text string, url string, title string, fetched_at timestamp"
 
@@ -51,6 +55,28 @@ def sliding_first(docs: DataFrame, days: int = 30, key: str = "sha256", stamp: s
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} string, {stamp} timestamp, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def remembered(docs: DataFrame, life: timedelta, key: str = "sha256") -> DataFrame:
+    """(key, sights, status): "new" if the key was not seen within ``life`` of processing time, else "refreshed"; sights are those since it was new.
+
+    The state forgets by its own time to live, which every sight starts anew. Needs the RocksDB state store.
+    """
+
+    class Memory(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.sights = handle.getValueState("sights", "n long", ttlDurationMs=int(life.total_seconds() * 1000))
+
+        def handleInputRows(self, name, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            before = self.sights.get()[0] if self.sights.exists() else 0
+            now = before + sum(len(batch) for batch in rows)
+            self.sights.update((now,))
+            yield pd.DataFrame({key: [name[0]] * (now - before), "sights": range(before + 1, now + 1), "status": ["refreshed" if n else "new" for n in range(before, now)]})
+
+        def close(self) -> None:
+            pass
+
+    return docs.select(key).groupBy(key).transformWithStateInPandas(Memory(), f"{key} string, sights long, status string", "Append", "ProcessingTime")
+
+
 def run(docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to ``sink``, take what there is, and stop. The sink must tolerate a batch that comes twice."""
     return docs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -64,3 +90,26 @@ def file_sink(engine, channel: str = "web") -> Callable[[DataFrame, int], None]:
             engine.file_documents(batch.drop("sha256"), channel)
 
     return sink
+
+
+def index_sink(engine, collection: str, channel: str = "web", stream: str = "inbox", strategy: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Files a batch and indexes the bodies it brings: file, chunk, embed and upsert.
+
+    A batch that is done is marked by its stream and number. One that comes again is left out; one that broke off half-way is done
+    over: filing is by content and points are keyed by content, so what was written is only written again.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        mark = f"{engine.root}/batches/{stream}/{number}.json"
+        if engine.store._read_text(mark) is not None or batch.isEmpty():
+            return
+        rows = materialize(batch.select("doc_id", "text", "title", "url", "fetched_at"), "batch")
+        status = materialize(engine.file_documents(rows, channel), "filed")
+        source = F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+        told = F.map_filter(F.create_map(F.lit("title"), F.col("title"), F.lit("channel"), F.lit(channel)), lambda _, v: v.isNotNull())
+        points = with_identity(rows).dropDuplicates(["sha256"]).select("text", source.alias("source_file"), told.alias("metadata"), F.array().cast("array<string>").alias("tags"))
+        n = engine.index_documents(points, collection, strategy=strategy)
+        engine.store._write_new(mark, json.dumps({"filed": status.count(), "rows": n}))
+        release(rows, status)
+
+    return sink

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,59 @@ def test_an_updated_memory_is_found(spark, engine):
     assert engine.superseded().where(F.col("new_sha") == out["new_ids"][0]).count() == 3
     assert "the kettle was sold" in engine.journal().agg(F.concat_ws(" ", F.collect_list("text"))).first()[0]
     assert {(r["op"], r["file"]) for r in engine.history().collect()} == {("index", "direct_text"), ("update", "direct_text")}
+
+
+def test_stream_is_indexed_once(spark, engine, tmp_path):
+    """A batch that comes again changes nothing; one that broke off is done over; late rows are dropped."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    row = lambda i, t, day=16: (i, t, f"t{i}", f"http://x/{i}", dt.datetime(2026, 10, day))
+    write = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string, title string, url string, fetched_at timestamp").coalesce(1).write.mode("append").json(str(inbox))
+    stream = lambda: ingest.first_within(ingest.with_identity(ingest.read_inbox(spark, str(inbox))), 1)
+    sink, calls = ingest.index_sink(engine, "mem"), []
+
+    def twice(batch, number):
+        calls.append(number)
+        sink(batch, number)
+        before = engine.store.current("mem"), engine.documents.current("vault")
+        sink(batch, number)
+        assert (engine.store.current("mem"), engine.documents.current("vault")) == before
+
+    write(row(1, "tea in a pot"), row(2, "milk in a jug"), row(3, "tea in a pot"))
+    ingest.run(stream(), twice, str(tmp_path / "cp")).awaitTermination()
+    assert engine.store.count("mem") == 2 and engine.list_documents().count() == 2 and calls
+    assert engine.search_memory("tea pot", ["mem"], rerank=False).first()["source"] == engine.store.read("mem").where("text LIKE 'tea%'").first()["source"]
+    write(row(4, "far too late", 1), row(5, "coffee", 20))
+    ingest.run(stream(), twice, str(tmp_path / "cp")).awaitTermination()
+    assert engine.store.read("mem").where("text = 'far too late'").isEmpty() and engine.store.count("mem") == 3
+    broken, engine.embedder = engine.embedder, None
+    batch = spark.createDataFrame([row(6, "sugar")], "doc_id long, text string, title string, url string, fetched_at timestamp")
+    with pytest.raises(TypeError):
+        sink(batch, 900)
+    engine.embedder = broken
+    sink(batch, 900)
+    assert engine.store.count("mem") == 4 and engine.list_documents().where("path LIKE '%sugar%' OR title = 't6'").count() == 1
+
+
+def test_state_forgets(spark, tmp_path):
+    """A key is new again when it was not seen for its time to live."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # State with a time to live asks for further batches without data, so a run over what there is would not end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        inbox, seen = tmp_path / "inbox", []
+        inbox.mkdir()
+        put = lambda n, *keys: (inbox / f"{n}.json").write_text("".join('{"sha256": "%s"}\n' % k for k in keys))  # noqa: E731, UP031
+        go = lambda: ingest.run(ingest.remembered(ingest.read_inbox(spark, str(inbox), "sha256 string"), dt.timedelta(seconds=45)), lambda df, n: seen.append(sorted(tuple(r) for r in df.collect())), str(tmp_path / "cp")).awaitTermination()
+        put(1, "x", "y", "x")
+        go()
+        put(2, "x", "z")
+        go()
+        time.sleep(50)
+        put(3, "x")
+        go()
+        seen = [s for s in seen if s]
+        assert seen == [[("x", 1, "new"), ("x", 2, "refreshed"), ("y", 1, "new")], [("x", 3, "refreshed"), ("z", 1, "new")], [("x", 1, "new")]]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
