@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.scores import bm25_gain
 from lodestar.functions.text import tags_text, tokenize
 from lodestar.operators.filters import apply_filter
-from lodestar.plans.scratch import materialize
+from lodestar.plans.scratch import materialize, scratch_path
 
 
 def searchable(docs: DataFrame, text: str = "text", tags: str | None = None):
@@ -100,6 +101,55 @@ def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored postings of a table: terms (key, term, tf, dl) in folders by ``part``, sizes (key, dl), and how many rows of which mean length."""
+
+    terms: DataFrame
+    sizes: DataFrame
+    n: int
+    mean: float
+
+
+_KEPT: dict[tuple, Index] = {}
+
+
+def _fingerprint(docs: DataFrame) -> tuple:
+    """What tells a table from one that was changed meanwhile: its plan, and its files with their lengths and times."""
+    spark, files = docs.sparkSession, []
+    for name in docs.inputFiles():
+        where = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    return docs.semanticHash(), tuple(sorted(files))
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None) -> Index:
+    """The index of a table of files, made at the first call in a session and again when a file of the table has changed."""
+    spark = docs.sparkSession
+    name = (spark.sparkContext.applicationId, key, text, tags, *_fingerprint(docs))
+    if name not in _KEPT:
+        terms = postings(docs, key, text, tags).withColumn("part", part_of(F.col("term")))
+        path = scratch_path(spark, "postings")
+        terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(path)
+        sizes = materialize(docs.select(key, F.size(tokenize(searchable(docs, text, tags))).alias("dl")), "sizes")
+        row = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+        _KEPT[name] = Index(spark.read.schema(terms.schema).parquet(path), sizes, row["n"], float(row["mean"] or 1.0))
+    return _KEPT[name]
+
+
+def search_keys(docs: DataFrame, query: str, k: int = 10, condition: dict | None = None, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
+    """(key, score) of what ``search`` returns, by the table's index: only the folders of the query's terms are read. Keys are unique."""
+    own = index(docs, key, text, tags)
+    among = own.sizes.join(apply_filter(docs, condition).select(key), key, "left_semi") if condition else None
+    return search_postings(own.terms, docs.sparkSession.createDataFrame([(own.n, own.mean)], "n long, mean double"), query, k, key, among)
+
+
+def search_indexed(docs: DataFrame, query: str, k: int = 10, condition: dict | None = None, key: str = "doc_id", **columns) -> DataFrame:
+    """The rows of ``search_keys``."""
+    return docs.join(search_keys(docs, query, k, condition, key, **columns), key).orderBy(F.desc("score"), key)
+
+
 def point_postings(points: DataFrame, tags: str | None = "tags") -> tuple[DataFrame, DataFrame]:
     """(source_key, point_id, term, tf, dl, part) and (source_key, point_id, dl) of the points of a collection."""
     found = tokenize(searchable(points, "text", tags))

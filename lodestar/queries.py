@@ -189,7 +189,7 @@ def bm25_size(spark, sf_dir):
 
 @_query("bm25_topk", f"WITH {_BM25(tokens=_TOKENS, where='', qtokens=_HEAD)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    return keyword.search(_docs(spark, sf_dir), _asked(spark, sf_dir), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return keyword.search_keys(_docs(spark, sf_dir), _asked(spark, sf_dir), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _LANG = "WHERE lang = 'en'"
@@ -197,6 +197,16 @@ _LANG = "WHERE lang = 'en'"
 
 @_query("bm25_topk_filtered", f"WITH {_BM25(tokens=_TOKENS, where=_LANG, qtokens=_HEAD)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk_filtered(spark, sf_dir):
+    return keyword.search_keys(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, {"lang": "en"}).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query("bm25_scan_topk", ORACLES["bm25_topk"])
+def bm25_scan_topk(spark, sf_dir):
+    return keyword.search(_docs(spark, sf_dir), _asked(spark, sf_dir), 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query("bm25_scan_filtered", ORACLES["bm25_topk_filtered"])
+def bm25_scan_filtered(spark, sf_dir):
     return keyword.search(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, {"lang": "en"}).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -216,7 +226,7 @@ def bm25_postings_topk(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     points = _points(spark, sf_dir)
     near = vector.search(points, _first_vector(points), 30).select(F.col("point_id").alias("doc_id"), "score")
-    words = keyword.search(_docs(spark, sf_dir), _asked(spark, sf_dir), 30).select("doc_id", "score")
+    words = keyword.search_keys(_docs(spark, sf_dir), _asked(spark, sf_dir), 30)
     return fusion.fuse([fusion.ranked(near, ["doc_id"]), fusion.ranked(words, ["doc_id"])], ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -228,7 +238,7 @@ def hybrid_rrf(spark, sf_dir):
     SELECT doc_id, round(len(list_intersect(words, string_split_regex(trim(lower(text)), '\\s+'))) / len(words), 6) AS score FROM top, qw ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def rerank_overlap(spark, sf_dir):
-    hits = keyword.search(_docs(spark, sf_dir), _asked(spark, sf_dir), 30)
+    hits = keyword.search_indexed(_docs(spark, sf_dir), _asked(spark, sf_dir), 30)
     return fusion.rerank(hits, _asked(spark, sf_dir), fusion.overlap_scorer, ["doc_id"], 10).select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -109,3 +109,18 @@ def test_postings_of_segments(spark, own, tmp_path):
     assert [round(r["score"], 9) for r in best] == [round(r["score"], 9) for r in plain]
     plan = keyword.search_points(terms, stats, "tea", 5)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+
+
+def test_an_index_is_made_once(spark, tmp_path):
+    """The index of a table is kept while its files stay as they are; scan and index agree, with conditions too."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "tea pot", "en"), (2, "tea tea milk", "fr"), (3, None, "en"), (4, "milk", "en")], "doc_id long, text string, lang string").write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    first = keyword.index(read())
+    assert keyword.index(read()) is first and first.n == 4
+    rows = lambda df: [(r["doc_id"], r["text"], round(r["score"], 9)) for r in df.collect()]
+    for condition in (None, {"lang": "en"}):
+        assert rows(keyword.search_indexed(read(), "tea milk", 3, condition)) == rows(keyword.search(read(), "tea milk", 3, condition))
+    assert keyword.search_keys(read(), "").count() == keyword.search_keys(read(), "absent").count() == 0
+    spark.createDataFrame([(5, "tea", "en")], "doc_id long, text string, lang string").write.mode("append").parquet(path)
+    assert keyword.index(read()) is not first and keyword.search_indexed(read(), "tea", 5).count() == 3
