@@ -311,21 +311,31 @@ class Store:
         made = self._segment(name, entry, rows, None)
         self._commit(name, base, entry | {"segments": [made], "count": made["added"]})
 
-    def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None = None, entry: dict | None = None) -> dict:
+    def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None = None, entry: dict | None = None, commit: bool = True) -> dict:
         """Add rows in place of those of their keys, and take away the rows of the keys in gone; returns what was added and hidden.
 
-        An error if the collection is no longer the version ``entry`` that the change was made from.
+        An error if the collection is no longer the version ``entry`` that the change was made from. With ``commit`` False the
+        segment is written but is in no version yet: what is returned is to be given to ``finish``.
         """
         entry = entry or self.entry(name)
         if not entry["keys"]:
             raise ValueError(f"collection {name!r} has no keys to change rows by")
         made = self._segment(name, entry, rows, gone)
         count = entry["count"] + made["added"] - made["hid"]
+        if not commit:
+            following = {k: v for k, v in entry.items() if k != "version"} | {"segments": [*entry["segments"], made], "count": count}
+            return made | {"collection": name, "base": entry["version"], "entry": following}
         self._commit(name, entry["version"], entry | {"segments": [*entry["segments"], made], "count": count})
         if len(entry["segments"]) + 1 >= MOST_SEGMENTS:
             self.compact(name)
         return made
 
+    def finish(self, prepared: dict) -> None:
+        """Make the version of a prepared change; nothing happens if it is there already, an error if another one is."""
+        path, text = f"{self._folder(prepared['collection'])}/log/{int(prepared['base'] or 0) + 1:012d}.json", json.dumps(prepared["entry"])
+        if not self._write_new(path, text) and self._read_text(path) != text:
+            raise RuntimeError(f"collection {prepared['collection']!r} was changed meanwhile")
+
     def compact(self, name: str) -> None:
         """Merge all segments into one."""
         entry = self.entry(name)
@@ -341,10 +351,10 @@ class Store:
         once = with_norm(rows).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
         return self.change(name, once, gone, entry)
 
-    def _rewrite(self, name: str, entry: dict, matching: DataFrame, change: Callable[[DataFrame], DataFrame]) -> dict:
+    def _rewrite(self, name: str, entry: dict, matching: DataFrame, change: Callable[[DataFrame], DataFrame], commit: bool = True) -> dict:
         """Put what ``change`` makes of all rows of the matching rows' keys in their place."""
         keys = materialize(matching.select(*entry["keys"]).distinct(), "touched")
-        made = self.change(name, change(self._of(self._read(name, entry), keys, entry["keys"])), keys, entry)
+        made = self.change(name, change(self._of(self._read(name, entry), keys, entry["keys"])), keys, entry, commit)
         release(keys)
         return made
 
@@ -369,11 +379,11 @@ class Store:
         entry = self.entry(name)
         return self._rewrite(name, entry, self._read(name, entry).where(hit), lambda df: payload_set(df, hit, values))["added"]
 
-    def rename_sources(self, name: str, moves: dict[str, str] | DataFrame, column: str = "source_file") -> None:
+    def rename_sources(self, name: str, moves: dict[str, str] | DataFrame, column: str = "source_file", commit: bool = True) -> dict:
         entry = self.entry(name)
         table = moves if isinstance(moves, DataFrame) else self.spark.createDataFrame(list(moves.items()), "old string, new string")
         moved = self._read(name, entry).join(table.select(F.col("old").alias(column)).distinct(), column, "left_semi")
-        self._rewrite(name, entry, moved, lambda df: renamed(df, table, column))
+        return self._rewrite(name, entry, moved, lambda df: renamed(df, table, column), commit)
 
     # Searching and looking up
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.dates import parse_date
-from lodestar.functions.text import content_id, content_sha, expand_tags, safe_key, strip_front_matter
+from lodestar.functions.text import content_id, content_sha, expand_tags, safe_key, sanitize_segment, strip_front_matter
 from lodestar.operators import chunking, fusion, grep, ledger, maintain, multi, vault, vector
 from lodestar.operators.filters import apply_filter, from_metadata
 from lodestar.operators.store import POINTS, Store, tag_tree, with_norm
-from lodestar.plans.scratch import materialize, release
+from lodestar.plans.scratch import delete_path, materialize, release
 from lodestar.sources import records, websearch
 from lodestar.sources.records import Registry
 from lodestar.sources.settings import Settings
@@ -51,8 +53,35 @@ class Engine:
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
         self.store, self.documents = Store(spark, f"{self.root}/collections"), Store(spark, f"{self.root}/documents")
         self.embedder, self.scorer = embedder or hashed_embedder(), scorer or fusion.overlap_scorer
+        self.recover()
         self.registry = Registry(self.store, f"{self.root}/collections.json")
 
+    # Changes of several tables
+
+    def _together(self, prepared: list[tuple[str, dict]], records_: dict | None = None) -> None:
+        """Make the versions of prepared changes, of stores by name, all or none: what is in the transaction's file will be done."""
+        path = f"{self.root}/transactions/{uuid.uuid4().hex}.json"
+        for where, p in prepared:
+            if getattr(self, where).current(p["collection"]) != p["base"]:
+                raise RuntimeError(f"collection {p['collection']!r} was changed meanwhile")
+        self.store._write_new(path, json.dumps({"changes": prepared, "registry": records_ or {}}))
+        self._apply(path)
+
+    def _apply(self, path: str) -> None:
+        told = json.loads(self.store._read_text(path))
+        for where, p in told["changes"]:
+            getattr(self, where).finish(p)
+        if told["registry"]:
+            Registry(self.store, f"{self.root}/collections.json").update_all(told["registry"])
+        delete_path(self.spark, path)
+
+    def recover(self) -> int:
+        """Finish changes of several tables that broke off; returns how many."""
+        found = [f"{self.root}/transactions/{n}" for n in self.store._list(f"{self.root}/transactions") if n.endswith(".json")]
+        for path in found:
+            self._apply(path)
+        return len(found)
+
     # Writing
 
     def embed(self, docs: DataFrame, column: str = "text") -> DataFrame:
@@ -290,6 +319,9 @@ class Engine:
 
     def file_documents(self, docs: DataFrame, channel: str = "upload") -> DataFrame:
         """File documents (doc_id, text, title, url, fetched_at): new bodies are added, known ones gain addresses."""
+        return self._filing(docs, channel)[0]
+
+    def _filing(self, docs: DataFrame, channel: str, commit: bool = True) -> tuple[DataFrame, dict]:
         if channel not in vault.CHANNELS:
             raise ValueError(f"unknown channel {channel!r}")
         schema = "sha256 string, doc_id long, urls array<string>, updated_at timestamp, day date, channel string, category string, path string, title string, text string"
@@ -303,8 +335,8 @@ class Engine:
         seen = status.select("sha256", F.col("urls").alias("_u"), F.col("updated_at").alias("_t"))
         refreshed = known.join(seen, "sha256").withColumn("urls", F.col("_u")).withColumn("updated_at", F.col("_t")).select(*known.columns)
         added = new.join(known.select("sha256"), "sha256", "left_anti").select(*known.columns)
-        self.documents.change("vault", refreshed.unionByName(added), None, entry)
-        return status.select("sha256", "status")
+        made = self.documents.change("vault", refreshed.unionByName(added), None, entry, commit)
+        return status.select("sha256", "status"), made
 
     def search_document(self, query: str, limit: int = grep.LIMIT, since: str | None = None, until: str | None = None, channel: str | None = None, category: str | None = None, path: str | None = None, **options) -> tuple[DataFrame, dict]:
         docs = grep.scope(self.documents.read("vault"), since, until, channel, category, path)
@@ -339,17 +371,45 @@ class Engine:
         return self.file_documents(row, "upload")
 
     def update_document(self, path: str, **values: str) -> int:
-        """Change fields (title, category) of one filed document in one change; returns how many rows there are of it."""
+        """Change fields (title, category) of one filed document in one change; returns how many rows there are of it.
+
+        A document of another category has another path, in the folder of that category.
+        """
         if odd := set(values) - {"title", "category"}:
             raise ValueError(f"these do not change: {sorted(odd)}")
-        return self.documents.set_where("vault", F.col("path") == path, values)
-
-    def documents_migrate(self, folder: str, channel: str = "web") -> DataFrame:
-        """File the texts of the old layout below a folder; returns the moves (old, new). The files stay."""
-        files = vault.read_folder(self.spark, folder).where("content is not null")
-        entries, moves = ledger.migrated(files.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text")), channel)
+        entry, rows = self.documents.entry("vault"), self.documents.read("vault").where(F.col("path") == path)
+        changed = rows.withColumns({c: F.lit(v) for c, v in values.items()})
+        if "category" in values:
+            at = F.split("path", "/", -1)
+            folder = F.coalesce(F.nullif(sanitize_segment(F.col("category")), F.lit("")), F.lit(vault.NO_CATEGORY))
+            changed = changed.withColumn("path", F.concat_ws("/", F.slice(at, 1, 2), folder, F.element_at(at, -1)))
+        return self.documents.change("vault", changed.select(*rows.columns), None, entry)["added"]
+
+    def documents_migrate(self, folder: str, channel: str = "web", dry_run: bool = False) -> DataFrame:
+        """File the texts of the old layout below a folder, point indexed sources and the registry to them; returns the moves (old, new).
+
+        The originals' bytes are first kept in a table beside the vault. Vault, collections and registry change together: a break
+        half-way is finished when the engine is opened again. The files stay.
+        """
+        files = materialize(vault.read_folder(self.spark, folder).where("content is not null").select("rel", "content"), "legacy")
+        entries, found = ledger.migrated(files.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text")), channel)
+        moves = materialize(found, "moves")
+        if dry_run:
+            return moves
+        files.withColumn("migrated_at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/migrated")
         stamp = F.coalesce(parse_date(F.col("fetched_at")), F.lit("1970-01-01").cast("timestamp"))
-        self.file_documents(entries.select(F.xxhash64("path").alias("doc_id"), F.col("body").alias("text"), "title", "url", stamp.alias("fetched_at")), channel)
+        docs = entries.select(F.xxhash64("path").alias("doc_id"), F.col("body").alias("text"), "title", "url", stamp.alias("fetched_at"))
+        prepared = [("documents", self._filing(docs, channel, commit=False)[1])]
+        # A source may be named by its path below the folder or by its full one.
+        both = moves.unionByName(moves.select(F.concat(F.lit(folder.rstrip("/") + "/"), "old").alias("old"), "new"))
+        for name in self.store.names():
+            if not self.store.read(name).join(both, F.col("source_file") == F.col("old"), "left_semi").isEmpty():
+                prepared.append(("store", self.store.rename_sources(name, both, commit=False)))
+        told = self.registry.table(self.spark).join(both, F.col("source_file") == F.col("old")).select("name", "new").collect() if self.registry else []
+        self._together(prepared, {r["name"]: {"source_file": r["new"]} for r in told})
+        self.registry = Registry(self.store, f"{self.root}/collections.json")
+        self.note("migrate", "", moves.select(F.col("new").alias("source_file")))
+        release(files)
         return moves
 
     def documents_prune(self, folder: str) -> int:

@@ -154,6 +154,56 @@ def memory_update(spark, sf_dir):
     return engine.store.read("mem").select("source_file").distinct().join(hit, "source_file", "left").select("source_file", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def _filed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.concat(F.lit("title "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("http://x.test/"), F.col("doc_id").cast("string")).alias("url"), F.lit("2026-10-16 01:02:03").cast("timestamp").alias("fetched_at"))
+
+
+_BODY = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@_query(
+    "document_category",
+    f"""WITH b AS (SELECT DISTINCT {_BODY} AS body FROM documents WHERE {_BODY} <> ''), f AS (SELECT sha256(body) AS sha FROM b)
+    SELECT CASE WHEN sha = (SELECT min(sha) FROM f) THEN 'moved' ELSE 'rest' END AS folder, count(*) AS n, min(sha) AS first_sha FROM f GROUP BY 1""",
+)
+def document_category(spark, sf_dir):
+    """A document that is given another category leaves its folder for that of the category, in one change."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    engine.file_documents(_filed(_docs(spark, sf_dir).where(text.trim_space(F.col("text")) != "")), "web")
+    vault_rows = engine.documents.read("vault")
+    engine.update_document(vault_rows.orderBy("sha256").first()["path"], category="moved")
+    folder = F.when(F.split("path", "/")[2] == "moved", "moved").otherwise("rest")
+    return engine.documents.read("vault").groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.min("sha256").alias("first_sha"))
+
+
+@_query(
+    "web_ingest_counts",
+    """WITH p AS (SELECT page_id FROM pages WHERE html <> '')
+    SELECT count(*) FILTER (page_id % 3 <> 0) AS unchanged, count(*) FILTER (page_id % 3 = 0) AS indexed, count(*) AS sources FROM p""",
+)
+def web_ingest_counts(spark, sf_dir):
+    """Pages ingested twice, a third of them changed meanwhile: the others are only marked as seen."""
+    engine, pages = Engine(spark, scratch_path(spark, "engine")), _table(spark, sf_dir, "pages").where("html <> ''")
+    hits = lambda body: pages.select(body.alias("content"), F.concat(F.lit("http://x.test/p"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"), F.lit("p").alias("provider"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(-1).alias("authority"), F.lit(0.0).alias("score"))
+    said = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" says "), F.col("html"))
+    engine.ingest_web(hits(said), "web")
+    out = engine.ingest_web(hits(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("new "), said)).otherwise(said)), "web")
+    return engine.store.catalog("web").agg(F.count(F.lit(1)).alias("sources")).select(F.lit(out["unchanged"]).cast("long").alias("unchanged"), F.lit(out["indexed"]).cast("long").alias("indexed"), "sources")
+
+
+@_query(
+    "rebuild_sources",
+    "SELECT doc_id::VARCHAR AS source_file, (greatest(ceil((length(text) - 500) / 350.0), 0) + 1)::BIGINT AS chunks FROM documents WHERE lang = 'en' AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
+)
+def rebuild_sources(spark, sf_dir):
+    """A collection made anew from some of its documents; the catalog counts the chunks of each."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    docs = _docs(spark, sf_dir).select(F.col("text"), F.col("doc_id").cast("string").alias("source_file"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.array().cast("array<string>").alias("tags"))
+    engine.index_documents(docs.where("metadata['lang'] = 'de'"), "mem", strategy="window")
+    engine.rebuild_collection(docs.where("metadata['lang'] = 'en'"), "mem", strategy="window", size=500, overlap=150)
+    return engine.store.catalog("mem").select("source_file", "chunks")
+
+
 # Keyword and hybrid search
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')"

@@ -31,6 +31,12 @@ class Registry(dict):
         self.save()
         return self[name]
 
+    def update_all(self, changes: dict[str, dict]) -> None:
+        """``update_entry`` of several collections, saved once."""
+        for name, own in changes.items():
+            self.setdefault(name, {"enabled": True}).update({k: v for k, v in own.items() if v is not None})
+        self.save()
+
     def remove(self, name: str) -> None:
         if self.pop(name, None) is not None:
             self.save()

@@ -176,7 +176,9 @@ def test_document_changes(spark, engine, tmp_path):
         engine.upload("x", b"a\0b")
     [row] = engine.list_documents("upload").collect()
     assert row["title"] == "My File" and engine.update_document(row["path"], title="New", category="c") == 1
-    assert engine.list_documents("upload").first()["title"] == "New"
+    moved = engine.list_documents("upload").first()
+    assert moved["title"] == "New" and moved["path"] != row["path"] and "/c/" in moved["path"]
+    assert engine.read_document(row["path"]).count() == 0 and engine.read_document(moved["path"]).first()["text"] == "uploaded text"
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "one.md").write_text("first")
@@ -282,3 +284,37 @@ def test_state_forgets(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_a_migration_that_breaks_off_is_finished(spark, tmp_path, monkeypatch):
+    """Vault, sources of two collections and the registry change together; the originals are kept; a break is finished later."""
+    from lodestar.operators.store import Store
+
+    old, root = tmp_path / "old", str(tmp_path / "r")
+    old.mkdir()
+    (old / "a.md").write_text("# Tea\n\n- source: http://x/tea\n- fetched_at: 2026-10-16T01:02:03Z\n\nabout tea\n")
+    (old / "b.md").write_text("# Milk\n\nabout milk\n")
+    engine = Engine(spark, root)
+    engine.index_documents(docs(spark, ("about tea", "a.md", {}, []), ("about cups", "c.md", {}, [])), "one")
+    engine.index_documents(docs(spark, ("about milk", f"{old}/b.md", {}, [])), "two")
+    engine.set_collection_meta("two", source_file="b.md")
+    assert engine.documents_migrate(str(old), dry_run=True).count() == 2 and not engine.documents.exists("vault")
+    finish, calls = Store.finish, []
+
+    def broken(self, prepared):
+        calls.append(prepared["collection"])
+        if len(calls) == 2:
+            raise OSError("lost")
+        finish(self, prepared)
+
+    monkeypatch.setattr(Store, "finish", broken)
+    with pytest.raises(OSError, match="lost"):
+        engine.documents_migrate(str(old))
+    assert engine.list_documents("web").count() == 2 and not engine.store.read("one").where("source_file = 'a.md'").isEmpty()
+    monkeypatch.setattr(Store, "finish", finish)
+    later = Engine(spark, root)
+    paths = {r["title"]: r["path"] for r in later.list_documents("web").collect()}
+    assert {r["source_file"] for r in later.store.read("one").collect()} == {paths["Tea"], "c.md"}
+    assert [r["source_file"] for r in later.store.read("two").collect()] == [paths["Milk"]] and later.registry["two"]["source_file"] == paths["Milk"]
+    assert later.recover() == 0 and spark.read.parquet(f"{root}/migrated").count() == 2
+    assert later.search_memory("about tea", ["one"], rerank=False).first()["source"] == "a.md"
