@@ -8,13 +8,17 @@ Defined results: a null html is an empty payload; rows whose page_id is null are
 never the target of a revisit unless nothing else has their payload, and are
 then written as responses; rows that repeat the chosen page_id are all
 responses; an empty table gives no archive and an empty result; other columns of
-the input are ignored.
+the input are ignored. Archives of others are read too: digests are optional and
+those of unknown kinds are not checked, ids that are no page's are null, and a
+record that is damaged, or larger than MAX_RECORD, is a row with an error and no
+type; after a broken gzip member the rest of its archive is one such row.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +37,10 @@ ROLL_BYTES = 64 << 20
 CHUNK = 1 << 16
 
 _MANIFEST = "archive string, records long, bytes long"
-_RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
+#: Bytes of the largest record that is read.
+MAX_RECORD = 1 << 30
+_KINDS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
 
 
 def classify(pages: DataFrame, min_bytes: int = REVISIT_MIN_BYTES) -> DataFrame:
@@ -116,54 +123,97 @@ def write_archives(classified: DataFrame, path: str) -> DataFrame:
     return materialize(classified.mapInArrow(write, _MANIFEST), "warc-manifest")
 
 
-def members(stream, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The gzip members of a stream, inflated one after another."""
-    inflate, parts, rest = zlib.decompressobj(31), [], b""
+def members(stream, chunk: int = CHUNK, largest: int = MAX_RECORD) -> Iterator[bytes | None]:
+    """The gzip members of a stream, inflated one after another, a bounded piece at a time; None for one that is too large."""
+    inflate, parts, size, rest, begun = zlib.decompressobj(31), [], 0, b"", False
     while True:
         data = rest or stream.read(chunk)
-        if not data:
-            if parts:
+        piece = inflate.decompress(data, 16 * chunk)
+        if not data and not piece:
+            if begun:
                 raise ValueError("the archive ends within a gzip member")
             return
-        parts.append(inflate.decompress(data))
-        rest = b""
+        size, begun, rest = size + len(piece), True, inflate.unconsumed_tail
+        if size <= largest:
+            parts.append(piece)
+        else:
+            parts.clear()
         if inflate.eof:
-            yield b"".join(parts)
-            rest, inflate, parts = inflate.unused_data, zlib.decompressobj(31), []
+            yield b"".join(parts) if size <= largest else None
+            rest, begun = inflate.unused_data, False
+            inflate, parts, size = zlib.decompressobj(31), [], 0
+
+
+def _checked(told: str | None, content: bytes, what: str) -> None:
+    """Raise if a digest of a known kind, in base 32 or hexadecimal, is not that of the content."""
+    kind, _, value = (told or "").partition(":")
+    if value and (make := _KINDS.get(kind.lower().replace("-", ""))):
+        right = make(content).digest()
+        if value.lower() != right.hex() and value.upper().rstrip("=") != base64.b32encode(right).decode().rstrip("="):
+            raise ValueError(f"{what} digest differs")
 
 
 def parse_record(record: bytes) -> dict:
-    """Headers, block and payload of a record whose length and digests are right; else ValueError."""
+    """Headers and payload of a record whose length and digests are right; else ValueError."""
     head, sep, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not sep or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not fields.get("warc-type") or not fields.get("content-length", "").isdigit():
+        raise ValueError("no type or no Content-Length")
     length = int(fields["content-length"])
     block = rest[:length]
     if len(block) != length or rest[length:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not frame the record")
-    if fields.get("warc-block-digest") != _digest(hashlib.sha1(block).hexdigest()):
-        raise ValueError("block digest differs")
+    _checked(fields.get("warc-block-digest"), block, "block")
     payload = None
     if fields["warc-type"] == "response":
         payload = block.partition(b"\r\n\r\n")[2]
-        if fields.get("warc-payload-digest") != _digest(hashlib.sha1(payload).hexdigest()):
-            raise ValueError("payload digest differs")
+        _checked(fields.get("warc-payload-digest"), payload, "payload")
     return {"fields": fields, "payload": payload}
 
 
 def _page(urn: str | None) -> int | None:
-    digits = (urn or "")[len("<urn:x-page:") : -1]
-    return int(digits) if digits else None
+    digits = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
+    return int(digits) if re.fullmatch(r"-?[0-9]+", digits) else None
+
+
+def _shown(told: str | None, payload: bytes | None) -> str | None:
+    """The payload's SHA-1 in hexadecimal, computed, or as a record without a payload tells it."""
+    if payload is not None:
+        return hashlib.sha1(payload).hexdigest()
+    kind, _, value = (told or "").partition(":")
+    return base64.b32decode(value).hex() if kind == "sha1" and re.fullmatch("[A-Z2-7]{32}", value) else value.lower() or None
+
+
+def _record_row(raw: bytes | None, payloads: bool) -> tuple:
+    """A row of _RECORDS."""
+    try:
+        if raw is None:
+            raise ValueError("the record is too large")
+        record = parse_record(raw)
+    except ValueError as e:
+        return (None,) * 7 + (str(e),)
+    f, payload = record["fields"], record["payload"]
+    size = None if payload is None else len(payload)
+    return _page(f.get("warc-record-id")), f.get("warc-target-uri"), f["warc-type"], _page(f.get("warc-refers-to")), size, _shown(f.get("warc-payload-digest"), payload), payload if payloads else None, None
+
+
+def _rows_of(stream, payloads: bool) -> Iterator[tuple]:
+    try:
+        for raw in members(stream):
+            yield _record_row(raw, payloads)
+    except (ValueError, zlib.error) as e:
+        yield (None,) * 7 + (str(e),)
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row a record, read sequentially from every archive that the manifest lists."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "error"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -172,13 +222,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 with open_input(archive) as stream:
-                    for raw in members(stream):
-                        record = parse_record(raw)
-                        f, payload = record["fields"], record["payload"]
-                        hexed = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        size = None if payload is None else len(payload)
-                        rows.append((_page(f.get("warc-record-id")), f.get("warc-target-uri"), f["warc-type"], _page(f.get("warc-refers-to")), size, hexed, payload if payloads else None))
-                        held += len(payload) if payloads and payload else 200
+                    for row in _rows_of(stream, payloads):
+                        rows.append(row)
+                        held += 200 + len(row[6] or b"")
                         if held > 4 << 20:
                             yield flush()
                             rows, held = [], 0
@@ -190,7 +236,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Give each revisit the length of the response that it refers to."""
+    """Give each revisit the length of the response that it refers to. Damaged records are left to those who read the archives."""
+    records = records.where("error is null")
     target = records.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("target")).agg(F.max("payload_bytes").alias("target_bytes"))
     joined = records.join(target, records["refers_to"] == target["target"], "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

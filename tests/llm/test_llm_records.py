@@ -177,3 +177,23 @@ def test_license_labels(spark):
         labels, best = plain(text)
         assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(best, abs=1e-8), (i, text)
     assert got[len(texts) - 1]["n_base"] >= 20_000
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Records without digests, of other kinds and with other ids are read; damaged ones are rows with an error; long ones are bounded."""
+    import gzip
+
+    def record(kind, block, *more, length=None):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12>", f"Content-Length: {len(block) if length is None else length}", *more]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    right = "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"body").hexdigest()
+    file = record("warcinfo", b"x: y") + record("response", http, right) + record("response", http, "WARC-Block-Digest: sha1:AAAA") + record("response", http, length=3) + gzip.compress(b"junk") + record("response", http, "WARC-Payload-Digest: other:1")
+    (tmp_path / "a.warc.gz").write_bytes(file + b"no gzip")
+    rows = warc.read_archives(spark, spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "archive string")).collect()
+    assert [(r["record_type"], r["payload"], r["error"] is None) for r in rows] == [("warcinfo", None, True), ("response", b"body", True), (None, None, False), (None, None, False), (None, None, False), ("response", b"body", True), (None, None, False)]
+    assert rows[1]["payload_digest"] == rows[5]["payload_digest"] == hashlib.sha1(b"body").hexdigest() and rows[1]["page_id"] is None
+    big = gzip.compress(b"0" * 5_000_000)
+    assert [None if m is None else len(m) for m in warc.members(io.BytesIO(big + gzip.compress(b"1") + big), chunk=1000, largest=4_999_999)] == [None, 1, None]
+    assert [len(m) for m in warc.members(io.BytesIO(big), chunk=1000, largest=5_100_000)] == [5_000_000]
