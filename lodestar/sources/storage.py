@@ -1,4 +1,4 @@
-"""Byte streams on the file system that a URI names, for code that runs in Python workers."""
+"""Byte streams on the file system that a URI names, for code that runs in Python workers. Bytes are passed as they are, whatever the name ends in."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def open_input(uri: str):
     system, path = _resolve(uri)
     if system is None:
         system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(path)
+    return system.open_input_stream(path, compression=None)
 
 
 def open_output(uri: str):
@@ -23,4 +23,4 @@ def open_output(uri: str):
     if system is None:
         system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
