@@ -26,25 +26,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(F.nullif("path", F.lit("")), F.nullif("sha256", F.lit(""))).isNotNull())
 
 
-#: Folders: the month of an entry's document, and below it the month in which the entry was made.
-FOLDERS = ("month", "seen")
-
-
-def _foldered(entries: DataFrame) -> DataFrame:
-    stamp = F.col("updated_at").try_cast("timestamp")
-    return entries.withColumns({"month": ledger_month(F.col("path"), stamp), "seen": ledger_month(F.lit(""), stamp)})
-
-
 def append(entries: DataFrame, path: str) -> None:
-    """Append, one folder a month."""
-    _foldered(entries).write.mode("append").partitionBy(*FOLDERS).json(path)
+    """Append, one folder a month of the document; entries made in another month stand in a folder of both, month_made."""
+    stamp = F.col("updated_at").try_cast("timestamp")
+    month, made = ledger_month(F.col("path"), stamp), ledger_month(F.lit(""), stamp)
+    folder = F.when(month == made, month).otherwise(F.concat_ws("_", month, made))
+    entries.withColumn("month", folder).write.mode("append").partitionBy("month").json(path)
 
 
 def read_window(spark: SparkSession, path: str, now, days: int = WINDOW_DAYS, rows: int = WINDOW_ROWS) -> DataFrame:
     """``window`` of the entries of a ledger; only folders of months that it touches are read. Entries without a time are in none."""
     first = spark.range(1).select(F.date_format(F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)), "yyyy-MM").alias("m")).first()["m"]
-    recent = read(spark, path).where((F.col("seen") >= first) & (F.col("seen") != "unknown"))
-    return window(recent.withColumn("_at", F.col("updated_at").try_cast("timestamp")), now, days, rows, "_at", ("path",)).drop("_at", *FOLDERS)
+    made = F.right("month", F.lit(7))
+    recent = read(spark, path).where((made >= first) & (made != "unknown"))
+    return window(recent.withColumn("_at", F.col("updated_at").try_cast("timestamp")), now, days, rows, "_at", ("path",)).drop("_at", "month")
 
 
 def candidates(name: Column, roots: Sequence[str]) -> Column:
@@ -66,15 +61,15 @@ def prune_files(spark: SparkSession, path: str, files: DataFrame, roots: Sequenc
     """Take the entries whose file is gone out of a ledger; returns how many. Only the folders that hold such entries are written again."""
     entries = read(spark, path)
     there = with_file(entries, files, "path", roots).select("path").distinct()
-    gone = materialize(entries.join(there, "path", "left_anti").select(*FOLDERS), "ledger-gone")
+    gone = materialize(entries.join(there, "path", "left_anti").select("month"), "ledger-gone")
     n = gone.count()
     if n and not dry_run:
         touched = materialize(gone.distinct(), "ledger-touched")
-        stay = materialize(entries.join(touched, list(FOLDERS), "left_semi").join(there, "path", "left_semi"), "ledger-stay")
-        stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).json(path)
+        stay = materialize(entries.join(touched, "month", "left_semi").join(there, "path", "left_semi"), "ledger-stay")
+        stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").json(path)
         # As many as there are months.
-        for r in touched.join(stay.select(*FOLDERS).distinct(), list(FOLDERS), "left_anti").collect():
-            delete_path(spark, f"{path}/month={r['month']}/seen={r['seen']}")
+        for r in touched.join(stay.select("month").distinct(), "month", "left_anti").collect():
+            delete_path(spark, f"{path}/month={r['month']}")
         release(touched, stay)
     release(gone)
     return n

@@ -1037,7 +1037,7 @@ def ledger_prune_months(spark, sf_dir):
     before = materialize(ledger.read(spark, path).select(file.alias("was")).distinct(), "before")
     files = entries.where("NOT path LIKE '2026-09%' OR cast(substring_index(path, '/', -1) AS bigint) % 2 = 0").select(F.concat(F.lit("/vault/"), "path").alias("path"))
     ledger.prune_files(spark, path, files, ["/vault"])
-    now = ledger.read(spark, path).select("month", "path", file.alias("file"))
+    now = ledger.read(spark, path).select(F.left("month", F.lit(7)).alias("month"), "path", file.alias("file"))
     return now.join(before, now["file"] == before["was"], "left").select("month", "path", F.col("was").isNotNull().alias("untouched"))
 
 

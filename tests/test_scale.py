@@ -64,7 +64,7 @@ def test_pruning_a_ledger_by_months(spark, tmp_path):
     # An entry made late for an old document is in the window, and its folder alone is read.
     recent = ledger.read_window(spark, path, "2026-10-20", 30)
     assert [r["path"] for r in recent.collect()] == ["2026-08-01/b"]
-    assert "seen#" in recent._jdf.queryExecution().toString().split("PartitionFilters:")[1][:200]
+    assert "month#" in recent._jdf.queryExecution().toString().split("PartitionFilters:")[1][:200]
     assert ledger.prune_files(spark, path, files, ["docs"]) == 0
 
 
