@@ -152,5 +152,7 @@ def migrated(legacy: DataFrame, channel: str = "web") -> tuple[DataFrame, DataFr
     stamp = F.coalesce(parse_date(F.col("fetched_at")), F.lit("1970-01-01").cast("timestamp"))
     full = rows.withColumn("sha256", F.sha2("body", 256)).withColumn("stamp", stamp)
     named = full.withColumn("new", vault_path(F.col("stamp"), F.lit(channel), F.lit(NO_CATEGORY), F.col("sha256"), F.col("title"), F.col("source"), F.lit(".md")))
-    entries = named.select(F.col("new").alias("path"), F.substring("sha256", 1, 8).alias("id"), F.lit(channel).alias("channel"), "title", F.col("source").alias("url"), "provider", "sha256", "fetched_at", "body").dropDuplicates(["sha256"])
-    return entries, named.select(F.col("path").alias("old"), "new")
+    entries = named.select(F.col("new").alias("path"), F.substring("sha256", 1, 8).alias("id"), F.lit(channel).alias("channel"), "title", F.col("source").alias("url"), "provider", "sha256", "fetched_at", "body")
+    # Of one body's documents the first by path is the entry.
+    first = Window.partitionBy("sha256").orderBy(F.asc_nulls_last("path"), "url", "provider", "fetched_at")
+    return entries.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), named.select(F.col("path").alias("old"), "new")
