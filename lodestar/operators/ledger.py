@@ -106,16 +106,28 @@ def pruned(ledger: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def repaired(sources: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(source_file, found, how) for sources (source_file, sha256): by body hash, by raw hash, else by the id in the file name."""
+    """(source_file, found, how) for sources (source_file, sha256): by body hash, by raw hash, else by the id in the file name.
+
+    Ids are short, so several documents may have one; then the entry whose file has the source's name is meant, and the
+    first by path if there is none.
+    """
     newest = current(ledger)
     by_sha = newest.where("sha256 <> ''").select(F.col("sha256").alias("_sha"), F.col("path").alias("_by_sha"))
     by_raw = newest.where("raw_sha256 <> ''").groupBy(F.col("raw_sha256").alias("_raw")).agg(F.min("path").alias("_by_raw"))
-    by_id = newest.where("id <> ''").groupBy(F.col("id").alias("_id")).agg(F.min("path").alias("_by_id"))
+    named = newest.where("id <> ''")
+    by_id = named.groupBy(F.col("id").alias("_id")).agg(F.min("path").alias("_by_id"), F.count(F.lit(1)).alias("_ids"))
+    by_file = named.groupBy(F.col("id").alias("_of"), _file_name(F.col("path").cast("string")).alias("_same")).agg(F.min("path").alias("_by_file"))
     # Empty hashes and names without an id match nothing and are no join keys.
-    rows = sources.withColumn("_name", F.nullif(F.regexp_extract("source_file", r"\d{6}-([0-9a-f]{8})-", 1), F.lit(""))).withColumn("sha256", F.nullif("sha256", F.lit("")))
+    rows = sources.withColumn("_file", _file_name(F.col("source_file"))).withColumn("_name", F.nullif(F.regexp_extract("_file", r"\d{6}-([0-9a-f]{8})-", 1), F.lit(""))).withColumn("sha256", F.nullif("sha256", F.lit("")))
     out = rows.join(by_sha, rows["sha256"] == by_sha["_sha"], "left").join(by_raw, rows["sha256"] == by_raw["_raw"], "left").join(by_id, F.col("_name") == by_id["_id"], "left")
+    out = out.join(by_file, (F.when(F.col("_ids") > 1, F.col("_name")) == by_file["_of"]) & (F.col("_file") == by_file["_same"]), "left")
     how = F.when(F.col("_by_sha").isNotNull(), "sha256").when(F.col("_by_raw").isNotNull(), "raw_sha256").when(F.col("_by_id").isNotNull(), "id")
-    return out.select("source_file", F.coalesce("_by_sha", "_by_raw", "_by_id").alias("found"), how.alias("how"))
+    return out.select("source_file", F.coalesce("_by_sha", "_by_raw", "_by_file", "_by_id").alias("found"), how.alias("how"))
+
+
+def _file_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(path, "/", -1)
 
 
 _HEAD = r"^# ([^\n]*)\n"

@@ -53,3 +53,12 @@ def test_migration_keeps_the_first_of_equal_bodies(spark):
     rows = [(f"old/{i}.md", f"# T {'dcba'[i % 4]}\n\n- source: http://x\n- fetched_at: 2026-10-16T01:02:03Z\n\nbody") for i in range(40)]
     entries, _ = ledger.migrated(spark.createDataFrame(rows, "path string, text string").repartition(7))
     assert [r["path"][-6:] for r in entries.collect()] == ["t-a.md"]
+
+
+def test_repair_tells_equal_ids_apart(spark):
+    """Two documents of one short id: the file's name decides; an id of one document is enough."""
+    book = [("2026-10-01/web/_/010203-aaaaaaaa-one.md", "aaaaaaaa", "aaaaaaaa1", 1), ("2026-10-02/web/_/010203-aaaaaaaa-two.md", "aaaaaaaa", "aaaaaaaa2", 1), ("2026-10-03/web/_/010203-bbbbbbbb-b.md", "bbbbbbbb", "b", 1)]
+    ledger_ = spark.createDataFrame(book, "path string, id string, sha256 string, updated_at int").withColumn("raw_sha256", F.lit(""))
+    names = ["old/010203-aaaaaaaa-two.md", "old/010203-aaaaaaaa-one.md", "old/010203-aaaaaaaa-none.md", "old/999999-bbbbbbbb-other.md"]
+    found = ledger.repaired(spark.createDataFrame([(n, "") for n in names], "source_file string, sha256 string"), ledger_)
+    assert {r["source_file"]: (r["found"], r["how"]) for r in found.collect()} == {names[0]: (book[1][0], "id"), names[1]: (book[0][0], "id"), names[2]: (book[0][0], "id"), names[3]: (book[2][0], "id")}
