@@ -100,7 +100,7 @@ def near_words(words: DataFrame) -> DataFrame:
     lost = sided.select("word", "n", "side", "end", F.explode("less").alias("key"))
     full = sided.select("word", "n", "side", "end", "key", F.lit(True).alias("whole"))
     left = lost.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "side", "end", "key")
-    met = left.join(lost.withColumn("whole", F.lit(False)).unionByName(full), ["key", "side", "end"])
+    met = left.join(lost.withColumn("whole", F.lit(False)).unionByName(full).hint("merge"), ["key", "side", "end"])
     # Exchanges meet from both sides, additions from one; what agrees at both ends has met already by the first.
     once = met.where("(whole or word < near) and (side = 0 or left(word, {0}) <> left(near, {0}))".format(END))
     pairs = once.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "n", "near_n").distinct()
@@ -113,7 +113,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     current = materialize(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        following = materialize(current.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
+        following = materialize(current.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
         release(current)
         current = following.select("word", "root")
         current._lodestar_path = following._lodestar_path
@@ -122,13 +122,17 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """word, form, root, n, n_near and form_n of every word that occurs often enough."""
+    """word, form, root, n, n_near and form_n of every word that occurs often enough.
+
+    All joins are of two shuffled sides: the tables of words are small files for what they hold, so a plan may
+    take one for small enough to be gathered by the driver and broadcast.
+    """
     words = materialize(word_counts(docs).where(F.col("n") >= MIN_COUNT), "spelling-words")
     # The largest n, then the smallest word: the least of (-n, word).
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     near = materialize(near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best), "spelling-near")
-    judged = words.join(near, "word", "left").withColumn("good", F.col("n") * RATIO <= -F.col("best.less"))
+    judged = words.join(near.hint("merge"), "word", "left").withColumn("good", F.col("n") * RATIO <= -F.col("best.less"))
     table = judged.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(F.col("good"), F.col("best.near")).alias("form"), F.when(F.col("good"), -F.col("best.less")).alias("form_n"))
     table = materialize(table, "spelling-forms")
     roots = _roots(table.where("form is not null"))
-    return table.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return table.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

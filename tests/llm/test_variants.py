@@ -229,3 +229,12 @@ def test_signature_estimates_likeness():
             b = minhash_join._mixed(np.array([hash(w) & (1 << 63) - 1 for w in words[(400 - n) // 2 :]], np.uint64))
             agree.append((minhash_join.signature(a) == minhash_join.signature(b)).mean())
         assert abs(np.mean(agree) - share) < 0.04
+
+
+def test_spelling_gathers_no_table_of_words(spark):
+    """However small the files of the tables of words are, no join of them is broadcast."""
+    docs = spark.createDataFrame([(i, "parlament parlamen parlaments regierung regierunk " * 6) for i in range(4)], "doc_id long, text string")
+    out = spelling.group(docs)
+    assert out.count() > 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in spelling.near_words(docs.selectExpr("text AS word", "doc_id AS n"))._jdf.queryExecution().executedPlan().toString()
