@@ -9,9 +9,12 @@ sum of these maxima bounds the scores of each block. Blocks are visited from the
 highest bound down, and only their postings are read and scored; the k-th best
 score so far, there or in the shards searched first, is the threshold, and the
 pivot is the first block whose bound is below it: that block and all behind it
-are skipped with their postings. Rounding is monotone and both sums run in the
-order of the terms' hashes, so a block's bound is never below a score in it, and
-scores do not depend on the sharding. The shards' results are merged by score
+are skipped with their postings. A shard takes many queries at once: postings of its
+frequent terms are dense columns, so that their bounds, and the scores of a block
+for all queries that visit it, are matrix products in single precision; all other
+postings are added one by one. What its possible error leaves in doubt is
+computed again in the order of the terms' hashes, so scores do not depend on the
+sharding. The shards' results are merged by score
 (rounded to DIGITS decimals, as returned), then doc_id.
 
 Queries are taken in blocks of a bounded number of terms, each broadcast to all
@@ -44,10 +47,14 @@ SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK = 64
 #: Query terms that are broadcast at once (16 bytes each).
 QUERY_TERMS = 1_000_000
-#: One shard in so many is searched first.
+#: One shard in so many is searched first, and of those one in so many before the others.
 WAVE = 8
-#: Blocks visited first; each further step visits twice as many as the one before.
+#: Blocks visited first; each further step visits four times as many as the one before.
 STEP = 2
+#: Queries that a shard answers together.
+TOGETHER = 128
+#: A shard's terms that are kept as dense columns: so many at most, each in so many documents at least (and in one of BLOCK).
+DENSE, MIN_DENSE = 2048, 32
 #: Decimals of the scores.
 DIGITS = 6
 _NULL = -(1 << 63)
@@ -167,55 +174,111 @@ class Shard:
         self.run_best = np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)
         self.run_start = np.append(first, len(block))
         self.term_runs = np.searchsorted(first, starts)
-        self.place = np.zeros(self.blocks, np.int64)
         self.read = 0
+        self._split(starts)
+
+    def _split(self, starts: np.ndarray) -> None:
+        """Frequent terms as dense columns of each block, beside their block maxima; and the postings by document."""
+        df, n = np.diff(starts), self.blocks * BLOCK
+        some = np.flatnonzero(df >= max(MIN_DENSE, len(self.ids) // BLOCK))
+        some = np.sort(some[np.argsort(-df[some], kind="stable")[:DENSE]])
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[some] = np.arange(len(some))
+        postings = _flat(starts[some], df[some])
+        dense = np.zeros((n, len(some)), np.float32)
+        dense[self.docs[postings], np.repeat(np.arange(len(some)), df[some])] = self.gain[postings]
+        blocks = dense.reshape(self.blocks, BLOCK, len(some))
+        self.best = blocks.max(1) if len(some) and self.blocks else np.zeros((self.blocks, len(some)), np.float32)
+        columns = [np.flatnonzero(x) for x in self.best]
+        self.dense = [(c, np.ascontiguousarray(x[:, c].T), np.count_nonzero(x[:, c], axis=0)) for c, x in zip(columns, blocks, strict=True)]
+        #: What single precision may be off, as a share of a sum of positive numbers.
+        self.error = (len(some) + 3) * 2.0**-23
+        by = np.argsort(self.docs, kind="stable")
+        self.own_slot = np.repeat(np.arange(len(df), dtype=np.int32), df)[by]
+        self.own_gain = self.gain[by]
+        self.own_start = np.searchsorted(self.docs[by], np.arange(len(self.ids) + 1))
 
     def search(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions and scores of the best k documents of each query that score no less than ``least``; query i has the terms (in order of hash) from starts[i] to starts[i + 1]."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-            own = np.flatnonzero(known[a:b]) + a
-            yield self._best(at[own], weights[own], k, least[i])
-
-    def _best(self, slots: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.term_runs[slots + 1] - self.term_runs[slots]
-        runs, weight = _flat(self.term_runs[slots], sizes), np.repeat(weights, sizes)
+        for first in range(0, len(starts) - 1, TOGETHER):
+            some = starts[first : first + TOGETHER + 1]
+            own = terms[some[0] : some[-1]]
+            at = np.searchsorted(self.terms, own)
+            at[at == len(self.terms)] = 0
+            known = np.flatnonzero(self.terms[at] == own) if len(self.terms) else np.zeros(0, np.int64)
+            query = np.repeat(np.arange(len(some) - 1), np.diff(some))
+            yield from self._best(query[known], at[known], weights[some[0] : some[-1]][known], k, least[first : first + TOGETHER])
+
+    def _best(self, query: np.ndarray, slots: np.ndarray, weights: np.ndarray, k: int, given: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for some queries at once. Scores of visited blocks are sums in single precision for frequent terms; those that may be good enough are computed again, exactly."""
+        count, n = len(given), self.blocks * BLOCK
+        column = self.column[slots]
+        often = column >= 0
+        asked = np.zeros((count, self.best.shape[1]), np.float32)
+        asked[query[often], column[often]] = weights[often]
+        used = asked.any(0)
+        few = 2 * np.count_nonzero(used) < len(used)
+        rare = ~often
+        sizes = self.term_runs[slots[rare] + 1] - self.term_runs[slots[rare]]
+        runs, weight, whose = _flat(self.term_runs[slots[rare]], sizes), np.repeat(weights[rare], sizes), np.repeat(query[rare], sizes)
         where = self.run_block[runs]
-        bound = np.bincount(where, self.run_best[runs] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        docs, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, STEP
+        bound = (asked @ self.best.T).astype(np.float64)
+        bound += np.bincount(whose * self.blocks + where, self.run_best[runs] * weight, count * self.blocks).reshape(count, self.blocks)
         # A score is at most half a unit of its last decimal above what it is rounded to.
         slack = 10.0**-DIGITS
-        while at < len(order):
-            pivot = at + int(np.searchsorted(-bound[at:], -max(least - slack, 1e-12), side="right"))
-            some = order[at : min(pivot, at + step)]
-            if not len(some):
+        bound = bound * (1 + self.error)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        ordered = np.take_along_axis(bound, order, 1)
+        near, least, at, step = np.zeros((count, n)), given * (1 - self.error) - slack, 0, STEP
+        if (given > 0).all():
+            # All of them know what is good enough: one step takes all blocks down to the pivot.
+            step = self.blocks
+        while at < self.blocks:
+            # The pivot: blocks are in the order of their bounds, so all behind the first that is too low are too.
+            good = ordered[:, at : at + step] >= np.maximum(least, 1e-12)[:, None]
+            if not good.any():
                 break
-            self.place[:] = -1
-            self.place[some] = np.arange(len(some))
-            live = np.flatnonzero(self.place[where] >= 0)
+            todo = np.zeros((count, self.blocks), bool)
+            np.put_along_axis(todo, order[:, at : at + step], good, 1)
+            for b in np.flatnonzero(todo.any(0)).tolist():
+                rows = np.flatnonzero(todo[:, b])
+                columns, gains, postings = self.dense[b]
+                if few:
+                    some = np.flatnonzero(used[columns])
+                    columns, gains, postings = columns[some], gains[some], postings[some]
+                self.read += int(postings.sum())
+                near[rows, b * BLOCK : (b + 1) * BLOCK] = asked.take(rows, 0).take(columns, 1) @ gains
+            live = np.flatnonzero(todo[whose, where])
             own = runs[live]
-            count = self.run_start[own + 1] - self.run_start[own]
-            posting = _flat(self.run_start[own], count)
+            many = self.run_start[own + 1] - self.run_start[own]
+            posting = _flat(self.run_start[own], many)
             self.read += len(posting)
-            doc = self.docs[posting]
-            total = np.bincount(self.place[doc // BLOCK] * BLOCK + doc % BLOCK, self.gain[posting] * np.repeat(weight[live], count), len(some) * BLOCK)
-            hit = np.flatnonzero(total > 0)
-            total = np.round(total[hit], DIGITS)
-            fit = total >= least
-            docs = np.concatenate([docs, some[hit[fit] // BLOCK] * BLOCK + hit[fit] % BLOCK])
-            scores = np.concatenate([scores, total[fit]])
-            if len(scores) > k:
-                ids = self.ids[docs]
-                keep = np.lexsort((np.where(ids == _NULL, np.iinfo(np.int64).max, ids), -scores))[:k]
-                docs, scores = docs[keep], scores[keep]
-            if len(scores) >= k:
-                least = max(least, float(scores.min()))
-            at, step = at + len(some), 2 * step
-        return docs, scores
+            np.add.at(near.ravel(), np.repeat(whose[live], many) * n + self.docs[posting], self.gain[posting] * np.repeat(weight[live], many))
+            full = np.flatnonzero((near >= np.maximum(least, 1e-12)[:, None]).sum(1) >= k)
+            if len(full):
+                least[full] = np.maximum(least[full], np.partition(near[full], n - k, axis=1)[:, n - k] * (1 - 2 * self.error) - slack)
+            at, step = at + step, 4 * step
+        whose, docs = np.nonzero(near >= np.maximum(least, 1e-12)[:, None])
+        scores = np.round(self._exact(query, slots, weights, whose, docs), DIGITS)
+        fit = (scores > 0) & (scores >= given[whose])
+        whose, docs, scores = whose[fit], docs[fit], scores[fit]
+        ids = self.ids[docs]
+        by = np.lexsort((np.where(ids == _NULL, np.iinfo(np.int64).max, ids), -scores, whose))
+        ends = np.searchsorted(whose[by], np.arange(count + 1))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            some = by[a : min(b, a + k)]
+            yield docs[some], scores[some]
+
+    def _exact(self, query: np.ndarray, slots: np.ndarray, weights: np.ndarray, whose: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents for queries, summed in the order of the terms' hashes."""
+        sizes = self.own_start[docs + 1] - self.own_start[docs]
+        posting, pair = _flat(self.own_start[docs], sizes), np.repeat(np.arange(len(docs)), sizes)
+        # By query, then by slot.
+        names = query * len(self.terms) + slots
+        wanted = np.repeat(whose, sizes) * len(self.terms) + self.own_slot[posting]
+        place = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
+        hit = np.flatnonzero(names[place] == wanted) if len(names) else np.zeros(0, np.int64)
+        return np.bincount(pair[hit], self.own_gain[posting[hit]] * weights[place[hit]], len(docs))
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None = None) -> DataFrame:
@@ -243,17 +306,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, order: str | None =
         names = rows.column("query_id").take(pa.array(by[starts])).to_pylist()
         del rows
         given = (numbers, names, np.append(starts, len(query)), term, weight)
-        # One shard in WAVE gives each query a score that its k-th best document reaches; the others return what is no worse.
-        early = F.pmod(F.xxhash64("shard"), F.lit(WAVE)) == 0
-        least = np.zeros(len(numbers))
-        for wave in (early, ~early):
-            shared = spark.sparkContext.broadcast((*given, least))
+        # Few shards give each query a score that its k-th best document reaches, more of them a better one; the others return what is no worse.
+        turn = F.pmod(F.xxhash64("shard"), F.lit(WAVE * WAVE))
+        waves = (turn == 0, (turn > 0) & (turn % WAVE == 0), turn % WAVE > 0)
+        least, own = np.zeros(len(numbers)), None
+        for wave in waves:
+            shared = spark.sparkContext.broadcast((*given, least.copy()))
             part = materialize(index.where(wave).drop("shard").mapInArrow(_scan(shared, mean, k), "query long, query_id long, doc_id long, score double"), "found")
             shared.destroy()
-            found = part if found is None else found.unionByName(part)
-            if wave is early:
-                nth = part.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == k).select("query", "score").toArrow()
+            own = part if own is None else own.unionByName(part)
+            if wave is not waves[-1]:
+                nth = own.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == k).select("query", "score").toArrow()
                 least[np.searchsorted(numbers, nth.column("query").to_numpy())] = nth.column("score").to_numpy()
+        found = own if found is None else found.unionByName(own)
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

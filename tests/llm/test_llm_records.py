@@ -197,3 +197,29 @@ def test_archives_of_others(spark, tmp_path):
     big = gzip.compress(b"0" * 5_000_000)
     assert [None if m is None else len(m) for m in warc.members(io.BytesIO(big + gzip.compress(b"1") + big), chunk=1000, largest=4_999_999)] == [None, 1, None]
     assert [len(m) for m in warc.members(io.BytesIO(big), chunk=1000, largest=5_100_000)] == [5_000_000]
+
+
+def test_topk_of_many_queries_at_once():
+    """Queries that a shard answers together, frequent terms as matrix products, get the exact scores that each gets alone."""
+    rng = np.random.default_rng(5)
+    docs = [np.unique(np.minimum(rng.zipf(1.3, 60), 5000)).astype(np.uint64) for _ in range(700)]
+    names, own = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    by = np.argsort(names, kind="stable")
+    terms, starts = np.unique(names[by], return_index=True)
+    row = {"ids": np.arange(len(docs)), "lengths": np.array([len(d) for d in docs]), "terms": terms, "starts": np.append(starts, len(by)), "docs": own[by], "tfs": rng.integers(1, 4, len(by)).astype(np.int32)}
+    shard = topk.Shard({k: v.tobytes() for k, v in row.items()}, 40.0)
+    assert len(shard.best[0]) > 10 and topk.TOGETHER < 300
+    asked = docs[:300]
+    weights = [1 / np.sqrt(q.astype(float)) for q in asked]
+    full = np.zeros((len(asked), len(docs)))
+    for i, (q, w) in enumerate(zip(asked, weights, strict=True)):
+        for t, x in zip(q, w, strict=True):
+            span = slice(*starts[np.searchsorted(terms, t) :][:2]) if t != terms[-1] else slice(starts[-1], None)
+            full[i, own[by][span]] += shard.gain[span] * x
+    full = np.round(full, topk.DIGITS)
+    best = [np.lexsort((np.arange(len(docs)), -f))[:10] for f in full]
+    for least in (np.zeros(300), np.array([f[b[5]] for f, b in zip(full, best, strict=True)])):
+        got = shard.search(np.concatenate([[0], np.cumsum([len(q) for q in asked])]), np.concatenate(asked), np.concatenate(weights), 10, least)
+        for (at, scores), f, b, x in zip(got, full, best, least, strict=True):
+            want = b[(f[b] > 0) & (f[b] >= x)]
+            assert at.tolist() == want.tolist() and scores.tolist() == f[want].tolist()
