@@ -86,11 +86,25 @@ def _statistics(slim: DataFrame) -> tuple[int, float, dict[str, int]]:
     return sizes["n"], float(sizes["mean"] or 1.0), {r["term"]: r["df"] for r in frequencies}
 
 
+def term_counts(terms: Column) -> Column:
+    """An array of (term, tf) of a list of terms: no row of a single occurrence is made or shuffled."""
+    begins = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    runs = lambda x: F.transform(x["at"], lambda i, n: F.struct(F.get(x["t"], i - 1).alias("term"), (F.coalesce(F.get(x["at"], n + 1), F.size(x["t"]) + 1) - i).cast("int").alias("tf")))
+    # Arrays of one, so that the sorted terms and their places are computed once.
+    one = F.transform(F.array(F.sort_array(terms)), lambda t: F.struct(t.alias("t"), begins(t).alias("at")))
+    return F.when(F.size(terms) > 0, F.flatten(F.transform(one, runs)))
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
-    """(key, term, tf, dl), to be stored once and searched often; bucket or sort it by term."""
+    """(key, term, tf, dl), to be stored once and searched often; bucket or sort it by term. Keys are unique; a row's terms are counted where it is read."""
     found = tokenize(searchable(docs, text, tags))
-    terms = docs.select(key, found.alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return terms.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    terms = docs.select(key, F.explode(F.array(F.struct(found.alias("t")))).alias("_x")).select(key, F.size("_x.t").alias("dl"), F.explode(term_counts(F.col("_x.t"))).alias("p"))
+    return terms.select(key, "p.term", "dl", "p.tf")
+
+
+def write_postings(terms: DataFrame, path: str) -> None:
+    """Store postings in folders by ``part``, by term within a file. Every task files what it read: nothing is shuffled, and none holds a folder's share of the corpus."""
+    terms.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 #: Folders that postings are dealt over by their terms, so that a search reads those of its terms.
@@ -131,7 +145,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str |
     if name not in _KEPT:
         terms = postings(docs, key, text, tags).withColumn("part", part_of(F.col("term")))
         path = scratch_path(spark, "postings")
-        terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(path)
+        write_postings(terms, path)
         sizes = materialize(docs.select(key, F.size(tokenize(searchable(docs, text, tags))).alias("dl")), "sizes")
         row = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
         _KEPT[name] = Index(spark.read.schema(terms.schema).parquet(path), sizes, row["n"], float(row["mean"] or 1.0))
@@ -153,9 +167,9 @@ def search_indexed(docs: DataFrame, query: str, k: int = 10, condition: dict | N
 def point_postings(points: DataFrame, tags: str | None = "tags") -> tuple[DataFrame, DataFrame]:
     """(source_key, point_id, term, tf, dl, part) and (source_key, point_id, dl) of the points of a collection."""
     found = tokenize(searchable(points, "text", tags))
-    own = points.select("source_key", "point_id", found.alias("t"))
-    terms = own.select("source_key", "point_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("source_key", "point_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return terms.select("source_key", "point_id", "term", "tf", "dl", part_of(F.col("term")).alias("part")), own.select("source_key", "point_id", F.size("t").alias("dl"))
+    own = points.select("source_key", "point_id", F.explode(F.array(F.struct(found.alias("t")))).alias("x")).select("source_key", "point_id", F.col("x.t").alias("t"))
+    terms = own.select("source_key", "point_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p"))
+    return terms.select("source_key", "point_id", "p.term", "p.tf", "dl", part_of(F.col("p.term")).alias("part")), own.select("source_key", "point_id", F.size("t").alias("dl"))
 
 
 def search_points(terms: DataFrame, sizes: DataFrame, query: str, k: int = 10, among: DataFrame | None = None) -> DataFrame:

@@ -393,7 +393,7 @@ class Store:
         Every segment's postings are made at the first call and stay as they are, in folders by a hash of the term; so is its
         share of the statistics, of which the rows it hides are taken away.
         """
-        from lodestar.operators.keyword import point_postings
+        from lodestar.operators.keyword import point_postings, write_postings
 
         entry, kind = self.entry(name), f"{tags or 'text'}"
         keys = T.StructType([f for f in T.StructType.fromJson(entry["schema"]).fields if f.name in entry["keys"]])
@@ -407,7 +407,7 @@ class Store:
                 if made["rows"]:
                     rows = self._stored(name, [made], "rows", T.StructType.fromJson(entry["schema"]))
                     terms, sizes = point_postings(rows, tags)
-                    terms.withColumn("_seq", F.lit(made["seq"]).cast("long")).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms-{kind}")
+                    write_postings(terms.withColumn("_seq", F.lit(made["seq"]).cast("long")), f"{path}/terms-{kind}")
                     sizes.withColumn("_seq", F.lit(made["seq"]).cast("long")).write.mode("overwrite").parquet(f"{path}/sizes-{kind}")
                     own = self.spark.read.parquet(f"{path}/sizes-{kind}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first().asDict()
                 before = entry | {"segments": entry["segments"][:i]}

@@ -79,3 +79,16 @@ def test_bounded_samples(spark):
     got = {r["status"]: r for r in maintain.sampled_counts(rows, "status", "rel", 4, "why").collect()}
     assert got["bad"]["n"] == 66 and [x["rel"] for x in got["bad"]["samples"]] == ["f001", "f002", "f004", "f005"] and got["bad"]["samples"][0]["why"] == "why 1"
     assert got["good"]["n"] == 34 and got[None]["n"] == 1
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    """A row's terms are counted where it is read, and filed there."""
+    from lodestar.operators import keyword
+
+    docs = spark.createDataFrame([(1, "a b a ü 東京都 b a"), (2, ""), (3, None), (4, "b")], "doc_id long, text string")
+    made = keyword.postings(docs)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.select("doc_id", "term", "tf", "dl").collect())) == [(1, "a", 3, 8), (1, "b", 2, 8), (1, "ü", 1, 8), (1, "京都", 1, 8), (1, "東京", 1, 8), (4, "b", 1, 1)]
+    points = docs.selectExpr("'s' AS source_key", "doc_id AS point_id", "text")
+    terms, _ = keyword.point_postings(points, None)
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString() and terms.count() == 6
