@@ -136,6 +136,18 @@ def _reaching(pivots: dict[int, np.ndarray], whole: list[dict]):
     return run
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores (rounded to DIGITS) of each row, ties in the order of columns; only what may be among them is rounded and sorted."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    # Rounding moves a score by less than the last decimal.
+    own, at = np.nonzero(scores >= (least - 2 * 10.0**-DIGITS)[:, None])
+    by = np.lexsort((at, -np.round(scores[own, at], DIGITS), own))
+    own, at = own[by], at[by]
+    first = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[first], at[first]
+
+
 def _tiles(points: DataFrame, queries: DataFrame, parts: int, k: int, threshold: float) -> DataFrame:
     """(query_id, point_id, score): of every tile (dim, cluster, block, part) the k best points of each of its queries."""
     copies = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -150,9 +162,8 @@ def _tiles(points: DataFrame, queries: DataFrame, parts: int, k: int, threshold:
         for start in range(0, len(asked), STEP):
             some = asked.iloc[start : start + STEP]
             scores = np.stack(some["v"].to_numpy()) @ matrix.T
-            # The sort is stable and ids ascend: ties stay in their order.
-            best = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), best.shape[1]), "point_id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+            own, at = _best(scores, k)
+            out.append(pd.DataFrame({"query_id": some["id"].to_numpy()[own], "point_id": ids[at], "score": scores[own, at]}))
         found = pd.concat(out)
         return found[found["score"] >= threshold] if threshold > 0 else found
 

@@ -107,3 +107,18 @@ def test_chunk_batches_are_small(spark):
         assert int(spark.conf.get(name)) <= 256
     finally:
         spark.conf.set(name, before)
+
+
+def test_best_of_a_tile():
+    """The k best of each row are those of a full stable sort by rounded score, ties by column."""
+    import numpy as np
+
+    from lodestar.operators import vector
+
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((40, 300)), 2) + rng.random((40, 300)) * 1e-10
+    scores[7] = 0.5
+    for k in (1, 5, 300, 400):
+        want = np.argsort(-np.round(scores, vector.DIGITS), axis=1, kind="stable")[:, :k]
+        own, at = vector._best(scores, k)
+        assert at.reshape(40, -1).tolist() == want.tolist() and own.tolist() == np.repeat(np.arange(40), min(k, 300)).tolist()
