@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from lodestar.plans.scratch import materialize, scratch_path
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
+#: A shard's bounds. A task holds one shard, so they bound a Python worker's memory.
+SHARD_DOCS, SHARD_POSTINGS = 4096, 2_000_000
 BLOCK = 64
 #: Query terms that are broadcast at once (16 bytes each).
 QUERY_TERMS = 1_000_000
@@ -163,7 +164,9 @@ class Shard:
         self.docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
         self.blocks = -(-len(self.ids) // BLOCK)
         norm = K1 * (1 - B + B * lengths / mean)
-        self.gain = tfs * (K1 + 1) / (tfs + norm[self.docs])
+        self.gain = norm[self.docs]
+        self.gain += tfs
+        np.divide(tfs * (K1 + 1), self.gain, out=self.gain)
         block = self.docs // BLOCK
         turn = np.ones(len(block), bool)
         turn[1:] = block[1:] != block[:-1]
@@ -179,18 +182,25 @@ class Shard:
 
     def _split(self, starts: np.ndarray) -> None:
         """Frequent terms as dense columns of each block, beside their block maxima; and the postings by document."""
-        df, n = np.diff(starts), self.blocks * BLOCK
+        df = np.diff(starts)
         some = np.flatnonzero(df >= max(MIN_DENSE, len(self.ids) // BLOCK))
         some = np.sort(some[np.argsort(-df[some], kind="stable")[:DENSE]])
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[some] = np.arange(len(some))
-        postings = _flat(starts[some], df[some])
-        dense = np.zeros((n, len(some)), np.float32)
-        dense[self.docs[postings], np.repeat(np.arange(len(some)), df[some])] = self.gain[postings]
-        blocks = dense.reshape(self.blocks, BLOCK, len(some))
-        self.best = blocks.max(1) if len(some) and self.blocks else np.zeros((self.blocks, len(some)), np.float32)
-        columns = [np.flatnonzero(x) for x in self.best]
-        self.dense = [(c, np.ascontiguousarray(x[:, c].T), np.count_nonzero(x[:, c], axis=0)) for c, x in zip(columns, blocks, strict=True)]
+        # One block at a time: a shard's documents by all its frequent terms would be most of its memory.
+        postings, columns = _flat(starts[some], df[some]), np.repeat(np.arange(len(some), dtype=np.int32), df[some])
+        by = np.argsort(self.docs[postings], kind="stable")
+        postings, columns = postings[by], columns[by]
+        ends = np.searchsorted(self.docs[postings], np.arange(self.blocks + 1) * BLOCK)
+        self.best, self.dense = np.zeros((self.blocks, len(some)), np.float32), []
+        for b in range(self.blocks):
+            own, block = slice(ends[b], ends[b + 1]), np.zeros((BLOCK, len(some)), np.float32)
+            block[self.docs[postings[own]] - b * BLOCK, columns[own]] = self.gain[postings[own]]
+            if len(some):
+                self.best[b] = block.max(0)
+            c = np.flatnonzero(self.best[b])
+            self.dense.append((c, np.ascontiguousarray(block[:, c].T), np.count_nonzero(block[:, c], axis=0)))
+        del postings, columns, by
         #: What single precision may be off, as a share of a sum of positive numbers.
         self.error = (len(some) + 3) * 2.0**-23
         by = np.argsort(self.docs, kind="stable")

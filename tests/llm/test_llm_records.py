@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -223,3 +224,19 @@ def test_topk_of_many_queries_at_once():
         for (at, scores), f, b, x in zip(got, full, best, least, strict=True):
             want = b[(f[b] > 0) & (f[b] >= x)]
             assert at.tolist() == want.tolist() and scores.tolist() == f[want].tolist()
+
+
+def test_a_full_shard_fits_a_workers_memory():
+    """A shard as large as the bounds allow, made ready: less than 200 MB, for 3000 MB hold two workers beside the JVM."""
+    rng, per = np.random.default_rng(8), topk.SHARD_POSTINGS // topk.SHARD_DOCS
+    names = np.concatenate([rng.choice(3000, per, replace=False) for _ in range(topk.SHARD_DOCS)]).astype(np.uint64)
+    own, by = np.repeat(np.arange(topk.SHARD_DOCS, dtype=np.int32), per), np.argsort(names, kind="stable")
+    terms, starts = np.unique(names[by], return_index=True)
+    row = {"ids": np.arange(topk.SHARD_DOCS), "lengths": np.full(topk.SHARD_DOCS, per), "terms": terms, "starts": np.append(starts, len(by)), "docs": own[by], "tfs": np.ones(len(by), np.int32)}
+    row = {k: v.tobytes() for k, v in row.items()}
+    del names, own, by
+    tracemalloc.start()
+    shard = topk.Shard(row, float(per))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(shard.dense) == shard.blocks and peak < 200e6, peak
