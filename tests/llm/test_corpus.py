@@ -369,6 +369,19 @@ def test_lines_group_all_that_brute_force_groups(spark):
     assert got == len({find(t) for t in norm}) + sum(not t for t in texts)
 
 
+def test_long_lines_at_the_bound_meet(spark):
+    """A fifth of the words changed, those whose pairs come first in the order of the keys."""
+    rnd = random.Random(29)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    base = [[word(14) if i % 5 == 2 else word(5) for i in range(60)] for _ in range(20)]
+    copies = [[word(14) if i % 5 == 2 else w for i, w in enumerate(x)] for x in base]
+    beyond = [[word(14) if i % 5 == 2 or i == 4 else w for i, w in enumerate(x)] for x in base]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + copies + beyond)], "doc_id long, text string")
+    kept = {r["doc_id"]: r["n_kept"] for r in lines.dedup(docs).collect()}
+    assert [kept[i] for i in range(20)] == [1] * 20 and [kept[20 + i] for i in range(20)] == [0] * 20
+    assert [kept[40 + i] for i in range(20)] == [1] * 20
+
+
 def test_lines_are_equal_by_their_words(spark):
     texts = ["To be, or not to be", "to be or  not to be!", "a to b of c in d it", "a to b of c in d at", "- Yes.", "yes"]
     kept = {r["doc_id"]: r["n_kept"] for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
