@@ -149,6 +149,8 @@ def train(texts: DataFrame) -> np.ndarray:
             prob[start : start + len(lower)] = back[start : start + len(lower), None] * lower
         prob = prob.ravel()
         prob[alpha["code"].to_numpy()] += alpha["alpha"].to_numpy().astype(np.float32)
+        del alpha, gamma
+    pa.default_memory_pool().release_unused()
     return np.log(np.maximum(prob, 1e-7), out=prob).astype(np.float16)
 
 

@@ -403,3 +403,27 @@ def test_quality_rejects_junk_outside_the_quantiles(spark):
     n = {(r["quality"], r["keep"]): r["count"] for r in out}
     assert n[(0, False)] / (n[(0, False)] + n[(0, True)]) >= 0.94
     assert n[(1, True)] / (n[(1, True)] + n[(1, False)]) >= 0.98
+
+
+def test_word_pairs_of_many_letters_come_first(spark):
+    """Keys are 1 + 0.4 n of a line's pairs; both words' letters count in their order, and hot ones come last but are not lost."""
+    docs = spark.createDataFrame([(0, "of abcdefgh an abcdefghij abcdefghijk of it so to be")], "doc_id long, text string")
+    row = lines.occurrences(docs).first()
+    assert row["n"] == 10 and len(row["keys"]) == 5
+    alone = lines.occurrences(spark.createDataFrame([(0, "abcdefghij abcdefghijk it it it")], "doc_id long, text string")).first()["keys"]
+    assert row["keys"][0] == alone[0]
+    hot = lines.occurrences(docs, [row["keys"][0]]).first()["keys"]
+    assert len(hot) == 5 and hot[:4] == row["keys"][1:]
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_lines_meet_in_any_number_of_slices(spark, monkeypatch, slices):
+    """Near copies of a line in crowded buckets, of which none is near to all others, are one group however keys are sliced."""
+    monkeypatch.setattr(lines, "SLICE_KEYS", 10**9 if slices == 1 else 100)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    chain = [[word() for _ in range(20)]]
+    for i in range(12):
+        chain.append([word() if at in (i % 20, (i * 3 + 1) % 20) else w for at, w in enumerate(chain[-1])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id long, text string")
+    assert sum(r["n_kept"] for r in lines.dedup(docs).collect()) == 1
