@@ -427,3 +427,92 @@ def test_lines_meet_in_any_number_of_slices(spark, monkeypatch, slices):
         chain.append([word() if at in (i % 20, (i * 3 + 1) % 20) else w for at, w in enumerate(chain[-1])])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id long, text string")
     assert sum(r["n_kept"] for r in lines.dedup(docs).collect()) == 1
+
+
+def as_read(text):
+    """Digits and capitals are read as one digit and one capital, and a NUL as U+FFFD."""
+    return "".join("A" if c.isupper() else "0" if c.isdecimal() else "\ufffd" if c == "\0" else c for c in text)
+
+
+def plain_kneser_ney(texts, order=4):
+    """p of a string of characters by the textbook recursion over dictionaries; characters no text has are one more symbol."""
+    counts = {order: collections.Counter(("\0" * (order - 1) + t)[i : i + order] for t in texts for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cuts, totals = {}, collections.defaultdict(lambda: [0, 0.0])
+    for k, c in counts.items():
+        n = [max(1, sum(v == j for v in c.values())) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cuts[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+        for g, v in c.items():
+            totals[k, g[:-1]][0] += v
+            totals[k, g[:-1]][1] += cuts[k][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        total, mass = totals.get((len(g), g[:-1]), (0, 0.0))
+        v = counts[len(g)].get(g, 0)
+        return ((v - cuts[len(g)][min(v, 3) - 1]) / total if v else 0.0) + (mass / total if total else 1.0) * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("head, slots, portion", [(1 << 18, 1 << 20, 1_000_000), (40, 16, 50)])
+def test_quality_scores_against_a_plain_version(spark, monkeypatch, head, slots, portion):
+    """Perplexities are those of unfolded characters, whether n-grams are in the broadcast table or joined and however texts are cut."""
+    for name, value in (("HEAD", head), ("SLOTS", slots), ("PORTION", portion)):
+        monkeypatch.setattr(lm_quality, name, value)
+    texts = ["abracadabra. Hello there\n", "another one, and one", "абракадабра и ещё", "hello hello", "数据 处理 数据", "a\0b 😀"] * 3 + ["over there"]
+    p = plain_kneser_ney([as_read(t) for t in texts])
+    asked = [*texts, "HELLO", "ћабрака", "数理处据", "hello 1 2 😀 ☃", "x" * 300, "", None]
+    model = lm_quality.KneserNey(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {r["doc_id"]: r for r in model.scores(spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")).collect()}
+    for i, t in enumerate(asked):
+        padded = "\0\0\0" + as_read(t or "")
+        want = -sum(np.log(p(padded[k : k + 4])) for k in range(len(padded) - 3))
+        assert got[i]["length"] == len(t or "")
+        assert got[i]["surprise"] == (pytest.approx(want / len(t), abs=1e-5) if t else None)
+
+
+def test_quality_tells_letters_of_one_symbol_apart(spark):
+    """Letters that shared one of 64 symbols by a hash are characters of their own in the model."""
+    one = "ж"
+    other = next(chr(c) for c in range(0x4E00, 0x9FFF) if lm_quality.SYMBOLS[c] == lm_quality.SYMBOLS[ord(one)])
+    docs = spark.createDataFrame([(i, one * 40, "x") for i in range(40)] + [(100, other * 40, "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    perplexity = {r["doc_id"]: r["perplexity"] for r in lm_quality.judge(docs, labels).collect()}
+    assert perplexity[100] > 2 * perplexity[0]
+
+
+def test_quality_keeps_what_its_interval_has(spark):
+    """keep of every document against quantiles and perplexities of plain code."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows, told = docs.collect(), {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    held = {r["doc_id"] for r in docs.where(lm_quality._held_out()).collect()}
+    p = plain_kneser_ney([as_read(r["text"]) for r in rows if r["text"] and r["doc_id"] in told - held])
+    cached = {}
+
+    def surprise(t):
+        padded = "\0\0\0" + as_read(t)
+        for g in {padded[k : k + 4] for k in range(len(t))} - set(cached):
+            cached[g] = -np.log(p(g))
+        return sum(cached[padded[k : k + 4]] for k in range(len(t))) / len(t)
+
+    scores = {r["doc_id"]: surprise(r["text"]) for r in rows if r["text"]}
+    limits = {}
+    for lang in {r["lang"] for r in rows} | {None}:
+        s = sorted(scores[r["doc_id"]] for r in rows if r["doc_id"] in scores and r["doc_id"] in told & held and (lang is None or r["lang"] == lang))
+        if s:
+            low, mid, high = (s[max(0, int(np.ceil(q * len(s))) - 1)] for q in (lm_quality.LOW, 0.5, lm_quality.HIGH))
+            slack = lm_quality.SLACK / len(s) ** 0.5
+            limits[lang] = (low - slack * (mid - low), high + slack * (high - mid))
+    got = {r["doc_id"]: r["keep"] for r in lm_quality.judge(docs, labels).collect()}
+    for r in rows:
+        low, high = limits.get(r["lang"], limits[None])
+        if not r["text"]:
+            assert not got[r["doc_id"]]
+            continue
+        wider, s = lm_quality.SPREAD / len(r["text"]) ** 0.5, scores[r["doc_id"]]
+        if min(abs(s - low + wider), abs(s - high - wider)) > 1e-4:
+            assert got[r["doc_id"]] == (low - wider <= s <= high + wider)
