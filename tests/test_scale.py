@@ -122,3 +122,30 @@ def test_best_of_a_tile():
         want = np.argsort(-np.round(scores, vector.DIGITS), axis=1, kind="stable")[:, :k]
         own, at = vector._best(scores, k)
         assert at.reshape(40, -1).tolist() == want.tolist() and own.tolist() == np.repeat(np.arange(40), min(k, 300)).tolist()
+
+
+def test_many_queries_go_in_waves(spark, monkeypatch):
+    """A wave shuffles every point once and its own queries alone, so disk does not grow with points x queries; many queries of one group are dealt to copies of it."""
+    monkeypatch.setattr(vector, "PIVOTS", 3)
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    monkeypatch.setattr(vector, "WAVE", 32)
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(5)]) for i in range(100)]
+    asked = [(i, rows[7][1]) for i in range(80)] + [(100 + i, v) for i, v in rows]
+    seen, tiles = [], vector._tiles
+
+    def counted(points, queries, *rest):
+        seen.append((points.count(), queries.count()))
+        return tiles(points, queries, *rest)
+
+    monkeypatch.setattr(vector, "_tiles", counted)
+    got = vector.search_many(spark.createDataFrame(rows, "point_id long, vector array<float>"), spark.createDataFrame(asked, "query_id long, vector array<float>"), 3)
+    found = {(r["query_id"], r["rank"]): r["point_id"] for r in got.collect()}
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    units = [unit(v) for _, v in rows]
+    for q, v in asked:
+        scores = [sum(x * y for x, y in zip(unit(v), u, strict=True)) for u in units]
+        assert [found[q, n] for n in (1, 2, 3)] == sorted(range(100), key=lambda i: (-round(scores[i], 6), i))[:3]
+    assert len(found) == 3 * len(asked) and len(seen) == 1 + math.ceil(len(asked) / 32)
+    assert seen[0][0] < 2 * 100 and all(p == 100 for p, _ in seen[1:])
+    assert max(q for _, q in seen[1:]) < sum(q for _, q in seen[1:]) / 2
